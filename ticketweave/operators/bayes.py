@@ -64,10 +64,10 @@ def class_counts(vectors: DataFrame, label: str, fold: str | None = None) -> Dat
 
 def training_counts(counts: DataFrame, folds: int = 0) -> DataFrame:
     """Counts keyed by ``model``: each row serves the full model and every fold but its own."""
-    served = F.array(F.lit(ALL))
-    if folds:
-        others = F.array_except(F.array(*[F.lit(f) for f in range(folds)]), F.array(F.col("fold").cast("int")))
-        served = F.concat(served, others)
+    if not folds:
+        return counts.select(F.lit(ALL).alias("model"), "label", "bucket", "tf", "docs")
+    others = F.array_except(F.array(*[F.lit(f) for f in range(folds)]), F.array(F.col("fold").cast("int")))
+    served = F.concat(F.array(F.lit(ALL)), others)
     return (
         counts.select(F.explode(served).alias("model"), "label", "bucket", "tf", "docs")
         .groupBy("model", "label", "bucket")
@@ -77,83 +77,67 @@ def training_counts(counts: DataFrame, folds: int = 0) -> DataFrame:
 
 @dataclass
 class NaiveBayes:
-    """A fitted classifier: three small tables, each keyed by ``model``.
+    """A fitted classifier: its counts (model, label, bucket, tf, docs) and parameters.
 
-    ``classes``: model, label, n_docs, log_prior, total_mass;
-    ``idf``: model, bucket, doc_freq, idf;
-    ``terms``: model, label, bucket, mass (stored pairs only).
+    The counts say everything; priors, idf and likelihoods are views of them.
+    There are at most models x classes x buckets rows, whatever the corpus.
     """
 
-    classes: DataFrame
-    idf: DataFrame
-    terms: DataFrame
+    counts: DataFrame
     smoothing: float = SMOOTHING
     num_features: int = NUM_FEATURES
+    min_doc_freq: int = MIN_DOC_FREQ
+
+    def documents(self) -> DataFrame:
+        """(model, label, n_docs)."""
+        return self.counts.filter(F.col("bucket") == DOCUMENT).select("model", "label", F.col("docs").alias("n_docs"))
+
+    def doc_freq(self) -> DataFrame:
+        """(model, bucket, doc_freq)."""
+        cells = self.counts.filter(F.col("bucket") != DOCUMENT)
+        return cells.groupBy("model", "bucket").agg(F.sum("docs").alias("doc_freq"))
+
+    def cells(self) -> DataFrame:
+        """(model, label, bucket, tf), stored pairs only."""
+        return self.counts.filter(F.col("bucket") != DOCUMENT).select("model", "label", "bucket", "tf")
+
+    def _sizes(self) -> DataFrame:
+        return self.documents().groupBy("model").agg(F.sum("n_docs").alias("n_all"), F.count("*").alias("n_classes"))
+
+    def priors(self) -> DataFrame:
+        """(model, label, n_docs, log_prior)."""
+        share = (F.col("n_docs") + self.smoothing) / (F.col("n_all") + self.smoothing * F.col("n_classes"))
+        return self.documents().join(self._sizes(), "model").select("model", "label", "n_docs", F.log(share).alias("log_prior"))
+
+    def idf(self) -> DataFrame:
+        """(model, bucket, doc_freq, idf)."""
+        value = idf_column(F.col("n_all"), F.col("doc_freq"), self.min_doc_freq)
+        return self.doc_freq().join(self._sizes(), "model").select("model", "bucket", "doc_freq", value)
 
     def likelihoods(self) -> DataFrame:
-        """Stored pairs with their log likelihood and the log prior of the class."""
-        value = F.log(
-            (F.col("mass") + self.smoothing)
-            / (F.col("total_mass") + self.smoothing * self.num_features)
+        """Stored pairs with idf-weighted mass and log likelihood, and the class's log prior."""
+        weighted = self.cells().join(self.idf(), ["model", "bucket"]).select(
+            "model", "label", "bucket", (F.col("tf") * F.col("idf")).alias("mass")
         )
-        return self.terms.join(self.classes, ["model", "label"]).select(
-            "model", "label", "bucket", "mass", "log_prior", value.alias("log_likelihood")
+        total = weighted.groupBy("model", "label").agg(F.sum("mass").alias("total_mass"))
+        value = (F.col("mass") + self.smoothing) / (F.col("total_mass") + self.smoothing * self.num_features)
+        return (
+            weighted.join(total, ["model", "label"])
+            .join(self.priors(), ["model", "label"])
+            .select("model", "label", "bucket", "mass", "log_prior", F.log(value).alias("log_likelihood"))
         )
 
     def save(self, path: str) -> None:
-        """Write the tables; ``params`` goes last and marks the model as complete."""
-        spark = self.classes.sparkSession
-        for name in ("classes", "idf", "terms"):
-            getattr(self, name).write.parquet(f"{path}/{name}")
-        params = [(float(self.smoothing), int(self.num_features))]
-        spark.createDataFrame(params, "smoothing double, num_features int").coalesce(1).write.parquet(
-            f"{path}/params"
-        )
+        """Write the model; ``params`` goes last and marks it as complete."""
+        self.counts.write.parquet(f"{path}/counts")
+        params = [(float(self.smoothing), int(self.num_features), int(self.min_doc_freq))]
+        schema = "smoothing double, num_features int, min_doc_freq int"
+        self.counts.sparkSession.createDataFrame(params, schema).coalesce(1).write.parquet(f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> NaiveBayes:
         params = spark.read.parquet(f"{path}/params").first()
-        tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("classes", "idf", "terms")}
-        return cls(**tables, smoothing=params.smoothing, num_features=params.num_features)
-
-
-def fit(
-    counts: DataFrame,
-    smoothing: float = SMOOTHING,
-    num_features: int = NUM_FEATURES,
-    min_doc_freq: int = MIN_DOC_FREQ,
-) -> NaiveBayes:
-    """Model tables from ``training_counts``: at most models x classes x buckets rows."""
-    documents = counts.filter(F.col("bucket") == DOCUMENT).select("model", "label", F.col("docs").alias("n_docs"))
-    sizes = documents.groupBy("model").agg(
-        F.sum("n_docs").alias("n_all"), F.count("*").alias("n_classes")
-    )
-    cells = counts.filter(F.col("bucket") != DOCUMENT)
-    idf = (
-        cells.groupBy("model", "bucket")
-        .agg(F.sum("docs").alias("doc_freq"))
-        .join(sizes, "model")
-        .select("model", "bucket", "doc_freq", idf_column(F.col("n_all"), F.col("doc_freq"), min_doc_freq))
-    )
-    terms = cells.join(idf, ["model", "bucket"]).select(
-        "model", "label", "bucket", (F.col("tf") * F.col("idf")).alias("mass")
-    )
-    mass = terms.groupBy("model", "label").agg(F.sum("mass").alias("total_mass"))
-    prior = F.log(
-        (F.col("n_docs") + smoothing) / (F.col("n_all") + smoothing * F.col("n_classes"))
-    )
-    classes = (
-        documents.join(sizes, "model")
-        .join(mass, ["model", "label"], "left")
-        .select(
-            "model",
-            "label",
-            "n_docs",
-            prior.alias("log_prior"),
-            F.coalesce("total_mass", F.lit(0.0)).alias("total_mass"),
-        )
-    )
-    return NaiveBayes(classes, idf, terms, smoothing, num_features)
+        return cls(spark.read.parquet(f"{path}/counts"), **params.asDict())
 
 
 @dataclass
@@ -165,17 +149,22 @@ class _Block:
     weights: np.ndarray
 
 
-def _blocks(model: NaiveBayes, keys: Sequence[int], block_classes: int) -> list[dict[int, _Block]]:
-    """Fetch the model block by block; a block holds at most block_classes x num_features cells."""
-    wanted = F.col("model").isin([int(k) for k in keys])
-    classes = model.classes.filter(wanted).orderBy("model", "label").toArrow().to_pandas()
-    idf_rows = model.idf.filter(wanted).select("model", "bucket", "idf").toArrow().to_pandas()
-    by_model = {int(k): rows for k, rows in classes.groupby("model")}
-    most = max((len(rows) for rows in by_model.values()), default=0)
+def _blocks(model: NaiveBayes, keys: Sequence[int] | None, block_classes: int) -> list[dict[int, _Block]]:
+    """Fetch the model block by block; a block holds at most block_classes x num_features cells a model."""
+    wanted = F.lit(True) if keys is None else F.col("model").isin([int(k) for k in keys])
+    documents = model.documents().filter(wanted).orderBy("model", "label").toArrow().to_pandas()
+    doc_freq = model.doc_freq().filter(wanted).toArrow().to_pandas()
+    classes = {int(key): rows for key, rows in documents.groupby("model")}
+    idf = {}
+    for key, rows in classes.items():
+        own = doc_freq[(doc_freq["model"] == key) & (doc_freq["doc_freq"] >= model.min_doc_freq)]
+        idf[key] = np.zeros(model.num_features)
+        idf[key][own["bucket"]] = np.log((rows["n_docs"].sum() + 1.0) / (own["doc_freq"] + 1.0))
+    most = max((len(rows) for rows in classes.values()), default=0)
     blocks = []
     for start in range(0, most, block_classes):
-        parts = {k: part for k, rows in by_model.items() if len(part := rows.iloc[start : start + block_classes])}
-        cells = model.terms.select("model", "label", "bucket", "mass").filter(wanted)
+        parts = {k: part for k, rows in classes.items() if len(part := rows.iloc[start : start + block_classes])}
+        cells = model.cells().filter(wanted)
         if most > block_classes:
             labels = sorted({label for part in parts.values() for label in part["label"]})
             cells = cells.filter(F.col("label").isin(labels))
@@ -186,13 +175,14 @@ def _blocks(model: NaiveBayes, keys: Sequence[int], block_classes: int) -> list[
             own = cells[(cells["model"] == key) & cells["label"].isin(labels)]
             column = own["label"].map({label: i for i, label in enumerate(labels)})
             mass = np.zeros((model.num_features, len(labels)))
-            mass[own["bucket"].to_numpy(), column.to_numpy(dtype=np.int64)] = own["mass"]
-            total = part["total_mass"].to_numpy() + model.smoothing * model.num_features
-            scale = np.zeros(model.num_features)
-            own_idf = idf_rows[idf_rows["model"] == key]
-            scale[own_idf["bucket"].to_numpy()] = own_idf["idf"].to_numpy()
-            weights = scale[:, None] * (np.log(mass + model.smoothing) - np.log(total))
-            block[key] = _Block(labels, part["log_prior"].to_numpy(), weights)
+            mass[own["bucket"].to_numpy(), column.to_numpy(dtype=np.int64)] = own["tf"]
+            mass *= idf[key][:, None]
+            total = mass.sum(axis=0) + model.smoothing * model.num_features
+            share = (part["n_docs"] + model.smoothing) / (
+                classes[key]["n_docs"].sum() + model.smoothing * len(classes[key])
+            )
+            weights = idf[key][:, None] * (np.log(mass + model.smoothing) - np.log(total))
+            block[key] = _Block(labels, np.log(share.to_numpy()), weights)
         blocks.append(block)
     return blocks
 
@@ -246,10 +236,7 @@ def classify(
         [*keep, T.StructField("prediction", T.StringType()), T.StructField("score", T.DoubleType())]
     )
     column, constant = (key, None) if isinstance(key, str) else (None, key)
-    keys = [constant]
-    if column is not None:
-        keys = [row[0] for row in model.classes.select("model").distinct().collect()]
-    blocks = _blocks(model, keys, block_classes)
+    blocks = _blocks(model, None if constant is None else [constant], block_classes)
     if not blocks:
         raise LookupError("the model has no classes")
     parts = [vectors.mapInArrow(_scorer(block, schema, constant, column), schema) for block in blocks]

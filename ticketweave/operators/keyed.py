@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .listing import latest_per_key
@@ -32,20 +32,17 @@ def insert_with_ids(base: DataFrame, new: DataFrame, id_column: str, key: str, b
     key and each bucket starts where the one before ends, so no task orders the
     whole batch; ids are the same on every run.
     """
-    from pyspark.sql import Window
-
     digest = F.md5(F.col(key).cast("string"))
     bucketed = new.withColumn("_bucket", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets)
     sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    # At most ``buckets`` rows: the only window over a whole table.
+    # The ids in use count as a bucket before the first one.
+    used = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_size"))
+    sizes = sizes.unionByName(used.select(F.lit(-1).cast("bigint").alias("_bucket"), "_size"))
+    # At most ``buckets`` + 1 rows: the only window over a whole table, and small enough to broadcast.
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    last = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_last"))
-    offsets = starts.join(last, F.lit(True))
-    numbered = bucketed.join(F.broadcast(offsets), "_bucket").withColumn(
-        id_column,
-        F.col("_last") + F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(key)),
-    )
+    starts = sizes.select("_bucket", F.sum("_size").over(before).alias("_start"))
+    position = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    numbered = bucketed.join(F.broadcast(starts), "_bucket").withColumn(id_column, F.col("_start") + position)
     return base.unionByName(numbered.select(*base.columns))
 
 

@@ -29,9 +29,9 @@ def train(
 ) -> bayes.NaiveBayes:
     """A classifier from (description, assigned_to), in one pass over the text."""
     vectors = with_terms(labeled, "description", clean_corpus, stopwords, num_features=num_features)
-    # The counts feed several small model tables, so they are written once.
-    counts = materialize(bayes.class_counts(vectors, "assigned_to"), "counts")
-    return bayes.fit(bayes.training_counts(counts), smoothing, num_features)
+    counts = bayes.training_counts(bayes.class_counts(vectors, "assigned_to"))
+    # The model is read several times, the text only once: write the counts.
+    return bayes.NaiveBayes(materialize(counts, "counts"), smoothing, num_features)
 
 
 @dataclass
@@ -62,7 +62,10 @@ def build_model(
     and by the one that has. The best point has the largest mean held-out
     weighted F-measure.
     """
-    prepared = labeled.withColumn("fold", fold_of(folds=folds))
+    if len(grid) > 1 and not folds:
+        raise ValueError("choosing from a grid needs folds")
+    prepared = labeled.withColumn("fold", fold_of(folds=folds) if folds else F.lit(bayes.ALL))
+    keys = F.array("fold", F.lit(bayes.ALL)) if folds else F.array("fold")
     features, fitted, reports = {}, {}, []
     for size in dict.fromkeys(size for size, _ in grid):
         vectors = materialize(
@@ -72,8 +75,8 @@ def build_model(
         features[size] = (vectors, materialize(counts, "counts"))
     for size, smoothing in grid:
         vectors, counts = features[size]
-        model = fitted[size, smoothing] = bayes.fit(counts, smoothing, size)
-        both = vectors.select("id", "assigned_to", "terms", F.explode(F.array("fold", F.lit(bayes.ALL))).alias("fold"))
+        model = fitted[size, smoothing] = bayes.NaiveBayes(counts, smoothing, size)
+        both = vectors.select("id", "assigned_to", "terms", F.explode(keys).alias("fold"))
         scored = bayes.classify(both, model, "fold")
         reports.append(
             evaluation.metrics_report(scored, "assigned_to", "prediction", "fold").select(
@@ -122,7 +125,7 @@ BROADCAST_LABELS = 100_000
 
 def assign(scored: DataFrame, model: bayes.NaiveBayes, accounts: DataFrame) -> DataFrame:
     """Turn predictions into ``assigned_to`` and ``assigned_to_name`` (null if no account)."""
-    labels = model.classes.filter(F.col("model") == bayes.ALL).select("label")
+    labels = model.documents().filter(F.col("model") == bayes.ALL).select("label")
     names = assignee_names(labels, accounts)
     if labels.count() <= BROADCAST_LABELS:
         names = F.broadcast(names)
@@ -171,7 +174,7 @@ def find_similar(
 def publish_model(model: bayes.NaiveBayes, root: str, version: int) -> None:
     """Write a model under ``root`` and, once complete, announce its version."""
     model.save(f"{root}/models/{version}")
-    spark = model.classes.sparkSession
+    spark = model.counts.sparkSession
     spark.createDataFrame([(int(version),)], "version bigint").coalesce(1).write.mode("append").parquet(
         f"{root}/published"
     )

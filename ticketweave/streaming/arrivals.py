@@ -37,7 +37,7 @@ def classify_stream(
 
     Scoring keeps no state, and the file sink records each batch once.
     """
-    if model.classes.filter(f"model = {bayes.ALL}").count() > bayes.BLOCK_CLASSES:
+    if model.documents().filter(f"model = {bayes.ALL}").count() > bayes.BLOCK_CLASSES:
         raise ValueError("a stream needs a model whose classes fit one block")
     scored = triage.classify_tickets(arrivals, model, clean, stopwords)
     return (
