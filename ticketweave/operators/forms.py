@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import CAT_TYPES
+from .lookup import with_expiry
 
 # Limits of the registration form and the HTML5 e-mail pattern.
 USERNAME_LENGTH = (4, 30)
@@ -79,6 +80,18 @@ def new_tickets(forms: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def new_tokens(requests: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """Token rows for requests with email and account_username.
+
+    The token is a digest of the request, the same on every run: an identifier
+    for batch work, not a secret.
+    """
+    seed = F.concat_ws("|", "email", "account_username", F.date_format(as_of, "yyyy-MM-dd HH:mm:ss"))
+    return with_expiry(
+        requests.select(F.sha2(seed, 256).alias("token"), "email", "account_username", as_of.alias("_at")), "_at", hours
+    ).select("token", "email", "expires_at", "account_username")
+
+
 def explode_list(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """One row per member of a list column, with its position."""
     return df.select(*keep, F.posexplode(column).alias("position", "member"))

@@ -51,13 +51,13 @@ def by_provider_and_email(df: DataFrame, provider_id: str, email: str) -> DataFr
     return df.filter((F.col("provider_id") == provider_id) & (F.col("email") == email))
 
 
-def by_username_or_email(df: DataFrame, username: str, email: str, strict_ref: bool = True) -> DataFrame:
+def by_username_or_email(df: DataFrame, username: str, email: str, email_as_given: bool = True) -> DataFrame:
     """Accounts with this user name or e-mail address, ignoring case.
 
-    With ``strict_ref`` the given address is not lower-cased, so one with
+    With ``email_as_given`` the given address is not lower-cased, so one with
     capitals matches nothing.
     """
-    wanted = email if strict_ref else email.lower()
+    wanted = email if email_as_given else email.lower()
     return df.filter((F.lower("username") == username.lower()) | (F.lower("email") == wanted))
 
 

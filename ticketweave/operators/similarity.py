@@ -4,11 +4,14 @@ Every corpus row is scored against every query, as the result demands, but no
 pair of rows is ever shuffled: the queries travel to the corpus in blocks whose
 size is checked, each task keeps its own k best per query, and only those are
 exchanged (tasks x queries x k rows in all). A batch too large for one block is
-cut into more blocks, each one more pass over the corpus.
+cut into more blocks, each one more pass over the corpus; when there are many,
+each block's result is written before the next one is fetched, so the driver
+holds one block however large the batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,10 +21,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.vectors import NUM_FEATURES, long_form
+from ..session import materialize, work_path
 
 RESULT_SCHEMA = "id bigint, that_id bigint, similarity double"
 # A block is a dense num_features x queries table of doubles in each Python worker.
 BLOCK_QUERIES = 256
+# Up to this many blocks are scored by one lazy plan.
+PLAN_BLOCKS = 8
 EMPTY = -1.0  # stands for "no score" (a vector without terms) and sorts last
 
 
@@ -44,24 +50,21 @@ def bucket_scale(idf: DataFrame, num_features: int = NUM_FEATURES) -> np.ndarray
     return scale
 
 
-def _query_blocks(queries: DataFrame, block_queries: int) -> list[pa.Table]:
-    """Cut the batch by a hash of its ids until every block fits, then fetch block by block."""
+def _query_blocks(queries: DataFrame, block_queries: int) -> tuple[int, Iterator[pa.Table]]:
+    """Cut the batch by a hash of its ids until every block fits; fetch block by block."""
     total = queries.count()
-    blocks = max(1, -(-total // block_queries))
-    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    while blocks > 1:
-        largest = queries.groupBy(block_of.alias("b")).count().agg(F.max("count")).first()[0]
-        if largest <= block_queries:
-            break
+    if total <= block_queries:
+        return min(total, 1), iter([queries.toArrow()] if total else [])
+    stored = materialize(queries, "queries")
+    blocks = -(-4 * total // (3 * block_queries))
+    while True:
+        block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        sizes = stored.groupBy(block_of.alias("b")).count()
+        if sizes.agg(F.max("count")).first()[0] <= block_queries:
+            return blocks, (stored.filter(block_of == b).toArrow() for b in range(blocks))
         if blocks > 64 * total:
             raise ValueError("query ids must be unique")
         blocks *= 2
-        block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    return [
-        table
-        for b in range(blocks)
-        if (table := queries.filter(block_of == b).select("id", "terms").toArrow()).num_rows
-    ]
 
 
 def _block_scorer(block: pa.Table, k: int, exclude_self: bool, scale: np.ndarray | None, num_features: int):
@@ -120,6 +123,7 @@ def top_similar(
     idf: DataFrame | None = None,
     num_features: int = NUM_FEATURES,
     block_queries: int = BLOCK_QUERIES,
+    plan_blocks: int = PLAN_BLOCKS,
 ) -> DataFrame:
     """The ``k`` most similar corpus rows of each query: (id, that_id, similarity).
 
@@ -131,16 +135,25 @@ def top_similar(
     """
     scale = None if idf is None else bucket_scale(idf, num_features)
     pairs = corpus.select("id", "terms")
-    parts = [
-        pairs.mapInArrow(_block_scorer(block, k, exclude_self, scale, num_features), RESULT_SCHEMA)
-        for block in _query_blocks(queries, block_queries)
-    ]
-    if not parts:
-        return pairs.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    count, blocks = _query_blocks(queries.select("id", "terms"), block_queries)
+
+    def best(block: pa.Table) -> DataFrame:
+        return pairs.mapInArrow(_block_scorer(block, k, exclude_self, scale, num_features), RESULT_SCHEMA)
+
+    if count <= plan_blocks:
+        parts = [best(block) for block in blocks if block.num_rows]
+        if not parts:
+            return pairs.sparkSession.createDataFrame([], RESULT_SCHEMA)
+        return _overall_best(reduce(DataFrame.unionAll, parts), k)
+    path = work_path(pairs.sparkSession, "similar")
+    for block in blocks:
+        if block.num_rows:
+            _overall_best(best(block), k).write.mode("append").parquet(path)
+    return pairs.sparkSession.read.schema(RESULT_SCHEMA).parquet(path)
+
+
+def _overall_best(candidates: DataFrame, k: int) -> DataFrame:
+    """The k best of what the tasks kept for each query."""
     order = Window.partitionBy("id").orderBy(F.col("similarity").desc_nulls_last(), F.col("that_id"))
-    return (
-        reduce(DataFrame.unionAll, parts)
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= k)
-        .drop("_rank")
-    )
+    ranked = candidates.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= k).drop("_rank")

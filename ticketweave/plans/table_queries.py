@@ -315,6 +315,16 @@ def new_tickets(spark, sf):
     )
 
 
+@query(
+    "new_tokens",
+    f"""WITH {ACCOUNTS_SQL} SELECT sha256(email || '|' || username || '|2024-02-01 00:00:00') AS token, email,
+        TIMESTAMP '2024-02-01 01:00:00' AS expires_at, username AS account_username FROM accounts""",
+)
+def new_tokens(spark, sf):
+    requests = accounts(spark, sf).selectExpr("email", "username AS account_username")
+    return forms.new_tokens(requests, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+
+
 @query(
     "ticket_cc_explode",
     """SELECT id, CAST(position - 1 AS INTEGER) AS position, member FROM (

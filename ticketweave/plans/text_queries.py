@@ -285,7 +285,8 @@ def stream_classify(spark, sf):
     new = readers.load_summary(arriving, "doc_id", "text").join(known, "id", "left_anti")
     out = work_path(spark, "classified")
     arrivals.classify_stream(
-        new, model, out, work_path(spark, "checkpoint"), stopwords=STOPWORDS
+        new, model, out, work_path(spark, "checkpoint"), stopwords=STOPWORDS,
+        partitions=spark.sparkContext.defaultParallelism,
     ).awaitTermination()
     return predicted(spark.read.parquet(out))
 

@@ -107,32 +107,30 @@ def classify_tickets(
     return bayes.classify(vectors, model)
 
 
-def assignee_names(labels: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(label, assigned_to_name) for the few labels of a model, ignoring case.
-
-    Joining the labels instead of the tickets keeps hot labels out of the
-    shuffle. An account name may match several labels; of several accounts
-    with one user name the smallest display name is taken.
-    """
-    wanted = labels.select("label", F.lower(F.coalesce("label", F.lit(""))).alias("_login"))
-    named = accounts.groupBy(F.lower("username").alias("_login")).agg(F.min("name").alias("assigned_to_name"))
-    return wanted.join(named, "_login").select("label", "assigned_to_name")
-
-
-# Names of this many labels are sent to every task; more are joined by shuffle.
+# Labels up to this number are sent to every task; more are joined by shuffle.
 BROADCAST_LABELS = 100_000
 
 
 def assign(scored: DataFrame, model: bayes.NaiveBayes, accounts: DataFrame) -> DataFrame:
-    """Turn predictions into ``assigned_to`` and ``assigned_to_name`` (null if no account)."""
-    labels = model.documents().filter(F.col("model") == bayes.ALL).select("label")
-    names = assignee_names(labels, accounts)
-    if labels.count() <= BROADCAST_LABELS:
-        names = F.broadcast(names)
+    """Turn predictions into ``assigned_to`` and ``assigned_to_name`` (null if no account).
+
+    The model's labels, not the tickets, are looked up among the accounts,
+    ignoring case: a label most tickets share costs one lookup. Of several
+    accounts with one user name the smallest display name is taken.
+    """
+    labels = model.documents().filter(F.col("model") == bayes.ALL)
+    labels = labels.select("label", F.lower(F.coalesce("label", F.lit(""))).alias("_login"))
+    few = labels.count() <= BROADCAST_LABELS
+    named = accounts.select(F.lower("username").alias("_login"), "name")
+    names = (
+        named.join(F.broadcast(labels) if few else labels, "_login")
+        .groupBy(F.col("label").alias("assigned_to"))
+        .agg(F.min("name").alias("assigned_to_name"))
+    )
     return (
         scored.withColumnRenamed("prediction", "assigned_to")
-        .join(names.withColumnRenamed("label", "assigned_to"), "assigned_to", "left")
-        .select(*[c if c != "prediction" else "assigned_to" for c in scored.columns], "assigned_to_name")
+        .join(F.broadcast(names) if few else names, "assigned_to", "left")
+        .select(*["assigned_to" if c == "prediction" else c for c in scored.columns], "assigned_to_name")
     )
 
 
