@@ -75,6 +75,13 @@ def test_identical_disjoint_and_empty_texts(spark):
     assert got[1, 2] == 1.0 and got[1, 4] == 0.0 and got[1, 5] is None and got[5, 1] is None
 
 
+def test_many_copies_of_one_text(spark):
+    rows = [(i, "lampu mati" if i % 3 == 0 else f"laporan {i % 50} lampu") for i in range(300)]
+    queries = [(0, "lampu mati"), (1, "laporan 7")]
+    got = similarity.top_similar(vectors(spark, queries), vectors(spark, rows).repartition(5), 11)
+    assert collected(got) == brute(queries, rows, 11)
+
+
 def test_scores_stay_within_bounds(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     v = with_terms(docs, "text").persist()

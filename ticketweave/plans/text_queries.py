@@ -16,9 +16,14 @@ from .oracle import STOPWORDS
 from .registry import query, table
 
 
+def stored(spark, sf, *keep: str) -> DataFrame:
+    """The documents as tickets (id, description)."""
+    return readers.load_summary(table(spark, sf, "documents"), "doc_id", "text", *keep)
+
+
 def summaries(spark, sf, *keep: str) -> DataFrame:
-    """The documents as tickets (id, description), spread over all cores."""
-    return readers.spread(readers.load_summary(table(spark, sf, "documents"), "doc_id", "text", *keep), "id")
+    """The documents as tickets, spread over all cores."""
+    return readers.spread(stored(spark, sf, *keep), "id")
 
 
 def questions(spark, sf) -> DataFrame:
@@ -28,18 +33,24 @@ def questions(spark, sf) -> DataFrame:
 
 def labeled(spark, sf, label: str = "lang") -> DataFrame:
     """Training rows (id, description, assigned_to)."""
-    source = summaries(spark, sf, label)
-    return readers.load_labeled(source, "description", label, "id")
+    return readers.load_labeled(summaries(spark, sf, label), "description", label, "id")
+
+
+def known(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").selectExpr("doc_id AS id")
 
 
 def assigned(spark, sf) -> DataFrame:
     """Documents someone has labelled: the training set."""
-    return labeled(spark, sf).join(table(spark, sf, "labels").selectExpr("doc_id AS id"), "id", "left_semi")
+    source = stored(spark, sf, "lang")
+    kept = source.join(known(spark, sf), "id", "left_semi")
+    return readers.load_labeled(readers.spread(kept, "id", source=source), "description", "lang", "id")
 
 
 def unassigned(spark, sf) -> DataFrame:
     """Documents nobody has labelled: the tickets to classify."""
-    return summaries(spark, sf).join(table(spark, sf, "labels").selectExpr("doc_id AS id"), "id", "left_anti")
+    source = stored(spark, sf)
+    return readers.spread(source.join(known(spark, sf), "id", "left_anti"), "id", source=source)
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -281,8 +292,7 @@ BENCHMARK_SCHEMA = "item_id bigint, text string"
 def stream_classify(spark, sf):
     model = triage.train(assigned(spark, sf), stopwords=STOPWORDS)
     arriving = arrivals.read_arrivals(spark, sf, DOCUMENT_SCHEMA, "documents.parquet")
-    known = table(spark, sf, "labels").selectExpr("doc_id AS id")
-    new = readers.load_summary(arriving, "doc_id", "text").join(known, "id", "left_anti")
+    new = readers.load_summary(arriving, "doc_id", "text").join(known(spark, sf), "id", "left_anti")
     out = work_path(spark, "classified")
     arrivals.classify_stream(
         new, model, out, work_path(spark, "checkpoint"), stopwords=STOPWORDS,

@@ -49,14 +49,17 @@ def read_jdbc(spark: SparkSession, columns: list[str], **source) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**source)).load().select(*columns)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a plain scan whose files give fewer splits than there are cores.
+def spread(df: DataFrame, *keys: str, source: DataFrame | None = None) -> DataFrame:
+    """Redistribute rows whose scan gives fewer splits than there are cores.
 
     Text work is bound by the processor. A table of many files already has
-    enough splits and passes through untouched.
+    enough splits and passes through untouched. Name the plain scan as
+    ``source`` when ``df`` has filters or joins on top of it, so that only the
+    rows they keep are moved.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    splits = (df if source is None else source).rdd.getNumPartitions()
+    return df if splits >= wanted else df.repartition(wanted, *keys)
 
 
 def load_labeled(df: DataFrame, description: str, assigned_to: str, *keep: str) -> DataFrame:
