@@ -102,3 +102,24 @@ def test_words_sharing_a_bucket_are_added(spark):
     df = spark.createDataFrame([(1, "satu dua tiga empat lima")], "id int, t string")
     row = vectors.with_terms(df, "t", clean=False, num_features=1).first()
     assert [(t.bucket, t.tf) for t in row.terms] == [(0, 5)]
+
+
+def test_cleaning_equals_sql_on_random_texts(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from ticketweave.plans import oracle
+
+    parts = (
+        ' "|<br />|<BR />|<br/>|jl |jln |Jl| sy | bpk | blm | dtg | bdg |ma af|maaf|terima kasih|tindak lanjut| a | b|'
+        "12| 7 |.|, |\n|\t|  |   |é|Ü|ß|İ|\u2028|\U0001f600|the|der|los|lampu|jalan|x|bandung|br|bdg"
+    ).split("|")
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(5000)]
+    frame = pd.DataFrame({"i": range(len(texts)), "t": texts})
+    want = duckdb.sql(f"SELECT i, {oracle.cleaned('t')} AS x FROM frame ORDER BY i").fetchall()
+    got = apply(spark, text.clean_text("t", oracle.STOPWORDS), texts)
+    differ = [(t, g, w) for t, g, (_, w) in zip(texts, got, want) if g != w]
+    assert differ == []

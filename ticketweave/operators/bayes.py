@@ -36,7 +36,7 @@ ALL = -1
 # Pseudo-bucket under which the documents themselves are counted.
 DOCUMENT = -1
 # Classes scored together: a dense num_features x classes table in each Python worker.
-BLOCK_CLASSES = 128
+BLOCK_CLASSES = 64
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:

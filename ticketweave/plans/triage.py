@@ -13,6 +13,7 @@ from ..functions.vectors import NUM_FEATURES, term_norm, with_terms
 from ..functions.wordlists import DEFAULT_STOPWORDS
 from ..operators import bayes, evaluation, similarity
 from ..session import materialize
+from ..sources.readers import read_if_present
 
 
 def fold_of(id_column: str = "id", folds: int = bayes.FOLDS):
@@ -180,13 +181,8 @@ def publish_model(model: bayes.NaiveBayes, root: str, version: int) -> None:
 
 def latest_model(spark: SparkSession, root: str) -> bayes.NaiveBayes:
     """The newest announced model; an error if there is none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        published = spark.read.schema("version bigint").parquet(f"{root}/published")
-        version = published.agg(F.max("version")).first()[0]
-    except AnalysisException:
-        version = None
+    published = read_if_present(spark, f"{root}/published", "version bigint")
+    version = None if published is None else published.agg(F.max("version")).first()[0]
     if version is None:
         raise LookupError(f"no model has been published under {root}")
     return bayes.NaiveBayes.load(spark, f"{root}/models/{version}")

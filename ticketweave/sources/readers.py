@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,16 @@ def read_jdbc(spark: SparkSession, columns: list[str], **source) -> DataFrame:
     return spark.read.format("jdbc").options(**jdbc_options(**source)).load().select(*columns)
 
 
+def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """A Parquet table, or None if nothing has been written to the path yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def spread(df: DataFrame, *keys: str, source: DataFrame | None = None) -> DataFrame:
     """Redistribute rows whose scan gives fewer splits than there are cores.
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .readers import read_if_present
+
 
 def append_rows(df: DataFrame, path: str) -> None:
     """Add rows to a Parquet table."""
@@ -37,9 +38,8 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _newest(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    try:
-        versions = spark.read.schema("number bigint, folder string").parquet(f"{root}/versions")
-        row = versions.agg(F.max(F.struct("number", "folder")).alias("v")).first()
-    except AnalysisException:
+    versions = read_if_present(spark, f"{root}/versions", "number bigint, folder string")
+    if versions is None:
         return None
+    row = versions.agg(F.max(F.struct("number", "folder")).alias("v")).first()
     return None if row.v is None else (row.v.number, row.v.folder)
