@@ -4,8 +4,10 @@ import pytest
 from oracle_check import compare, duck
 
 import __spark_entry__ as entry
-from ticketweave.operators import lookup
-from ticketweave.plans import table_queries, text_queries
+from ticketweave.functions.vectors import with_terms
+from ticketweave.operators import bayes, lookup
+from ticketweave.plans import table_queries, text_queries, triage
+from ticketweave.session import materialize
 
 # Queries that start streams or fit models have no single plan to look at.
 EAGER = ("stream_classify", "stream_similar", "cv_ml", "ml_pipeline")
@@ -44,3 +46,21 @@ def test_filters_and_columns_reach_the_scan(spark, small):
 def test_text_is_cleaned_once_and_without_a_second_shuffle(spark, small):
     plan = plan_of(text_queries.hashed_tf(spark, small))
     assert plan.count("md5(") == 1 and plan.count("Exchange") == 1
+    plan = plan_of(text_queries.tf_normalized(spark, small))
+    assert plan.count("md5(") == 1 and plan.count("Exchange") == 1
+
+
+def test_counting_cleans_once_and_combines_before_the_shuffle(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("text", "lang")
+    counts = bayes.class_counts(with_terms(docs, "text"), "lang")
+    plan = plan_of(bayes.training_counts(counts))
+    assert plan.count("md5(") == 1 and plan.count("Exchange") == 1
+    assert "partial_sum" in plan
+
+
+def test_scoring_shuffles_nothing(spark, small):
+    docs = text_queries.labeled(spark, small)
+    model = triage.train(docs)
+    stored = materialize(with_terms(docs, "description"), "vectors")
+    plan = plan_of(bayes.classify(stored, model))
+    assert "MapInArrow" in plan and "Exchange" not in plan

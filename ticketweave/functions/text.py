@@ -72,5 +72,5 @@ def words_of(
     """
     if not clean:
         return tokenize(text, drop_empty)
-    words = drop_words(F.split(normalize_text(text), " "), stopwords)
-    return F.filter(words, lambda w: w != "") if drop_empty else words
+    dropped = [*stopwords, ""] if drop_empty else stopwords
+    return drop_words(F.split(normalize_text(text), " "), dropped)
