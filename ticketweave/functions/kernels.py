@@ -5,10 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Products held in memory at a time, in doubles.
-CHUNK_CELLS = 4_000_000
-
-
 def csr_parts(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row offsets, buckets and counts of a ``terms`` column, without copying rows."""
     offsets = terms.offsets.to_numpy()
@@ -24,26 +20,22 @@ def csr_parts(terms: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def row_sums(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum the values of each row; rows without terms give 0."""
-    out = np.zeros((len(offsets) - 1, *values.shape[1:]))
+    out = np.zeros(len(offsets) - 1)
     filled = np.flatnonzero(np.diff(offsets))
     if len(filled):
-        out[filled] = np.add.reduceat(values, offsets[filled], axis=0)
+        out[filled] = np.add.reduceat(values, offsets[filled])
     return out
 
 
 def dot_rows(offsets, buckets, weights, dense: np.ndarray) -> np.ndarray:
-    """Each row's sparse vector times ``dense`` (bucket x column), in bounded chunks."""
-    rows, columns = len(offsets) - 1, dense.shape[1]
-    out = np.zeros((rows, columns))
-    budget = max(1, CHUNK_CELLS // max(1, columns))
-    start = 0
-    while start < rows:
-        stop = int(np.searchsorted(offsets, offsets[start] + budget, side="right")) - 1
-        stop = min(max(stop, start + 1), rows)
-        low, high = offsets[start], offsets[stop]
-        products = dense[buckets[low:high]] * weights[low:high, None]
-        out[start:stop] = row_sums(offsets[start : stop + 1] - low, products)
-        start = stop
+    """``dense`` (column x bucket) times each row's sparse vector: column x row.
+
+    Column by column: one column stays in the processor's cache, and the
+    products take no more memory than the batch itself.
+    """
+    out = np.empty((len(dense), len(offsets) - 1))
+    for i, column in enumerate(dense):
+        out[i] = row_sums(offsets, column[buckets] * weights)
     return out
 
 

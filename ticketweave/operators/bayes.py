@@ -35,7 +35,7 @@ FOLDS = 3
 ALL = -1
 # Pseudo-bucket under which the documents themselves are counted.
 DOCUMENT = -1
-# Classes scored together: a dense num_features x classes table in each Python worker.
+# Classes scored together: a dense classes x num_features table in each Python worker.
 BLOCK_CLASSES = 64
 
 
@@ -174,14 +174,14 @@ def _blocks(model: NaiveBayes, keys: Sequence[int] | None, block_classes: int) -
             labels = part["label"].tolist()
             own = cells[(cells["model"] == key) & cells["label"].isin(labels)]
             column = own["label"].map({label: i for i, label in enumerate(labels)})
-            mass = np.zeros((model.num_features, len(labels)))
-            mass[own["bucket"].to_numpy(), column.to_numpy(dtype=np.int64)] = own["tf"]
-            mass *= idf[key][:, None]
-            total = mass.sum(axis=0) + model.smoothing * model.num_features
+            mass = np.zeros((len(labels), model.num_features))
+            mass[column.to_numpy(dtype=np.int64), own["bucket"].to_numpy()] = own["tf"]
+            mass *= idf[key]
+            total = mass.sum(axis=1) + model.smoothing * model.num_features
             share = (part["n_docs"] + model.smoothing) / (
                 classes[key]["n_docs"].sum() + model.smoothing * len(classes[key])
             )
-            weights = idf[key][:, None] * (np.log(mass + model.smoothing) - np.log(total))
+            weights = idf[key] * (np.log(mass + model.smoothing) - np.log(total)[:, None])
             block[key] = _Block(labels, np.log(share.to_numpy()), weights)
         blocks.append(block)
     return blocks
@@ -205,11 +205,12 @@ def _scorer(block: dict[int, _Block], schema: T.StructType, constant: int | None
                 lengths = np.diff(offsets)[chosen]
                 own_offsets = np.concatenate([[0], np.cumsum(lengths)])
                 picked = np.repeat(offsets[:-1][chosen] - own_offsets[:-1], lengths) + np.arange(own_offsets[-1])
-                scores = kernels.dot_rows(own_offsets, buckets[picked], counts[picked], part.weights) + part.prior
+                scores = kernels.dot_rows(own_offsets, buckets[picked], counts[picked], part.weights)
+                scores += part.prior[:, None]
                 # Labels are in order, so the first of equal scores is the smallest label.
-                top = np.argmax(np.round(scores, 6), axis=1)
+                top = np.argmax(np.round(scores, 6), axis=0)
                 best_label[chosen] = np.asarray(part.labels, dtype=object)[top]
-                best_score[chosen] = scores[np.arange(len(chosen)), top]
+                best_score[chosen] = scores[top, np.arange(len(chosen))]
             arrays = [batch.column(n) for n in names[:-2]] + [
                 pa.array(best_label, pa.string()),
                 pa.array(best_score, mask=np.isnan(best_score)),

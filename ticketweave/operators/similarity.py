@@ -24,7 +24,7 @@ from ..functions.vectors import NUM_FEATURES, long_form
 from ..session import materialize, work_path
 
 RESULT_SCHEMA = "id bigint, that_id bigint, similarity double"
-# A block is a dense num_features x queries table of doubles in each Python worker.
+# A block is a dense queries x num_features table of doubles in each Python worker.
 BLOCK_QUERIES = 256
 # Up to this many blocks are scored by one lazy plan.
 PLAN_BLOCKS = 8
@@ -75,9 +75,9 @@ def _block_scorer(block: pa.Table, k: int, exclude_self: bool, scale: np.ndarray
     def score(batches):
         query_weights = counts if scale is None else counts * scale[buckets]
         query_norm = np.sqrt(kernels.row_sums(offsets, query_weights**2))
-        dense = np.zeros((num_features, len(query_ids)))
+        dense = np.zeros((len(query_ids), num_features))
         owner = np.repeat(np.arange(len(query_ids)), np.diff(offsets))
-        dense[buckets, owner] = query_weights
+        dense[owner, buckets] = query_weights
         best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
 
         for batch in batches:
@@ -87,10 +87,10 @@ def _block_scorer(block: pa.Table, k: int, exclude_self: bool, scale: np.ndarray
                 weights = weights * scale[cols]
             norm = np.sqrt(kernels.row_sums(rows, weights**2))
             dots = kernels.dot_rows(rows, cols, weights, dense)
-            lengths = norm[:, None] * query_norm[None, :]
+            lengths = query_norm[:, None] * norm[None, :]
             similar = np.full(dots.shape, EMPTY)
             np.divide(dots, lengths, out=similar, where=lengths > 0)
-            ranked = np.ascontiguousarray(np.where(similar < 0, EMPTY, kernels.round6(similar)).T)
+            ranked = np.where(similar < 0, EMPTY, kernels.round6(similar))
             for q, values in enumerate(ranked):
                 keep = ids != query_ids[q] if exclude_self else slice(None)
                 values = np.concatenate([best[q][0], values[keep]])
