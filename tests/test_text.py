@@ -85,6 +85,12 @@ def test_words_of_equals_cleaning_then_tokenizing(spark, small):
     assert docs.filter(text.words_of("text", True, LISTED) != whole).count() == 0
 
 
+def test_an_emptied_text_keeps_one_token_on_request(spark):
+    values = ["yang di", "", "lampu yang  mati"]
+    assert apply(spark, text.words_of("t", True, LISTED, drop_empty=False), values) == [[""], [""], ["lampu", "mati"]]
+    assert apply(spark, text.words_of("t", True, LISTED), values) == [[], [], ["lampu", "mati"]]
+
+
 def test_read_stopwords(tmp_path):
     path = tmp_path / "words.txt"
     path.write_text("satu\n\ndua\nsatu\n", encoding="utf-8")

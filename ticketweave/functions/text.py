@@ -68,9 +68,11 @@ def words_of(
     """Tokens of a description, cleaned first unless ``clean`` is false.
 
     Cleaned text holds only ``[a-z ]``, so its words are taken from the cleaned
-    array directly instead of being joined and split again.
+    array directly instead of being joined and split again. With ``drop_empty``
+    false an emptied text keeps one empty token, as the tokenizer gives it.
     """
     if not clean:
         return tokenize(text, drop_empty)
-    dropped = [*stopwords, ""] if drop_empty else stopwords
-    return drop_words(F.split(normalize_text(text), " "), dropped)
+    if not drop_empty:
+        return tokenize(clean_text(text, stopwords), drop_empty)
+    return drop_words(F.split(normalize_text(text), " "), [*stopwords, ""])

@@ -56,7 +56,19 @@ def cleaned(column: str) -> str:
 BUCKET = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 20000"
 
 
-def term_counts(name: str, source: str, id_column: str, text: str) -> str:
+def stored_words(column: str) -> str:
+    """Words of a text as stored, the empty ones between two spaces included."""
+    stripped = f"rtrim(lower({column}), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    split = f"string_split_regex({stripped}, '[ \\t\\n\\x0b\\f\\r]')"
+    return f"CASE WHEN {stripped} = '' AND {column} <> '' THEN [] ELSE {split} END"
+
+
+def cleaned_words(column: str) -> str:
+    """Words of a cleaned text; an emptied one keeps a single empty word."""
+    return f"string_split({cleaned(column)}, ' ')"
+
+
+def term_counts(name: str, source: str, id_column: str, text: str, words=words) -> str:
     """CTE (id, bucket, tf)."""
     return (
         f"{name} AS (SELECT id, {BUCKET} AS bucket, count(*) AS tf FROM "
@@ -64,15 +76,15 @@ def term_counts(name: str, source: str, id_column: str, text: str) -> str:
     )
 
 
-def similar(weighting: str = "tf") -> str:
+def similar(weighting: str = "tf", corpus_words=words, query_words=words) -> str:
     """Top 11 documents for each benchmark text, empty overlaps and empty texts included."""
     n = "(SELECT count(*) FROM documents)"
     if weighting == "tf":
         d_weight = q_weight = "CAST(tf AS DOUBLE)"
     else:
         d_weight = q_weight = "tf * coalesce(idf, 0)"
-    return f"""WITH {term_counts("d0", "documents", "doc_id", "text")},
-    {term_counts("q0", "benchmark", "item_id", "text")},
+    return f"""WITH {term_counts("d0", "documents", "doc_id", "text", corpus_words)},
+    {term_counts("q0", "benchmark", "item_id", "text", query_words)},
     idf AS (SELECT bucket, ln(({n} + 1.0) / (count(*) + 1.0)) AS idf FROM d0 GROUP BY bucket),
     d AS (SELECT id, bucket, {d_weight} AS x FROM d0 LEFT JOIN idf USING (bucket)),
     q AS (SELECT id, bucket, {q_weight} AS x FROM q0 LEFT JOIN idf USING (bucket)),

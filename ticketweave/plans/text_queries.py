@@ -154,6 +154,14 @@ def similar_topk_tfidf(spark, sf):
     return triage.find_similar(questions(spark, sf), index, weighting="tfidf", stopwords=STOPWORDS)
 
 
+@query("similar_as_stored", oracle.similar("tf", oracle.stored_words, oracle.cleaned_words))
+def similar_as_stored(spark, sf):
+    """Only the queries are cleaned, the corpus is taken as stored."""
+    path = work_path(spark, "index")
+    index = triage.build_index(summaries(spark, sf), path, clean_corpus=False, drop_empty=False)
+    return triage.find_similar(questions(spark, sf), index, stopwords=STOPWORDS, drop_empty=False)
+
+
 # ---- classification ------------------------------------------------------------------
 
 

@@ -27,9 +27,10 @@ def train(
     stopwords: Iterable[str] = DEFAULT_STOPWORDS,
     smoothing: float = bayes.SMOOTHING,
     num_features: int = NUM_FEATURES,
+    drop_empty: bool = True,
 ) -> bayes.NaiveBayes:
     """A classifier from (description, assigned_to), in one pass over the text."""
-    vectors = with_terms(labeled, "description", clean_corpus, stopwords, num_features=num_features)
+    vectors = with_terms(labeled, "description", clean_corpus, stopwords, drop_empty, num_features)
     counts = bayes.training_counts(bayes.class_counts(vectors, "assigned_to"))
     # The model is read several times, the text only once: write the counts.
     return bayes.NaiveBayes(materialize(counts, "counts"), smoothing, num_features)
@@ -54,6 +55,7 @@ def build_model(
     folds: int = bayes.FOLDS,
     clean_corpus: bool = True,
     stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    drop_empty: bool = True,
 ) -> Training:
     """Cross-validate a grid of (num_features, smoothing), refit the best on all rows.
 
@@ -69,9 +71,8 @@ def build_model(
     keys = F.array("fold", F.lit(bayes.ALL)) if folds else F.array("fold")
     features, fitted, reports = {}, {}, []
     for size in dict.fromkeys(size for size, _ in grid):
-        vectors = materialize(
-            with_terms(prepared, "description", clean_corpus, stopwords, num_features=size), "vectors"
-        )
+        vectors = with_terms(prepared, "description", clean_corpus, stopwords, drop_empty, size)
+        vectors = materialize(vectors, "vectors")
         counts = bayes.training_counts(bayes.class_counts(vectors, "assigned_to", "fold"), folds)
         features[size] = (vectors, materialize(counts, "counts"))
     for size, smoothing in grid:
@@ -102,9 +103,10 @@ def classify_tickets(
     model: bayes.NaiveBayes,
     clean: bool = True,
     stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    drop_empty: bool = True,
 ) -> DataFrame:
     """Score every ticket (id, description, ...): ``prediction`` and ``score`` are added."""
-    vectors = with_terms(tickets, "description", clean, stopwords, num_features=model.num_features)
+    vectors = with_terms(tickets, "description", clean, stopwords, drop_empty, model.num_features)
     return bayes.classify(vectors, model)
 
 
@@ -159,9 +161,10 @@ def find_similar(
     exclude_self: bool = False,
     weighting: str = "tf",
     stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    drop_empty: bool = True,
 ) -> DataFrame:
     """The ``k`` most similar indexed tickets of each query (id, description)."""
-    vectors = with_terms(queries, "description", True, stopwords)
+    vectors = with_terms(queries, "description", True, stopwords, drop_empty)
     idf = None
     if weighting == "tfidf":
         idf = similarity.idf_table(index, index.count())
