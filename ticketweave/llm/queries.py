@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring
+from . import neardup, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,32 @@ FROM w LEFT JOIN gone_lists USING (doc_id)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     cut = substring.remove_repeats(table(spark, folder, "documents"), keep_text=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+NEARDUP_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) < 2 THEN words
+    ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles
+  FROM w
+), x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both
+  FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id
+), link AS (SELECT a, b FROM common WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM s
+  UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+)
+SELECT s.doc_id, any_value(len(shingles)) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept
+FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
+"""
+
+
+@query("op4_minhash_neardup", NEARDUP_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=2)
