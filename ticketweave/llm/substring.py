@@ -131,12 +131,13 @@ def repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, seed: int =
     seeds = work.write(seeds, "seeds")
     shared = work.write(blocks.join(seeds, "anchor"), "blocks")
     work.drop("seeds")
-    first = shared.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"))
-    placed = shared.join(first, ["anchor", "block"]).select(
-        "doc_id", "part", "start", "n", "mixed", (F.col("doc_id") > F.col("first")).alias("repeat")
-    )
+    # Written first, so that a passage very many documents hold can be split in the join.
+    first = shared.groupBy("anchor", "block").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = work.write(first.filter("first < last").drop("last"), "first")
+    repeat = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("repeat")
+    placed = shared.join(first, ["anchor", "block"], "left").select("doc_id", "part", "start", "n", "mixed", repeat)
     placed = work.write(placed, "placed")
-    work.drop("blocks")
+    work.drop("blocks", "first")
     opened = (
         placed.filter("mixed AND NOT repeat")
         .groupBy("doc_id", "part")
@@ -145,11 +146,12 @@ def repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, seed: int =
     windows = docs.join(opened, ["doc_id", "part"]).mapInArrow(_window_rows(length), WINDOWS)
     windows = work.write(windows, "windows")
     source = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    single = windows.join(source.filter("first < last"), ["h1", "h2"]).filter("doc_id > first")
+    source = work.write(source.filter("first < last").drop("last"), "source")
+    single = windows.join(source, ["h1", "h2"]).filter("doc_id > first")
     whole = placed.filter("repeat").select("doc_id", "part", "start", (F.col("n") + length - 1).alias("n"))
     runs = whole.unionAll(single.select("doc_id", "part", "start", F.lit(length).alias("n")))
     runs = work.write(runs, "runs")
-    work.drop("windows", "placed")
+    work.drop("windows", "source", "placed")
     return runs
 
 
