@@ -15,8 +15,9 @@
    ids; then with the other hubs, unless both are in one component already.
    A bucket whose members all are in one component needs no more. In one that
    is not, members of different components are compared with each other while
-   it is small; a large one is banded again inside the bucket, from sketches
-   with other hashes, which parts what only looked alike, and starts over.
+   few are outside the largest; otherwise the bucket is banded again inside,
+   from sketches with other hashes, which parts what only looked alike, and
+   starts over.
    So a group of near copies costs one comparison each, no link is dropped, and
    the number of pairs stays a bounded multiple of the rows.
 5. *Components* of the verified links.
@@ -38,7 +39,7 @@ SHINGLE = 5
 PERCENT = 80
 COORDINATES = 512
 BAND_ROWS = 7
-# Members of a bucket up to which its unsettled pairs are compared directly.
+# Members outside a bucket's largest component up to which they are compared with all others.
 SMALL_BUCKET = 64
 GOLDEN = 0x9E3779B97F4A7C15
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -219,19 +220,25 @@ class _Matcher:
         nearest = members.groupBy("id").agg(F.min("hub").alias("hub"))
         self.verify(nearest.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"first-{level}")
         self.verify(members.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"hub-{level}")
-        # Buckets that still hold several components.
+        # Buckets that still hold several components, and how many members are outside the largest.
         placed = members.select("bucket", "id")
         placed = placed.withColumn("c", F.col("id")) if self.of is None else self._with_component(placed, "id", "c")
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("size"))
-        mixed = work.write(mixed.filter("c1 < c2").select("bucket", "size"), f"mixed-{level}")
-        placed = work.write(placed.join(mixed, "bucket"), f"unsettled-{level}")
+        shares = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+        mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("size"))
+        mixed = mixed.filter("size > top.n").select("bucket", F.col("top.c").alias("main"), F.expr("size - top.n AS rest"))
+        mixed = work.write(mixed, f"mixed-{level}")
+        sizes = self.sets.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        placed = work.write(placed.join(mixed, "bucket").join(sizes, "id"), f"unsettled-{level}")
         work.drop(f"hubs-{level}", f"members-{level}", f"mixed-{level}")
-        few = placed.filter(F.col("size") <= self.small)
-        pairs = few.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca")).join(
-            few.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb")), "bucket"
+        few = placed.filter(F.col("rest") <= self.small)
+        pairs = few.filter("c <> main").select("bucket", *[F.col(x).alias(f"{x}_a") for x in ("id", "c", "lo", "hi")]).join(
+            few.select("bucket", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "c", "lo", "hi")]), "bucket"
         )
-        self.verify(pairs.filter("a > b AND ca <> cb").select("a", "b"), f"pairs-{level}")
-        large = placed.filter(F.col("size") > self.small).select("bucket", "id")
+        # Members outside the largest component against all others; each pair once, if sizes allow a link.
+        close = F.least("hi_a", "hi_b") * 100 >= F.greatest("lo_a", "lo_b") * self.percent
+        pairs = pairs.filter("c_a <> c_b AND (c_b = main OR id_a > id_b)").filter(close)
+        self.verify(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), f"pairs-{level}")
+        large = placed.filter(F.col("rest") > self.small).select("bucket", "id")
         if large.limit(1).count():
             own = large.select(F.col("id").alias("doc_id")).distinct()
             banded = self.docs.join(own, "doc_id", "left_semi").mapInArrow(
