@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, substring
+from . import decontaminate, neardup, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,67 @@ FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id
 @query("op4_minhash_neardup", NEARDUP_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=2)
+
+
+def _draw(key: str, shard: str) -> str:
+    return f"((('0x' || substr(md5({key} || ':' || {shard}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+SHARDING_SQL = f"""
+WITH p AS (
+  SELECT doc_id, s, 1.0 / -ln({_draw("doc_id", "s")}) AS score
+  FROM documents, (SELECT unnest(range(9)) AS s)
+), best AS (
+  SELECT doc_id, arg_max(s, score) FILTER (s < 8) AS shard, arg_max(s, score) AS grown FROM p GROUP BY doc_id
+), crc AS (
+  SELECT list(list_reduce(list_prepend(k, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS crcs
+  FROM (SELECT unnest(range(256)) AS k)
+)
+SELECT d.doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(d.doc_id || '#')) - 1 AS slot, grown::INT AS grown_shard
+FROM documents d JOIN best USING (doc_id), crc
+"""
+
+
+@query("op2_rendezvous_sharding", SHARDING_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    sized = table(spark, folder, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+    )
+    return sharding.assign_shards(sized, "doc_id", 8, grown=1.0)
+
+
+_MASKS = ", ".join(f"('{m}')" for m in decontaminate.MASKS)
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+DECONTAMINATE_SQL = f"""
+WITH masks AS (SELECT unnest(range(length(m))) AS i, m FROM (VALUES {_MASKS}) AS t(m)),
+reads AS (SELECT m, list(i + 1 ORDER BY i) AS places FROM masks WHERE substr(m, i + 1, 1) = '1' GROUP BY m),
+d AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, w, unnest(range(0, len(w) - 12)) AS q FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+ds AS (SELECT doc_id, p, w[p + 1 : p + 13] AS x, m, list_select(w[p + 1 : p + 13], places) AS seed FROM d, reads),
+bs AS (SELECT item_id, q, w[q + 1 : q + 13] AS y, m, list_select(w[q + 1 : q + 13], places) AS seed FROM b, reads),
+hits AS (SELECT DISTINCT doc_id, item_id, p - q AS shift, q, x, y FROM ds JOIN bs USING (m, seed)),
+cells AS (SELECT DISTINCT doc_id, item_id, shift, q + i - 1 AS q, x[i] = y[i] AS same FROM (
+  SELECT *, unnest(range(1, 14)) AS i FROM hits)),
+lines AS (
+  SELECT doc_id, item_id, shift, min(q) AS item_start, count(*) AS n_words, count(*) FILTER (same) AS n_matches
+  FROM cells GROUP BY doc_id, item_id, shift
+), good AS (SELECT * FROM lines WHERE n_matches >= 11 AND n_matches >= n_words * 0.8)
+SELECT doc_id, item_id, (shift + item_start)::INT AS doc_start, item_start::INT AS item_start,
+  n_words::INT AS n_words, n_matches::INT AS n_matches
+FROM good
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC, shift + item_start, item_start) = 1
+"""
+
+
+@query("op5_decontamination", DECONTAMINATE_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
