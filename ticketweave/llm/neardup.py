@@ -287,3 +287,16 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id, with all columns.
+
+    Of rows that repeat a kept doc_id one stays. Rows with a null doc_id all stay.
+    """
+    found = near_duplicates(docs, shingle, percent)
+    kept = docs.join(found.filter("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not repeated.limit(1).count():
+        return kept
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionAll(kept.filter("doc_id IS NULL"))

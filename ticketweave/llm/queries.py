@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, sharding, substring
+from . import decontaminate, mixing, neardup, quality, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,61 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matches DESC,
 @query("op5_decontamination", DECONTAMINATE_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _mixing_sql() -> str:
+    """Raking written out: one CTE per round and dimension."""
+    dims = ("source", "lang", "topic")
+    topics = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
+    parts = [
+        f"""d AS (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang,
+  CASE {topics} ELSE 'prose' END AS topic, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
+        "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+    ]
+    for x in dims:
+        parts.append(f"t_{x} AS (SELECT {x}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS share_{x} FROM c GROUP BY {x})")
+    joined = " ".join(f"JOIN t_{x} USING ({x})" for x in dims)
+    parts.append(f"r0 AS (SELECT *, tokens AS weight, sum(tokens) OVER () AS total FROM c {joined})")
+    number = 0
+    for _ in range(mixing.ROUNDS):
+        for x in dims:
+            number += 1
+            parts.append(
+                f"r{number} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * share_{x} * total / sum(weight) OVER (PARTITION BY {x}) AS weight "
+                f"FROM r{number - 1})"
+            )
+    parts += [
+        f"rate AS (SELECT *, weight / tokens AS rate FROM r{number})",
+        f"""tried AS (SELECT *, greatest(total * {KEEP} - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor
+  FROM rate WINDOW o AS (ORDER BY rate DESC, source, lang, topic))""",
+        """p AS (SELECT source, lang, topic, least(1.0, coalesce(max(factor) FILTER (factor * rate <= 1) OVER (), 1e300) * rate)
+  AS probability FROM tried)""",
+    ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability,
+  {_draw("doc_id", "'mix'")} < probability AS kept
+FROM d JOIN p USING (source, lang, topic)"""
+
+
+# Share of all tokens that the mixture keeps.
+KEEP = 0.8
+
+
+def mixed(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+    """Sources, languages and topics at the square root of their own shares."""
+    dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    return mixing.mix(docs, dimensions, mixing.word_count(F.col("text")), F.col("doc_id"), keep)
+
+
+@query("op9_mixing", _mixing_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents")).select(
+        "row.doc_id", "cell.source", "cell.lang", "cell.topic", "tokens", F.round("probability", 9).alias("probability"), "kept"
+    )
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
