@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, sharding, substring
+from ..session import Workspace
+from . import ann, decontaminate, hosts, licenses, mixing, neardup, quality, sharding, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +202,76 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def _hosts_sql() -> str:
+    """The levels of the hierarchy written out, each with its strength by moments."""
+    two = ", ".join(f"'{s}'" for s in hosts.TWO_LABEL_SUFFIXES)
+    fits = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{h}/{p}'"
+        for h, _, p in (r.partition("/") for r in sorted(RULES, key=lambda r: (len(r), r), reverse=True))
+    )
+    decided = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for r, v in RULES.items())
+
+    def level(name: str, source: str) -> str:
+        return f"""{name}_s AS (SELECT 1 / least(greatest(coalesce((sum((y - n * mu) ** 2) - sum(mu * (1 - mu) * n))
+  / nullif(sum(mu * (1 - mu) * n * (n - 1)), 0), {hosts.MIN_CORRELATION}), {hosts.MIN_CORRELATION}), {hosts.MAX_CORRELATION}) - 1 AS s FROM ({source})),
+{name}_p AS (SELECT *, s * mu + y AS a, s * (1 - mu) + n - y AS b FROM ({source}), {name}_s)"""
+
+    return f"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{hosts.UPPER}', '{hosts.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages
+), named AS (
+  SELECT DISTINCT host, string_split(host, '.') AS l, array_to_string(l[-2:], '.') AS two, two IN ({two}) AS long,
+    CASE WHEN long THEN array_to_string(l[-3:], '.') ELSE two END AS domain, CASE WHEN long THEN two ELSE l[-1] END AS suffix
+  FROM parsed WHERE host <> ''
+), outcomes AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS y FROM parsed JOIN labels ON doc_id = page_id
+  WHERE quality IN (0, 1) GROUP BY host
+), base AS (SELECT host, domain, suffix, coalesce(n, 0) AS n, coalesce(y, 0) AS y FROM named LEFT JOIN outcomes USING (host)),
+x AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (sum(y) + 1) / (sum(n) + 2) FROM base) AS mu FROM base GROUP BY suffix),
+{level("x", "SELECT * FROM x")},
+d AS (SELECT domain, sum(n) AS n, sum(y) AS y, any_value(m.mu) AS mu FROM base JOIN (SELECT suffix, a / (a + b) AS mu FROM x_p) m USING (suffix) GROUP BY domain),
+{level("d", "SELECT * FROM d")},
+h AS (SELECT host, n, y, m.mu FROM base JOIN (SELECT domain, a / (a + b) AS mu FROM d_p) m USING (domain)),
+{level("h", "SELECT * FROM h")},
+ruled AS (SELECT *, CASE {fits} END AS rule FROM parsed)
+SELECT page_id, host, path, rule, CASE {decided}
+  WHEN a / (a + b) + {hosts.DEVIATIONS} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {hosts.WANTED_SHARE} THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN h_p USING (host)"""
+
+
+@query("op7_url_reputation", _hosts_sql())
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    outcomes = table(spark, folder, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return hosts.judge(table(spark, folder, "pages"), outcomes, RULES).drop("mean", "upper")
+
+
+@query("op8_learned_partitions")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+k AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS first FROM k)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to
+FROM f"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, folder, "pages"))
+    stored = Workspace(spark, "archives").write(archives, "archives")
+    return warc.read_archives(stored, payload=False).drop("url")

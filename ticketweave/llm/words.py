@@ -59,14 +59,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - first
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
+def split_words(texts: pa.Array, lower: bool = False, breaks: np.ndarray = SPACE) -> Words:
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return Words(data, none, none, np.zeros(len(offsets), dtype=np.int64))
-    space = SPACE[data]
+    space = breaks[data]
     before, after = np.empty_like(space), np.empty_like(space)
     before[0] = after[-1] = True
     before[1:], after[:-1] = space[:-1], space[1:]
