@@ -14,10 +14,11 @@
    first compared with one hub, the smallest id among its buckets' smallest
    ids; then with the other hubs, unless both are in one component already.
    A bucket whose members all are in one component needs no more. In one that
-   is not, members of different components are compared with each other while
-   few are outside the largest; otherwise the bucket is banded again inside,
-   from sketches with other hashes, which parts what only looked alike, and
-   starts over.
+   is not, the strays, its members outside the largest component, are compared
+   with a few drawn members of that, then with all members of other components,
+   in blocks inside the tasks, so that only links come out. A bucket of very
+   many strays is banded again inside, from sketches with other hashes, which
+   parts what only looked alike, and starts over.
    So a group of near copies costs one comparison each, no link is dropped, and
    the number of pairs stays a bounded multiple of the rows.
 5. *Components* of the verified links.
@@ -39,8 +40,14 @@ SHINGLE = 5
 PERCENT = 80
 COORDINATES = 512
 BAND_ROWS = 7
-# Members outside a bucket's largest component up to which they are compared with all others.
-SMALL_BUCKET = 64
+# Rounds that compare strays, the members outside their bucket's largest component, with drawn members of it.
+SAMPLED_ROUNDS = 1
+# Strays of a bucket up to which they are paired with its other members; up to SMALL_BUCKET they
+# are compared inside tasks, block by block; beyond, the bucket is banded again.
+FEW_STRAYS = 8
+SMALL_BUCKET = 4096
+# Shingles of a block, about 8 bytes each.
+BLOCK_TOKENS = 500_000
 GOLDEN = 0x9E3779B97F4A7C15
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -177,6 +184,33 @@ def _verify(percent: int):
     return run
 
 
+def _block_links(percent: int):
+    """``applyInArrow``: links between the strays of one block and the members of another."""
+
+    def run(members: pa.Table, strays: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if members.num_rows and strays.num_rows:
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in members["shingles"]]
+            tokens = np.concatenate(sets)
+            ids, of, sizes = (members[c].to_numpy() for c in ("id", "c", "n"))
+            ends = np.cumsum([0, *sizes])
+            known, place = np.unique(tokens, return_inverse=True)
+            for stray, own, n, shingles in zip(*(strays[c] for c in ("id", "c", "n", "shingles"))):
+                held = np.zeros(len(known) + 1, dtype=np.int64)
+                mine = np.frombuffer(shingles.as_buffer(), dtype=np.uint64)
+                at = np.searchsorted(known, mine)
+                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)]
+                held[at] = 1
+                counts = np.concatenate([[0], np.cumsum(held[place])])
+                common = counts[ends[1:]] - counts[ends[:-1]]
+                similar = (100 * common >= percent * (sizes + n.as_py() - common)) & (of != own.as_py())
+                links += [(stray.as_py(), int(i)) for i in ids[similar]]
+        columns = list(zip(*links)) if links else [(), ()]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+    return run
+
+
 class _Matcher:
     """Verified links between classes, found bucket by bucket."""
 
@@ -220,24 +254,26 @@ class _Matcher:
         nearest = members.groupBy("id").agg(F.min("hub").alias("hub"))
         self.verify(nearest.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"first-{level}")
         self.verify(members.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"hub-{level}")
-        # Buckets that still hold several components, and how many members are outside the largest.
-        placed = members.select("bucket", "id")
-        placed = placed.withColumn("c", F.col("id")) if self.of is None else self._with_component(placed, "id", "c")
-        shares = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("size"))
-        mixed = mixed.filter("size > top.n").select("bucket", F.col("top.c").alias("main"), F.expr("size - top.n AS rest"))
-        mixed = work.write(mixed, f"mixed-{level}")
-        sizes = self.sets.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        placed = work.write(placed.join(mixed, "bucket").join(sizes, "id"), f"unsettled-{level}")
-        work.drop(f"hubs-{level}", f"members-{level}", f"mixed-{level}")
-        few = placed.filter(F.col("rest") <= self.small)
-        pairs = few.filter("c <> main").select("bucket", *[F.col(x).alias(f"{x}_a") for x in ("id", "c", "lo", "hi")]).join(
-            few.select("bucket", "main", *[F.col(x).alias(f"{x}_b") for x in ("id", "c", "lo", "hi")]), "bucket"
+        for turn in range(SAMPLED_ROUNDS):
+            mixed = self._mixed(members, level)
+            if not mixed.limit(1).count():
+                break
+            # Every stray against members of its buckets' largest components, drawn by a hash.
+            drawn = mixed.filter("c = main").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("rep"))
+            strays = mixed.filter("c <> main").select("bucket", "id").join(drawn, "bucket")
+            ends = strays.groupBy("id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"))
+            self.verify(ends.select(F.col("id").alias("a"), F.explode(F.array("r1", "r2")).alias("b")), f"drawn-{level}-{turn}")
+        placed = self._mixed(members, level)
+        work.drop(f"hubs-{level}", f"members-{level}")
+        few = placed.filter(F.col("rest") <= FEW_STRAYS)
+        columns = ("id", "c", "lo", "hi")
+        pairs = few.filter("c <> main").select("bucket", *[F.col(x).alias(f"{x}_a") for x in columns]).join(
+            few.select("bucket", "main", *[F.col(x).alias(f"{x}_b") for x in columns]), "bucket"
         )
-        # Members outside the largest component against all others; each pair once, if sizes allow a link.
         close = F.least("hi_a", "hi_b") * 100 >= F.greatest("lo_a", "lo_b") * self.percent
         pairs = pairs.filter("c_a <> c_b AND (c_b = main OR id_a > id_b)").filter(close)
         self.verify(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), f"pairs-{level}")
+        self._within(placed.filter((F.col("rest") > FEW_STRAYS) & (F.col("rest") <= self.small)), f"within-{level}")
         large = placed.filter(F.col("rest") > self.small).select("bucket", "id")
         if large.limit(1).count():
             own = large.select(F.col("id").alias("doc_id")).distinct()
@@ -248,6 +284,47 @@ class _Matcher:
             again = large.join(banded, "id").select(F.xxhash64("bucket", "band").alias("bucket"), "id")
             self.settle(again, level + 1)
 
+    def _mixed(self, members: DataFrame, level: int) -> DataFrame:
+        """Members of buckets that hold several components.
+
+        With c, the own component; main, that with most members of the bucket;
+        rest, the members outside it; tokens, the size of all sets; lo and hi,
+        the own set's size.
+        """
+        placed = members.select("bucket", "id")
+        placed = placed.withColumn("c", F.col("id")) if self.of is None else self._with_component(placed, "id", "c")
+        sizes = self.sets.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        placed = placed.join(sizes, "id")
+        shares = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("hi").alias("tokens"))
+        mixed = shares.groupBy("bucket").agg(
+            F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("top"), F.sum("n").alias("size"), F.sum("tokens").alias("tokens")
+        )
+        mixed = mixed.filter("size > top").select("bucket", "main", F.expr("size - top AS rest"), "tokens")
+        mixed = self.work.write(mixed, f"mixed-{level}")
+        return self.work.write(placed.join(mixed, "bucket"), f"unsettled-{level}")
+
+    def _within(self, placed: DataFrame, name: str) -> None:
+        """Compare strays with all other members of their bucket inside tasks; only links come out.
+
+        Both sides are cut into blocks of bounded size, every block of one meeting every block of the other.
+        """
+        if not placed.limit(1).count():
+            return
+        sets = self.sets.select("id", "n", "shingles")
+        blocks = lambda: F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
+        own = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks()).cast("int")
+        other = lambda: F.explode(F.sequence(F.lit(0), blocks() - 1))
+        full = self.work.write(placed.join(sets, "id"), f"full-{name}")
+        left = full.select("bucket", own(0).alias("x"), other().alias("y"), "id", "c", "n", "shingles")
+        right = full.filter("c <> main").select("bucket", other().alias("x"), own(1).alias("y"), "id", "c", "n", "shingles")
+        keys = ("bucket", "x", "y")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_links(self.percent), "a bigint, b bigint")
+        found = self.work.write(found.distinct(), name)
+        self.work.drop(f"full-{name}")
+        if found.limit(1).count():
+            self.links = found if self.links is None else self.links.unionAll(found)
+            self.of = components(self.links, self.work, f"of-{name}")
+
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small_bucket: int = SMALL_BUCKET
