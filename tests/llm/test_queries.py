@@ -1,0 +1,48 @@
+"""Registered queries against DuckDB, and the pipeline's stages."""
+
+import sys
+from pathlib import Path
+
+import pandas as pd
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+from oracle_check import compare, duck  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from ticketweave.llm import decontaminate, queries  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_like_sql(spark, small, name):
+    assert compare(spark, duck(small), small, name) == ""
+
+
+def test_pipeline_keeps_whole_rows(spark, small):
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    got = corpus_pipeline.run(spark, small).toPandas()
+    assert [n for n, _ in corpus_pipeline.STAGES] and list(got.columns) == [*docs.columns, "shard", "slot"]
+    merged = got.merge(docs, on=list(docs.columns))
+    assert len(merged) == len(got) > 0.5 * len(docs) and got.doc_id.is_unique
+    for _, slots in got.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+    items = queries.table(spark, small, "benchmark")
+    assert decontaminate.overlaps(spark.createDataFrame(got[["doc_id", "text"]]), items).count() == 0
+
+
+def test_stages_take_an_empty_table(spark, small):
+    docs = queries.table(spark, small, "documents").filter("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, small).count() == 0, name
+
+
+def test_recall_of_learned_partitions(spark, small):
+    found = queries.op8(spark, small).toPandas()
+    rows = pd.read_parquet(f"{small}/embeddings.parquet").set_index("vec_id").embedding
+    hits = total = 0
+    for query, own in found.groupby("query_id"):
+        near = rows.drop(query).map(lambda v, q=rows[query]: float(sum(float(a) * float(b) for a, b in zip(v, q))))
+        best = near.sort_values(ascending=False, kind="stable").index[:20]
+        assert list(own.sort_values("rank").vec_id) == list(own.sort_values(["score", "vec_id"], ascending=[False, True]).vec_id)
+        hits, total = hits + len(set(best) & set(own.vec_id)), total + len(best)
+    assert hits / total >= 0.9
