@@ -65,7 +65,7 @@ def _shrunk(level: DataFrame, name: str) -> DataFrame:
         F.sum(spread * F.col("n")).alias("plain"),
         F.sum(spread * F.col("n") * (F.col("n") - 1)).alias("scale"),
     ).first()
-    correlation = (sums.seen - sums.plain) / sums.scale if sums.scale else MIN_CORRELATION
+    correlation = (sums.seen - sums.plain) / sums.scale if sums.scale else MAX_CORRELATION
     strength = 1 / min(max(correlation, MIN_CORRELATION), MAX_CORRELATION) - 1
     a = F.lit(strength) * F.col("mu") + F.col("y")
     b = F.lit(strength) * (1 - F.col("mu")) + F.col("n") - F.col("y")

@@ -223,7 +223,7 @@ def _hosts_sql() -> str:
 
     def level(name: str, source: str) -> str:
         return f"""{name}_s AS (SELECT 1 / least(greatest(coalesce((sum((y - n * mu) ** 2) - sum(mu * (1 - mu) * n))
-  / nullif(sum(mu * (1 - mu) * n * (n - 1)), 0), {hosts.MIN_CORRELATION}), {hosts.MIN_CORRELATION}), {hosts.MAX_CORRELATION}) - 1 AS s FROM ({source})),
+  / nullif(sum(mu * (1 - mu) * n * (n - 1)), 0), {hosts.MAX_CORRELATION}), {hosts.MIN_CORRELATION}), {hosts.MAX_CORRELATION}) - 1 AS s FROM ({source})),
 {name}_p AS (SELECT *, s * mu + y AS a, s * (1 - mu) + n - y AS b FROM ({source}), {name}_s)"""
 
     return f"""
