@@ -180,8 +180,11 @@ def _records(rows: list[dict], names: list[str]) -> pa.RecordBatch:
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample: the starts of the ``SAMPLE_PAGES`` pages of smallest hash."""
-    sample = pages.select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64("html", "page_id").alias("h"))
-    rows = [r.html.encode() for r in sample.filter("html <> ''").orderBy("h").limit(SAMPLE_PAGES).collect()]
+    hashed = pages.filter("html <> ''").withColumn("h", F.xxhash64("html", "page_id"))
+    # The hashes are compared first, so that no task sends more pages than are used.
+    cut = hashed.select("h").orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    chosen = hashed.filter(F.col("h") <= F.lit(cut)).select("h", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    rows = [r.html.encode() for r in chosen.dropDuplicates(["h"]).orderBy("h").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, rows).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few or too small samples
