@@ -185,3 +185,23 @@ def test_ml_similarity_features(spark):
     for idf in (False, True):
         vector = ml.similarity_features(idf=idf).fit(tickets(spark)).transform(tickets(spark)).first().norm_features
         assert vector.norm(2) == pytest.approx(1.0)
+
+
+def test_many_classes_keep_repeated_and_null_ids(spark):
+    rows = [(i, f"word{i} common", f"c{i:03d}") for i in range(150)]
+    model = triage.train(spark.createDataFrame(rows, "id bigint, description string, assigned_to string"), clean_corpus=False)
+    asked = [(1, "word7 word7"), (1, "word99 word99"), (None, "word149"), (None, "nothing")]
+    frame = spark.createDataFrame(asked, "id bigint, description string")
+    for size in (1, 64, 1000):
+        vectors = with_terms(frame, "description", False)
+        got = bayes.classify(vectors, model, block_classes=size).toPandas()
+        assert len(got) == 4 and got.score.notna().all() and got.prediction[3] == got.prediction.min()
+
+
+def test_assign_replaces_and_keeps_names(spark):
+    rows = [("alice", "old", "Old Name", "t"), ("bob", "old", "Old Name", "t")]
+    scored = spark.createDataFrame(rows, "prediction string, assigned_to string, assigned_to_name string, title string")
+    labels = spark.createDataFrame([(bayes.ALL, n, bayes.DOCUMENT, 1, 1) for n in ("alice", "bob")], "model int, label string, bucket int, tf bigint, docs bigint")
+    accounts = spark.createDataFrame([("ALICE", "Alice A")], "username string, name string")
+    got = triage.assign(scored, bayes.NaiveBayes(labels), accounts).orderBy("assigned_to").collect()
+    assert [(r.assigned_to, r.assigned_to_name, r.title) for r in got] == [("alice", "Alice A", "t"), ("bob", "Old Name", "t")]

@@ -43,8 +43,12 @@ def test_similar_stream(spark, docs, tmp_path):
     assert got.count() == 330 and got.exceptAll(want).count() == 0
 
 
-def test_stream_refuses_a_model_of_many_blocks(spark, docs, tmp_path):
-    rows = [(i, "kata", f"desk{i}") for i in range(bayes.BLOCK_CLASSES + 1)]
+def test_stream_takes_a_model_of_many_blocks(spark, docs, tmp_path):
+    rows = [(i, f"kata{i}", f"desk{i}") for i in range(2 * bayes.BLOCK_CLASSES + 1)]
     model = triage.train(spark.createDataFrame(rows, "id bigint, description string, assigned_to string"))
-    with pytest.raises(ValueError):
-        arrivals.classify_stream(docs, model, str(tmp_path / "o"), str(tmp_path / "c"))
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    new = docs.drop("assigned_to")
+    new.write.parquet(source)
+    stream = arrivals.read_arrivals(spark, source, SCHEMA)
+    arrivals.classify_stream(stream, model, out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == docs.count()

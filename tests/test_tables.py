@@ -246,3 +246,23 @@ def test_tokens_last_an_hour(spark):
 def test_load_labeled_fills_nulls(spark):
     df = spark.createDataFrame([(None, None), ("x", "y")], "text string, owner string")
     assert sorted(map(tuple, readers.load_labeled(df, "text", "owner").collect())) == [("", ""), ("x", "y")]
+
+
+def test_page_after_reaches_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, None)], "id int, name string")
+    up = [("name", False), ("id", False)]
+    assert [r.id for r in listing.page_after(df, up, ("a", 1), 9).collect()] == [2, 3, 4]
+    assert [r.id for r in listing.page_after(df, up, (None, 3), 9).collect()] == [4]
+    down = [("name", True), ("id", False)]
+    assert [r.id for r in listing.page_after(df, down, (None, 3), 9).collect()] == [4, 2, 1]
+
+
+def test_latest_per_key_carries_maps(spark):
+    df = spark.createDataFrame([(1, 1, {"a": "x"}), (1, 2, {"b": "y"}), (2, 1, None)], "k int, n int, params map<string,string>")
+    got = {r.k: r.params for r in listing.latest_per_key(df, "k", ["n"]).collect()}
+    assert got == {1: {"b": "y"}, 2: None}
+
+
+def test_blank_forms_are_refused(spark):
+    df = spark.createDataFrame([("\n\t", "x"), (" \x0b", None), ("a", "b\n")], "title string, description string")
+    assert [len(r.reasons) for r in forms.check_tickets(df).collect()] == [1, 2, 0]

@@ -8,15 +8,13 @@ refit on all rows need no further pass. The idf factor is constant within a
 bucket, so it multiplies the summed counts afterwards.
 
 Scoring reads each vector once, inside its task, against the model's dense
-table; nothing is shuffled. Classes beyond one block's size go into further
-blocks.
+table, a block of classes after the other; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -187,8 +185,8 @@ def _blocks(model: NaiveBayes, keys: Sequence[int] | None, block_classes: int) -
     return blocks
 
 
-def _scorer(block: dict[int, _Block], schema: T.StructType, constant: int | None, key_column: str | None):
-    """A ``mapInArrow`` function adding the best class of the block and its score to each row."""
+def _scorer(blocks: list[dict[int, _Block]], schema: T.StructType, constant: int | None, key_column: str | None):
+    """A ``mapInArrow`` function adding the best class of all blocks and its score to each row."""
     names = schema.fieldNames()
 
     def score(batches):
@@ -198,7 +196,7 @@ def _scorer(block: dict[int, _Block], schema: T.StructType, constant: int | None
             best_label = np.full(rows, None, dtype=object)
             best_score = np.full(rows, np.nan)
             used = None if key_column is None else batch.column(key_column).to_numpy(zero_copy_only=False)
-            for key, part in block.items():
+            for key, part in ((key, part) for block in blocks for key, part in block.items()):
                 chosen = np.arange(rows) if used is None else np.flatnonzero(used == key)
                 if used is None and key != constant or not len(chosen):
                     continue
@@ -207,10 +205,14 @@ def _scorer(block: dict[int, _Block], schema: T.StructType, constant: int | None
                 picked = np.repeat(offsets[:-1][chosen] - own_offsets[:-1], lengths) + np.arange(own_offsets[-1])
                 scores = kernels.dot_rows(own_offsets, buckets[picked], counts[picked], part.weights)
                 scores += part.prior[:, None]
-                # Labels are in order, so the first of equal scores is the smallest label.
+                # Labels are in order, within a block and from block to block, so the
+                # first of equal scores is the smallest label.
                 top = np.argmax(np.round(scores, 6), axis=0)
-                best_label[chosen] = np.asarray(part.labels, dtype=object)[top]
-                best_score[chosen] = scores[top, np.arange(len(chosen))]
+                found = scores[top, np.arange(len(chosen))]
+                before = best_score[chosen]
+                better = np.isnan(before) | (np.round(found, 6) > np.round(before, 6))
+                best_label[chosen[better]] = np.asarray(part.labels, dtype=object)[top[better]]
+                best_score[chosen[better]] = found[better]
             arrays = [batch.column(n) for n in names[:-2]] + [
                 pa.array(best_label, pa.string()),
                 pa.array(best_score, mask=np.isnan(best_score)),
@@ -229,8 +231,9 @@ def classify(
     """Add ``prediction`` and ``score`` to every row and drop ``terms``.
 
     ``key`` names the model to use, or the column that holds each row's model.
-    Scores are compared at six places and ties go to the smaller label. Works
-    on streaming frames as long as the classes fit one block.
+    Scores are compared at six places and ties go to the smaller label. One
+    pass, without a shuffle, for any number of classes, ids or none, and
+    streaming frames.
     """
     keep = [f for f in vectors.schema.fields if f.name != "terms"]
     schema = T.StructType(
@@ -240,20 +243,4 @@ def classify(
     blocks = _blocks(model, None if constant is None else [constant], block_classes)
     if not blocks:
         raise LookupError("the model has no classes")
-    parts = [vectors.mapInArrow(_scorer(block, schema, constant, column), schema) for block in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    names = [f.name for f in keep]
-    # Within a block the smallest label won; across blocks the earlier block does.
-    by = ["id"] if column is None else ["id", column]
-    ranked = [
-        part.select(
-            *by,
-            F.struct(
-                F.round("score", 6).alias("ranked"), F.lit(-n).alias("earlier"), *names, "prediction", "score"
-            ).alias("best"),
-        )
-        for n, part in enumerate(parts)
-    ]
-    best = reduce(DataFrame.unionAll, ranked).groupBy(*by).agg(F.max("best").alias("best"))
-    return best.select(*[F.col(f"best.{n}").alias(n) for n in (*names, "prediction", "score")])
+    return vectors.mapInArrow(_scorer(blocks, schema, constant, column), schema)

@@ -17,7 +17,8 @@ EMAIL = (
 
 
 def _blank(column: str) -> Column:
-    return F.length(F.trim(F.coalesce(F.col(column), F.lit("")))) == 0
+    """Null, or nothing but characters up to the space."""
+    return F.coalesce(F.col(column), F.lit("")).rlike(r"^[\x00-\x20]*$")
 
 
 def _with_reasons(df: DataFrame, problems: dict[str, Column]) -> DataFrame:

@@ -30,15 +30,20 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
 def page_after(df: DataFrame, columns: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
     """The page that follows the row with sort values ``last``, at equal cost for any depth.
 
-    ``columns`` are (name, descending) pairs of non-null columns that together
-    identify a row. The bound is an ordinary filter that reaches the scan.
+    ``columns`` are (name, descending) pairs that together identify a row. Nulls
+    lead where a column descends and are last where it ascends, as in ``newest``
+    and ``ascending``. The bound is an ordinary filter that reaches the scan.
     """
     later, same = [], F.lit(True)
     for (name, descending), value in zip(columns, last):
-        beyond = F.col(name) < F.lit(value) if descending else F.col(name) > F.lit(value)
+        column = F.col(name)
+        if value is None:
+            beyond = column.isNotNull() if descending else F.lit(False)
+        else:
+            beyond = column < F.lit(value) if descending else (column > F.lit(value)) | column.isNull()
         later.append(same & beyond)
-        same = same & (F.col(name) == F.lit(value))
-    order = [F.col(n).desc() if descending else F.col(n).asc() for n, descending in columns]
+        same = same & column.eqNullSafe(F.lit(value))
+    order = [F.col(n).desc_nulls_first() if descending else F.col(n).asc_nulls_last() for n, descending in columns]
     return df.filter(reduce(Column.__or__, later)).orderBy(*order).limit(size)
 
 
@@ -54,10 +59,12 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row per key in ``order`` (ascending; the columns must settle ties).
 
     An aggregation with map-side combine, so a key holding a large share of the
-    rows is reduced where it is read.
+    rows is reduced where it is read. Columns that hold maps, which have no
+    order, are carried along; ties are settled by all others.
     """
-    rest = [c for c in df.columns if c != key and c not in order]
-    newest_row = F.max(F.struct(*order, *rest)).alias("_row")
+    sortable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    rest = [c for c in sortable if c != key and c not in order]
+    newest_row = F.max_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*order, *rest)).alias("_row")
     columns = [F.col(key) if c == key else F.col(f"_row.{c}").alias(c) for c in df.columns]
     return df.groupBy(key).agg(newest_row).select(*columns)
 

@@ -249,9 +249,9 @@ EMAIL_SQL = forms.EMAIL.replace("'", "''")
 
 @query(
     "validate_tickets",
-    """SELECT doc_id AS id, concat_ws('; ',
-        CASE WHEN trim(split_part(text, chr(10), 2)) = '' THEN 'title is empty' END,
-        CASE WHEN trim(coalesce(text, '')) = '' THEN 'description is empty' END) AS reasons
+    r"""SELECT doc_id AS id, concat_ws('; ',
+        CASE WHEN regexp_full_match(split_part(text, chr(10), 2), '[\x00-\x20]*') THEN 'title is empty' END,
+        CASE WHEN regexp_full_match(coalesce(text, ''), '[\x00-\x20]*') THEN 'description is empty' END) AS reasons
     FROM documents""",
 )
 def validate_tickets(spark, sf):
@@ -265,16 +265,16 @@ def validate_tickets(spark, sf):
 
 @query(
     "validate_accounts",
-    f"""WITH candidates AS (SELECT p_partkey AS id, p_brand || p_name AS username, p_type AS name,
+    rf"""WITH candidates AS (SELECT p_partkey AS id, p_brand || p_name AS username, p_type AS name,
         p_name || '@' || lower(p_brand) || '.example' AS email FROM part
         UNION ALL SELECT l_orderkey, l_returnflag || l_linestatus, ' ', l_returnflag || '@line.example' FROM lineitem
         UNION ALL SELECT event_id, props || event_type || ' by ' || user_id, event_type,
             event_type || '@' || event_id || '.example' FROM events)
     SELECT id, username, concat_ws('; ',
-        CASE WHEN trim(username) = '' THEN 'username is empty' END,
+        CASE WHEN regexp_full_match(username, '[\x00-\x20]*') THEN 'username is empty' END,
         CASE WHEN length(username) < 4 THEN 'username is shorter than 4' END,
         CASE WHEN length(username) > 30 THEN 'username is longer than 30' END,
-        CASE WHEN trim(name) = '' THEN 'name is empty' END,
+        CASE WHEN regexp_full_match(name, '[\x00-\x20]*') THEN 'name is empty' END,
         CASE WHEN NOT regexp_matches(email, '{EMAIL_SQL}') THEN 'email is not valid' END) AS reasons
     FROM candidates""",
 )

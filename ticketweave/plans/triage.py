@@ -119,7 +119,9 @@ def assign(scored: DataFrame, model: bayes.NaiveBayes, accounts: DataFrame) -> D
 
     The model's labels, not the tickets, are looked up among the accounts,
     ignoring case: a label most tickets share costs one lookup. Of several
-    accounts with one user name the smallest display name is taken.
+    accounts with one user name the smallest display name is taken. Tickets that
+    already have these two columns get the prediction as ``assigned_to`` and keep
+    their old name where no account matches.
     """
     labels = model.documents().filter(F.col("model") == bayes.ALL)
     labels = labels.select("label", F.lower(F.coalesce("label", F.lit(""))).alias("_login"))
@@ -130,11 +132,12 @@ def assign(scored: DataFrame, model: bayes.NaiveBayes, accounts: DataFrame) -> D
         .groupBy(F.col("label").alias("assigned_to"))
         .agg(F.min("name").alias("assigned_to_name"))
     )
-    return (
-        scored.withColumnRenamed("prediction", "assigned_to")
-        .join(F.broadcast(names) if few else names, "assigned_to", "left")
-        .select(*["assigned_to" if c == "prediction" else c for c in scored.columns], "assigned_to_name")
-    )
+    kept = [c for c in scored.columns if c not in ("assigned_to", "assigned_to_name")]
+    old = F.col("assigned_to_name") if "assigned_to_name" in scored.columns else F.lit(None)
+    tickets = scored.select(*[F.col(c).alias("assigned_to") if c == "prediction" else c for c in kept], old.cast("string").alias("_old_name"))
+    named = tickets.join(F.broadcast(names) if few else names, "assigned_to", "left")
+    columns = ["assigned_to" if c == "prediction" else c for c in kept]
+    return named.select(*columns, F.coalesce("assigned_to_name", "_old_name").alias("assigned_to_name"))
 
 
 def build_index(

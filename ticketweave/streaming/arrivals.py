@@ -39,8 +39,6 @@ def classify_stream(
     Scoring keeps no state, and the file sink records each batch once. Give
     ``partitions`` when a batch comes in fewer files than there are cores.
     """
-    if model.documents().filter(f"model = {bayes.ALL}").count() > bayes.BLOCK_CLASSES:
-        raise ValueError("a stream needs a model whose classes fit one block")
     if partitions:
         arrivals = arrivals.repartition(partitions)
     scored = triage.classify_tickets(arrivals, model, clean, stopwords)
