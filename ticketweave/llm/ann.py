@@ -28,7 +28,7 @@ from ..session import Workspace
 SAMPLE = 8_000
 NEIGHBOURS = 10
 # Rows of a part, as expected; the number of parts is a power of two up to MAX_PARTS.
-PART_ROWS, MAX_PARTS = 1_000, 256
+PART_ROWS, MAX_PARTS = 4_000, 256
 HIDDEN = 64
 # Sampled queries on which the number of visited parts is chosen, and the share of neighbours they must find.
 TRIALS, WANTED_RECALL = 500, 0.96
