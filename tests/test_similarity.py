@@ -120,10 +120,11 @@ def test_unknown_weighting(spark, tmp_path):
         triage.find_similar(frame(spark, TEXTS), index, weighting="bm25")
 
 
-def test_repeated_query_ids_are_refused(spark):
+@pytest.mark.parametrize("block_queries", [2, 256])
+def test_repeated_query_ids_are_refused(spark, block_queries):
     rows = [(1, f"kata{i}") for i in range(3)]
     with pytest.raises(ValueError):
-        similarity.top_similar(vectors(spark, rows), vectors(spark, TEXTS), block_queries=2)
+        similarity.top_similar(vectors(spark, rows), vectors(spark, TEXTS), block_queries=block_queries)
 
 
 def test_empty_batch(spark):

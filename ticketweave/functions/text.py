@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .wordlists import CLEANING_RULES, DEFAULT_STOPWORDS
+from .wordlists import CLEANING_RULES
 
 # What "\\s" matches in a Java regular expression.
 WHITESPACE = " \t\n\x0b\f\r"
@@ -34,12 +34,12 @@ def drop_words(words: Column, stopwords: Iterable[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(listed)) if listed else words
 
 
-def clean_text(text: Column | str, stopwords: Iterable[str] = DEFAULT_STOPWORDS) -> Column:
+def clean_text(text: Column | str, stopwords: Iterable[str] = ()) -> Column:
     """The whole cleaning: rewrite, trim, then drop stop words."""
     return F.array_join(drop_words(F.split(normalize_text(text), " "), stopwords), " ")
 
 
-def remove_stopwords(text: Column | str, stopwords: Iterable[str] = DEFAULT_STOPWORDS) -> Column:
+def remove_stopwords(text: Column | str, stopwords: Iterable[str] = ()) -> Column:
     """Drop stop words from a text whose words are separated by single spaces."""
     return F.array_join(drop_words(F.split(_as_column(text), " "), stopwords), " ")
 
@@ -62,7 +62,7 @@ def tokenize(text: Column | str, drop_empty: bool = True) -> Column:
 def words_of(
     text: Column | str,
     clean: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     drop_empty: bool = True,
 ) -> Column:
     """Tokens of a description, cleaned first unless ``clean`` is false.

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import words_of
-from .wordlists import DEFAULT_STOPWORDS
 
 NUM_FEATURES = 20_000
 
@@ -28,7 +27,7 @@ def with_terms(
     df: DataFrame,
     text: str,
     clean: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     drop_empty: bool = True,
     num_features: int = NUM_FEATURES,
 ) -> DataFrame:

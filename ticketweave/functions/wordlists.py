@@ -27,18 +27,6 @@ CLEANING_RULES = (
     ("regex", " {2,}", " "),
 )
 
-# Common Indonesian function words, used when the caller brings no list.
-# A deployment passes its own list (see ``read_stopwords``).
-DEFAULT_STOPWORDS = (
-    "ada adalah agar akan aku anda apa atau bagi bahwa banyak baru beberapa belum "
-    "bisa br bukan dan dapat dari demi demikian dengan di dia dua hal hanya harus "
-    "ini itu jadi jangan jika juga kalau kami kamu karena kata ke kepada kita lagi "
-    "lain lalu lebih maka masih mau mereka mohon namun oleh pada para pernah pun "
-    "saat saja sama sampai sangat saya sebagai sebelum secara sedang sehingga sejak "
-    "semua seperti serta setelah siapa sudah tapi telah tentang terhadap tetapi "
-    "tidak tolong untuk yaitu yang"
-).split()
-
 
 def read_stopwords(path: str | Path) -> list[str]:
     """Stop words from a text file with one word per line; blank lines and repeats go."""

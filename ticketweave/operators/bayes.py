@@ -85,6 +85,9 @@ class NaiveBayes:
     smoothing: float = SMOOTHING
     num_features: int = NUM_FEATURES
     min_doc_freq: int = MIN_DOC_FREQ
+    # How words were taken from the training texts; tickets are treated alike.
+    stopwords: tuple[str, ...] = ()
+    drop_empty: bool = True
 
     def documents(self) -> DataFrame:
         """(model, label, n_docs)."""
@@ -128,8 +131,9 @@ class NaiveBayes:
     def save(self, path: str) -> None:
         """Write the model; ``params`` goes last and marks it as complete."""
         self.counts.write.parquet(f"{path}/counts")
-        params = [(float(self.smoothing), int(self.num_features), int(self.min_doc_freq))]
-        schema = "smoothing double, num_features int, min_doc_freq int"
+        words = [str(word) for word in self.stopwords]
+        params = [(float(self.smoothing), int(self.num_features), int(self.min_doc_freq), words, bool(self.drop_empty))]
+        schema = "smoothing double, num_features int, min_doc_freq int, stopwords array<string>, drop_empty boolean"
         self.counts.sparkSession.createDataFrame(params, schema).coalesce(1).write.parquet(f"{path}/params")
 
     @classmethod

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .listing import latest_per_key
 
 
@@ -13,10 +16,11 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, sequence: str | None =
 
     With ``sequence`` the batch may hold several rows of a key: the last counts.
     """
+    # The raw batch says which keys change; only the new rows need the reduced one.
+    untouched = base.join(changes.select(key), key, "left_anti").select(*base.columns)
     if sequence is not None:
         changes = latest_per_key(changes, key, [sequence]).drop(sequence)
-    changes = changes.select(*base.columns)
-    return base.join(changes.select(key), key, "left_anti").select(*base.columns).unionByName(changes)
+    return untouched.unionByName(changes.select(*base.columns))
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, column: str, key_column: str | None = None) -> DataFrame:
@@ -25,24 +29,25 @@ def delete_keys(df: DataFrame, keys: DataFrame, column: str, key_column: str | N
     return df.join(listed, F.col(column) == F.col("_key"), "left_anti")
 
 
-def insert_with_ids(base: DataFrame, new: DataFrame, id_column: str, key: str, buckets: int = 64) -> DataFrame:
-    """Append rows and give them contiguous ids after the largest one in use.
+def insert_with_ids(base: DataFrame, new: DataFrame, id_column: str, key: str) -> DataFrame:
+    """Append rows and give them contiguous ids after the largest one in use, in the order of ``key``.
 
-    ``key`` identifies a new row. Rows are numbered within hash buckets of the
-    key and each bucket starts where the one before ends, so no task orders the
-    whole batch; ids are the same on every run.
+    ``key`` identifies a new row. The batch is cut into ranges of the key and
+    written once, so that sizes and numbers speak of the same ranges; rows are
+    numbered within a range, and each range starts where the one before ends.
+    More rows make more ranges, and ids do not depend on their number.
     """
-    digest = F.md5(F.col(key).cast("string"))
-    bucketed = new.withColumn("_bucket", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets)
-    sizes = bucketed.groupBy("_bucket").agg(F.count("*").alias("_size"))
-    # The ids in use count as a bucket before the first one.
-    used = base.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_size"))
-    sizes = sizes.unionByName(used.select(F.lit(-1).cast("bigint").alias("_bucket"), "_size"))
-    # At most ``buckets`` + 1 rows: the only window over a whole table, and small enough to broadcast.
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.sum("_size").over(before).alias("_start"))
-    position = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    numbered = bucketed.join(F.broadcast(starts), "_bucket").withColumn(id_column, F.col("_start") + position)
+    ranged = new.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    # The ids in use count as a range before the first one.
+    used = base.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("_size"))
+    sizes = sizes.unionByName(used.select(F.lit(-1).alias("_range"), "_size"))
+    # One row per range: the only window over a whole table, and small enough to broadcast.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.sum("_size").over(before).alias("_start"))
+    position = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    numbered = ranged.join(F.broadcast(starts), "_range").withColumn(id_column, F.col("_start") + position)
     return base.unionByName(numbered.select(*base.columns))
 
 
@@ -146,15 +151,14 @@ def purge(keys: DataFrame, key_column: str, tables: dict[str, tuple[DataFrame, s
     }
 
 
-def purge_report(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, n_removed, n_kept) of a removal."""
-    report = None
-    for name, df in before.items():
-        rows = df.select(F.lit(1).alias("before"), F.lit(0).alias("kept")).unionAll(
-            after[name].select(F.lit(0).alias("before"), F.lit(1).alias("kept"))
-        )
-        row = rows.agg(F.sum("before").alias("b"), F.sum("kept").alias("k")).select(
-            F.lit(name).alias("table_name"), (F.col("b") - F.col("k")).alias("n_removed"), F.col("k").alias("n_kept")
-        )
-        report = row if report is None else report.unionAll(row)
-    return report
+def purge_report(keys: DataFrame, key_column: str, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(table_name, n_removed, n_kept) of a ``purge`` with the same arguments, reading each table once."""
+    listed = keys.select(F.lower(key_column).alias("_listed")).distinct()
+    rows = []
+    for name, (df, column) in tables.items():
+        marked = df.select(F.lower(column).alias("_key")).join(listed, F.col("_key") == F.col("_listed"), "left")
+        gone = F.count("_listed")
+        rows.append(marked.agg(gone.alias("n_removed"), (F.count("*") - gone).alias("n_kept")).select(
+            F.lit(name).alias("table_name"), "n_removed", "n_kept"
+        ))
+    return reduce(DataFrame.unionAll, rows)

@@ -52,7 +52,9 @@ def bucket_scale(idf: DataFrame, num_features: int = NUM_FEATURES) -> np.ndarray
 
 def _query_blocks(queries: DataFrame, block_queries: int) -> tuple[int, Iterator[pa.Table]]:
     """Cut the batch by a hash of its ids until every block fits; fetch block by block."""
-    total = queries.count()
+    total, ids = queries.agg(F.count("*"), F.count_distinct("id")).first()
+    if total != ids:
+        raise ValueError("query ids must be unique and not null")
     if total <= block_queries:
         return min(total, 1), iter([queries.toArrow()] if total else [])
     stored = materialize(queries, "queries")
@@ -62,8 +64,6 @@ def _query_blocks(queries: DataFrame, block_queries: int) -> tuple[int, Iterator
         sizes = stored.groupBy(block_of.alias("b")).count()
         if sizes.agg(F.max("count")).first()[0] <= block_queries:
             return blocks, (stored.filter(block_of == b).toArrow() for b in range(blocks))
-        if blocks > 64 * total:
-            raise ValueError("query ids must be unique")
         blocks *= 2
 
 

@@ -1,32 +1,61 @@
 """The same features and classifier as ``pyspark.ml`` stages, for users' own pipelines.
 
 ``HashingTF`` hashes differently from the tables of this package: models and
-vectors of the two forms must not be mixed.
+vectors of the two forms must not be mixed. With ``own_buckets`` the stages
+take this package's buckets instead, and both forms predict alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, Normalizer, StringIndexer, Tokenizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, IndexToString, Normalizer, StringIndexer, Tokenizer
 from pyspark.sql import DataFrame
-
-from ..functions.vectors import NUM_FEATURES
-
-
-def classifier(labeled: DataFrame, num_features: int = NUM_FEATURES, smoothing: float = 1.0) -> Pipeline:
-    """Label index, tokens, hashed counts, idf and naive Bayes; predicts ``prediction_label``.
-
-    The index is fitted on all of ``labeled``, so every fold knows every class.
+from pyspark.sql import functions as F
+
+from ..functions.vectors import NUM_FEATURES, with_terms
+from ..operators import evaluation
+
+
+def bucket_words(
+    df: DataFrame,
+    clean: bool = True,
+    stopwords: Iterable[str] = (),
+    drop_empty: bool = True,
+    num_features: int = NUM_FEATURES,
+) -> DataFrame:
+    """Replace ``description`` by ``words``: the bucket numbers of the package's own vectors, as often as they count."""
+    vectors = with_terms(df, "description", clean, stopwords, drop_empty, num_features)
+    repeated = F.transform("terms", lambda t: F.array_repeat(t["bucket"].cast("string"), t["tf"]))
+    return vectors.withColumn("words", F.flatten(repeated)).drop("terms")
+
+
+def classifier(
+    labeled: DataFrame, num_features: int = NUM_FEATURES, smoothing: float = 1.0, own_buckets: bool = False
+) -> Pipeline:
+    """Label index, hashed counts, idf and naive Bayes; predicts ``prediction_label``.
+
+    Takes (description, assigned_to), or (words, assigned_to) as given by
+    ``bucket_words`` with ``own_buckets``; then it predicts what
+    ``operators.bayes`` does. The index is that of ``labeled``, which must be
+    the rows the pipeline is fitted on: the classifier numbers only the classes it sees.
     """
     indexer = StringIndexer(inputCol="assigned_to", outputCol="label").fit(labeled)
+    if own_buckets:
+        places = [str(bucket) for bucket in range(num_features)]
+        counts = [CountVectorizerModel.from_vocabulary(places, "words", "raw_features")]
+    else:
+        counts = [
+            Tokenizer(inputCol="description", outputCol="words"),
+            HashingTF(inputCol="words", outputCol="raw_features", numFeatures=num_features),
+        ]
     return Pipeline(
         stages=[
             indexer,
-            Tokenizer(inputCol="description", outputCol="words"),
-            HashingTF(inputCol="words", outputCol="raw_features", numFeatures=num_features),
+            *counts,
             IDF(inputCol="raw_features", outputCol="features", minDocFreq=2),
             NaiveBayes(smoothing=smoothing),
             IndexToString(inputCol="prediction", outputCol="prediction_label", labels=indexer.labels),
@@ -53,30 +82,33 @@ def cross_validate(
     folds: int = 3,
     fold: str | None = None,
     seed: int = 42,
+    own_buckets: bool = False,
 ) -> tuple[PipelineModel, list[float]]:
     """Best pipeline refitted on all rows, and the mean F1 of every grid point.
 
-    Name a ``fold`` column to fix the folds; otherwise they are drawn with ``seed``.
+    Every fold's pipeline indexes the labels of its own training part, and
+    predictions are compared as texts, so a class that a part lacks shifts no
+    other. Name a ``fold`` column (0 to ``folds`` - 1) to fix the folds; otherwise
+    they are drawn by a hash of the row and ``seed``.
     """
-    pipeline = classifier(labeled)
-    stages = pipeline.getStages()
-    grid = (
-        ParamGridBuilder()
-        .addGrid(stages[2].numFeatures, list(num_features))
-        .addGrid(stages[4].smoothing, list(smoothing))
-        .build()
-    )
-    validator = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=MulticlassClassificationEvaluator(metricName="f1"),
-        numFolds=folds,
-        seed=seed,
-        foldCol=fold or "",
-        parallelism=2,
-    )
-    result = validator.fit(labeled)
-    return result.bestModel, list(result.avgMetrics)
+    part = "_fold" if fold is None else fold
+    if fold is None:
+        drawn = F.pmod(F.xxhash64(*labeled.columns, F.lit(seed)), F.lit(folds))
+        labeled = labeled.withColumn(part, drawn.cast("int"))
+    grid = [(size, lam) for size in num_features for lam in smoothing]
+    means = []
+    for size, lam in grid:
+        scored = []
+        for number in range(folds):
+            training = labeled.filter(F.col(part) != number)
+            model = classifier(training, size, lam, own_buckets).fit(training)
+            # Without the label column the model leaves out its index.
+            held_out = labeled.filter(F.col(part) == number).withColumnRenamed("assigned_to", "_truth")
+            scored.append(model.transform(held_out).select("_truth", "prediction_label", part))
+        report = evaluation.metrics_report(reduce(DataFrame.unionAll, scored), "_truth", "prediction_label", part)
+        means.append(report.agg(F.avg("weighted_f_measure")).first()[0])
+    size, lam = grid[max(range(len(grid)), key=lambda i: means[i])]
+    return classifier(labeled, size, lam, own_buckets).fit(labeled), means
 
 
 def publish(model: PipelineModel, path: str) -> None:

@@ -80,11 +80,10 @@ def load_summary(spark, sf):
 @query(
     "insert_with_ids",
     f"""WITH {TICKETS_SQL},
-    new AS (SELECT event_id, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 64 AS b,
-                   'User ' || user_id AS reporter, event_type AS status, ts AS created_at FROM events)
+    new AS (SELECT event_id, 'User ' || user_id AS reporter, event_type AS status, ts AS created_at FROM events)
     SELECT id, reporter, assigned_to, status, priority, created_at FROM tickets
     UNION ALL
-    SELECT (SELECT max(id) FROM tickets) + row_number() OVER (ORDER BY b, event_id),
+    SELECT (SELECT max(id) FROM tickets) + row_number() OVER (ORDER BY event_id),
            reporter, NULL, status, NULL, created_at FROM new""",
 )
 def insert_with_ids(spark, sf):
@@ -496,14 +495,34 @@ PURGED_SQL = """purged AS (SELECT c_name, c_custkey FROM customer WHERE c_acctba
     SELECT table_name, gone AS n_removed, n - gone AS n_kept FROM counted""",
 )
 def purge_cascade(spark, sf):
-    customers = table(spark, sf, "customer", "c_name", "c_acctbal")
+    return keyed.purge_report(*purge_arguments(spark, sf))
+
+
+@query(
+    "purge_rows",
+    f"""WITH {PURGED_SQL}
+    SELECT 'customer' AS table_name, c_custkey AS id FROM customer WHERE c_name NOT IN (SELECT c_name FROM purged)
+    UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM purged_orders)
+    UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM purged_orders)""",
+)
+def purge_rows(spark, sf):
+    """What a cascading removal leaves in each table."""
+    after = keyed.purge(*purge_arguments(spark, sf))
+    ids = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    parts = [after[name].select(F.lit(name).alias("table_name"), F.col(column).alias("id")) for name, column in ids.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
+def purge_arguments(spark, sf):
+    """Accounts to remove, and the tables that depend on them."""
+    customers = table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal")
     owner = "'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') AS owner"
     orders = table(spark, sf, "orders").selectExpr("o_orderkey", owner)
     lines = table(spark, sf, "lineitem", "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     keys = customers.filter("c_acctbal < 0").select(F.upper("c_name").alias("account"))
-    before = {"lineitem": (lines, "owner"), "orders": (orders, "owner"), "customer": (customers, "c_name")}
-    after = keyed.purge(keys, "account", before)
-    return keyed.purge_report({name: df for name, (df, _) in before.items()}, after)
+    tables = {"lineitem": (lines, "owner"), "orders": (orders, "owner"), "customer": (customers, "c_name")}
+    return keys, "account", tables
 
 
 # ---- counts, sorts, pages ---------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.vectors import long_form, normalized_long_form, with_terms
 from ..operators import bayes, evaluation, similarity
-from ..session import work_path
+from ..session import materialize, work_path
 from ..sources import readers
 from ..streaming import arrivals
 from . import ml, oracle, triage
@@ -209,7 +209,7 @@ def model_roundtrip(spark, sf):
     root = work_path(spark, "registry")
     triage.publish_model(triage.train(assigned(spark, sf), stopwords=STOPWORDS), root, 1)
     model = triage.latest_model(spark, root)
-    return predicted(triage.classify_tickets(unassigned(spark, sf), model, stopwords=STOPWORDS))
+    return predicted(triage.classify_tickets(unassigned(spark, sf), model))
 
 
 @query(
@@ -275,19 +275,27 @@ def build_model(spark, sf):
 # ---- pyspark.ml form -------------------------------------------------------------------
 
 
-@query("ml_pipeline")
+@query("ml_pipeline", f"WITH {oracle.bayes('lang')} SELECT id, prediction AS prediction_label FROM scored")
 def ml_pipeline(spark, sf):
-    training = labeled(spark, sf)
-    model = ml.classifier(training).fit(training)
+    training = ml.bucket_words(labeled(spark, sf), stopwords=STOPWORDS)
+    model = ml.classifier(training, own_buckets=True).fit(training)
     return model.transform(training.drop("assigned_to")).select("id", "prediction_label")
 
 
-@query("cv_ml")
+@query(
+    "cv_ml",
+    f"""WITH {oracle.bayes('lang', oracle.FOLD_KEYS)}, {oracle.METRICS}
+    SELECT count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS n_correct,
+        round(100.0 * avg(CASE WHEN label = prediction THEN 1 ELSE 0 END), 6) AS accuracy_pct,
+        (SELECT round(avg(weighted_f_measure), 6) FROM report WHERE m >= 0) AS cv_f1
+    FROM scored WHERE m = -1""",
+)
 def cv_ml(spark, sf):
     training = labeled(spark, sf).withColumn("fold", triage.fold_of())
-    best, f1 = ml.cross_validate(training, fold="fold")
-    scored = best.transform(training)
-    return evaluation.accuracy_pct(scored, "assigned_to", "prediction_label").withColumn("cv_f1", F.lit(f1[0]))
+    training = materialize(ml.bucket_words(training, stopwords=STOPWORDS), "words")
+    best, f1 = ml.cross_validate(training, fold="fold", own_buckets=True)
+    share = evaluation.accuracy_pct(best.transform(training), "assigned_to", "prediction_label")
+    return share.select("n", "n_correct", F.round("accuracy_pct", 6).alias("accuracy_pct"), F.lit(round(f1[0], 6)).alias("cv_f1"))
 
 
 # ---- streams -----------------------------------------------------------------------------

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import NUM_FEATURES, term_norm, with_terms
-from ..functions.wordlists import DEFAULT_STOPWORDS
 from ..operators import bayes, evaluation, similarity
 from ..session import materialize
 from ..sources.readers import read_if_present
@@ -24,7 +23,7 @@ def fold_of(id_column: str = "id", folds: int = bayes.FOLDS):
 def train(
     labeled: DataFrame,
     clean_corpus: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     smoothing: float = bayes.SMOOTHING,
     num_features: int = NUM_FEATURES,
     drop_empty: bool = True,
@@ -33,7 +32,9 @@ def train(
     vectors = with_terms(labeled, "description", clean_corpus, stopwords, drop_empty, num_features)
     counts = bayes.training_counts(bayes.class_counts(vectors, "assigned_to"))
     # The model is read several times, the text only once: write the counts.
-    return bayes.NaiveBayes(materialize(counts, "counts"), smoothing, num_features)
+    return bayes.NaiveBayes(
+        materialize(counts, "counts"), smoothing, num_features, stopwords=tuple(stopwords), drop_empty=drop_empty
+    )
 
 
 @dataclass
@@ -54,7 +55,7 @@ def build_model(
     grid: Sequence[tuple[int, float]] = ((NUM_FEATURES, bayes.SMOOTHING),),
     folds: int = bayes.FOLDS,
     clean_corpus: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     drop_empty: bool = True,
 ) -> Training:
     """Cross-validate a grid of (num_features, smoothing), refit the best on all rows.
@@ -77,7 +78,9 @@ def build_model(
         features[size] = (vectors, materialize(counts, "counts"))
     for size, smoothing in grid:
         vectors, counts = features[size]
-        model = fitted[size, smoothing] = bayes.NaiveBayes(counts, smoothing, size)
+        model = fitted[size, smoothing] = bayes.NaiveBayes(
+            counts, smoothing, size, stopwords=tuple(stopwords), drop_empty=drop_empty
+        )
         both = vectors.select("id", "assigned_to", "terms", F.explode(keys).alias("fold"))
         scored = bayes.classify(both, model, "fold")
         reports.append(
@@ -102,10 +105,15 @@ def classify_tickets(
     tickets: DataFrame,
     model: bayes.NaiveBayes,
     clean: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
-    drop_empty: bool = True,
+    stopwords: Iterable[str] | None = None,
+    drop_empty: bool | None = None,
 ) -> DataFrame:
-    """Score every ticket (id, description, ...): ``prediction`` and ``score`` are added."""
+    """Score every ticket (id, description, ...): ``prediction`` and ``score`` are added.
+
+    Stop words and the treatment of empty words are those of the training, unless given.
+    """
+    stopwords = model.stopwords if stopwords is None else stopwords
+    drop_empty = model.drop_empty if drop_empty is None else drop_empty
     vectors = with_terms(tickets, "description", clean, stopwords, drop_empty, model.num_features)
     return bayes.classify(vectors, model)
 
@@ -144,7 +152,7 @@ def build_index(
     corpus: DataFrame,
     path: str,
     clean_corpus: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     drop_empty: bool = True,
 ) -> DataFrame:
     """Write the term vectors of (id, description) to ``path`` and read the table back.
@@ -163,7 +171,7 @@ def find_similar(
     k: int = 11,
     exclude_self: bool = False,
     weighting: str = "tf",
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
     drop_empty: bool = True,
 ) -> DataFrame:
     """The ``k`` most similar indexed tickets of each query (id, description)."""
@@ -178,7 +186,8 @@ def find_similar(
 
 def publish_model(model: bayes.NaiveBayes, root: str, version: int) -> None:
     """Write a model under ``root`` and, once complete, announce its version."""
-    model.save(f"{root}/models/{version}")
+    refit = replace(model, counts=model.counts.filter(F.col("model") == bayes.ALL))
+    refit.save(f"{root}/models/{version}")
     spark = model.counts.sparkSession
     spark.createDataFrame([(int(version),)], "version bigint").coalesce(1).write.mode("append").parquet(
         f"{root}/published"

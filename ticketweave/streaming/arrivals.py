@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.wordlists import DEFAULT_STOPWORDS
 from ..operators import bayes
 from ..plans import triage
 
@@ -31,7 +30,7 @@ def classify_stream(
     out: str,
     checkpoint: str,
     clean: bool = True,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] | None = None,
     partitions: int | None = None,
 ) -> StreamingQuery:
     """Classify each arriving ticket (id, description, ...) and append it to a Parquet table.
@@ -57,7 +56,7 @@ def similar_stream(
     out: str,
     checkpoint: str,
     k: int = 11,
-    stopwords: Iterable[str] = DEFAULT_STOPWORDS,
+    stopwords: Iterable[str] = (),
 ) -> StreamingQuery:
     """Find the similar indexed tickets of each arriving one.
 
