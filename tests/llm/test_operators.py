@@ -145,6 +145,27 @@ def test_hosts(spark):
     assert hosts.judge(pages.limit(0), outcomes, rules).count() == 0
 
 
+def test_ann_bundles_and_blocks(spark, monkeypatch):
+    """Several parts in a bundle, several blocks of rows and of queries: still every neighbour of the visited parts."""
+    assert ann.bundles([3, 4, 9, 1, 0, 2], 7) == ([0, 0, 1, 2, 2, 2], [7, 9, 3])
+    assert ann.bundles([], 7) == ([], [])
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(600, 8)), 1)
+    x[300:330] = x[0]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    x = x.astype(np.float32).astype(np.float64)
+    for name, value in (("PART_ROWS", 50), ("BUNDLE", 6), ("BLOCK_ROWS", 64), ("BLOCK_QUERIES", 16), ("STEP_ROWS", 32), ("STEP_QUERIES", 7)):
+        monkeypatch.setattr(ann, name, value)
+    found = ann.search(frame, F.col("vec_id") % 3 == 0, k=5, wanted_recall=1.1).toPandas()
+    assert len(found) == 200 * 5
+    for query, rows in found.groupby("query_id"):
+        rows = rows.sort_values("rank")
+        score = (x * x[query]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(600), -score)) if i != query][:5]
+        assert rows.vec_id.tolist() == order
+        assert np.allclose(rows.score, score[order], atol=1e-12, rtol=0)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(20, 8))

@@ -7,8 +7,10 @@
 3. A query visits its most probable parts; how many is measured on the sample,
    so that the wanted recall is reached, and rises to all parts where vectors
    have no structure to learn.
-4. In the visited parts exact inner products rank all vectors. Parts are cut
-   into blocks of bounded size, and so are the queries that visit one.
+4. In the visited parts exact inner products rank all vectors. Neighbouring
+   parts form bundles, so that a query and its best vectors travel once for all
+   parts of a bundle it visits. Bundles are cut into blocks of bounded size, and
+   so are the queries that visit one.
 
 Equal vectors are ranked once, with their smallest ids: beyond k + 1 copies no
 further one can be among the k nearest.
@@ -32,7 +34,11 @@ PART_ROWS, MAX_PARTS = 4_000, 256
 HIDDEN = 64
 # Sampled queries on which the number of visited parts is chosen, and the share of neighbours they must find.
 TRIALS, WANTED_RECALL = 500, 0.96
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
+# A bundle takes parts up to BUNDLE * sqrt(rows of the index) rows, at most BLOCK_ROWS: larger ones mean
+# fewer partial results, smaller ones more tasks. A larger part is a bundle of its own, in several blocks.
+BUNDLE, BLOCK_ROWS, BLOCK_QUERIES = 32, 65_536, 1_024
+# Rows and queries multiplied at once.
+STEP_ROWS, STEP_QUERIES = 4_096, 512
 
 
 def nearest(rows: np.ndarray, pool: np.ndarray, k: int, skip: np.ndarray | None = None) -> np.ndarray:
@@ -170,32 +176,61 @@ def _routed(df: DataFrame, router: Router, width: int, probes: int) -> DataFrame
 FOUND = "qkey bigint, score double, ids array<bigint>"
 
 
+def bundles(rows: list[int], limit: int) -> tuple[list[int], list[int]]:
+    """Put neighbouring parts together up to ``limit`` rows: the bundle of each part, the rows of each bundle."""
+    of, held = [], []
+    for n in rows:
+        if held and held[-1] + n <= limit:
+            held[-1] += n
+        else:
+            held.append(n)
+        of.append(len(held) - 1)
+    return of, held
+
+
+def _best(query: np.ndarray, score: np.ndarray, row: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k largest scores of each query, ties to the smaller ``least``, in order."""
+    order = np.lexsort((least[row], -score, query))
+    query, score, row = query[order], score[order], row[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], score[keep], row[keep]
+
+
 def _rank(k: int, width: int):
-    """``applyInArrow`` over (block of vectors, block of queries): the k best vectors of each query."""
+    """``applyInArrow`` over (block of vectors, block of queries): the k best vectors of each query in its parts."""
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        keys, scores, places = [], [], []
+        names = np.zeros(0, np.int64)
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
         if rows.num_rows and asked.num_rows:
+            rows = rows.sort_by("part")
             x, q = _matrix(rows["embedding"], width), _matrix(asked["embedding"], width)
-            least = rows["least"].to_numpy()
-            names = asked["qkey"].to_numpy()
-            for at in range(0, len(q), 128):
-                near = x @ q[at : at + 128].T
-                for i in range(near.shape[1]):
-                    some = min(k + 8, len(x))
-                    best = np.argpartition(-near[:, i], some - 1)[:some]
-                    # All that tie with the last place, to a rounding error, take part.
-                    best = np.flatnonzero(near[:, i] >= near[best, i].min() - 1e-12)
-                    exact = (x[best] * q[at + i]).sum(axis=1)
-                    order = np.lexsort((least[best], -exact))[:k]
-                    keys.append(np.full(len(order), names[at + i]))
-                    scores.append(exact[order])
-                    places.append(best[order])
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            least, part, names = rows["least"].to_numpy(), rows["part"].to_numpy(), asked["qkey"].to_numpy()
+            # What rounding may change in a product.
+            slack = 1e-12 * np.linalg.norm(x, axis=1).max() * np.linalg.norm(q, axis=1)
+            visited = _matrix(asked["parts"], len(asked["parts"][0])).astype(np.int64)
+            for at in range(0, len(q), STEP_QUERIES):
+                found = [tuple(v[:0] for v in best)]
+                # No score below a query's k-th best so far can be among its best.
+                bound = np.full(len(q[at : at + STEP_QUERIES]), -np.inf)
+                for p in np.unique(part):
+                    own = np.flatnonzero((visited[at : at + STEP_QUERIES] == p).any(axis=1))
+                    first, last = np.searchsorted(part, (p, p + 1))
+                    for a in range(first, last, STEP_ROWS) if len(own) else ():
+                        block = x[a : min(a + STEP_ROWS, last)]
+                        near = block @ q[at + own].T
+                        if len(near) >= k:
+                            bound[own] = np.maximum(bound[own], np.partition(near, -k, axis=0)[-k])
+                        # All that tie with the last place, to a rounding error, take part.
+                        row, col = np.nonzero(near >= bound[own] - slack[at + own])
+                        asker = at + own[col]
+                        found.append((asker, (block[row] * q[asker]).sum(axis=1), a + row))
+                kept = _best(*(np.concatenate(v) for v in zip(*found)), least, k)
+                best = tuple(np.concatenate(v) for v in zip(best, kept))
         return pa.table({
-            "qkey": pa.array(join(keys, np.int64)),
-            "score": pa.array(join(scores, np.float64)),
-            "ids": rows["ids"].combine_chunks().take(pa.array(join(places, np.int64))) if rows.num_rows else pa.array([], pa.list_(pa.int64())),
+            "qkey": pa.array(names[best[0]]),
+            "score": pa.array(best[1]),
+            "ids": rows["ids"].combine_chunks().take(pa.array(best[2])) if rows.num_rows else pa.array([], pa.list_(pa.int64())),
         })
 
     return run
@@ -241,17 +276,23 @@ def search(
     index = _routed(distinct, router, width, 1).withColumn("part", F.col("parts")[0]).drop("parts")
     index = work.write(index, "index")
     asked = valid.filter("is_query").select("embedding").distinct().withColumn("qkey", F.xxhash64("embedding"))
-    visits = _routed(asked, router, width, router.probes).select("qkey", "embedding", F.explode("parts").alias("part"))
-    visits = work.write(visits, "visits")
-    # At most MAX_PARTS rows each: how many blocks a part's vectors and queries fill.
-    blocks = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
-    asking = visits.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    plan = F.broadcast(blocks.join(asking, "part"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
-    left = index.join(plan, "part").select("part", own("embedding", "row_blocks").alias("rb"), each("query_blocks").alias("qb"), "embedding", "ids", "least")
-    right = visits.join(plan, "part").select("part", each("row_blocks").alias("rb"), own("qkey", "query_blocks").alias("qb"), "qkey", "embedding")
-    keys = ("part", "rb", "qb")
+    # At most MAX_PARTS numbers reach the driver: the rows of each part, then the queries of each bundle.
+    sizes = {r.part: r.n for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    limit = max(1, min(BLOCK_ROWS, int(BUNDLE * total**0.5)))
+    of, held = bundles([sizes.get(p, 0) for p in range(parts)], limit)
+    listed = lambda values, at: F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
+    visits = _routed(asked, router, width, router.probes)
+    to_bundles = F.array_distinct(F.transform("parts", lambda p: listed(of, p)))
+    visits = work.write(visits.select("qkey", "embedding", "parts", F.explode(to_bundles).alias("bundle")), "visits")
+    asking = {r.bundle: r.n for r in visits.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    row_blocks = listed([max(1, -(-n // BLOCK_ROWS)) for n in held], F.col("bundle"))
+    query_blocks = listed([-(-asking.get(b, 0) // BLOCK_QUERIES) for b in range(len(held))], F.col("bundle"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), n).cast("int")
+    left = index.withColumn("bundle", listed(of, F.col("part"))).filter(query_blocks > 0)
+    left = left.select("bundle", own("embedding", row_blocks).alias("rb"), each(query_blocks).alias("qb"), "part", "embedding", "ids", "least")
+    right = visits.select("bundle", each(row_blocks).alias("rb"), own("qkey", query_blocks).alias("qb"), "qkey", "embedding", "parts")
+    keys = ("bundle", "rb", "qb")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_rank(k + 1, width), FOUND)
     order = Window.partitionBy("qkey").orderBy(F.desc("score"), F.col("ids")[0])
     best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
