@@ -210,6 +210,23 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0), dims, F.lit(1), F.col("doc_id"), 0.5).count() == 0
 
 
+def test_mixing_meets_the_targets_its_cells_can_give(spark):
+    """At a high keep whole cells are kept; the other cells make up for them, and unreachable targets end at their bound."""
+    sizes = {("a", "x"): 50, ("a", "y"): 300, ("b", "x"): 350, ("b", "y"): 60, ("c", "x"): 120, ("c", "y"): 120}
+    rows = [(f"{s}{l}{i}", "w", s, l) for (s, l), n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, s string, l string")
+    dims = {"s": F.col("s"), "l": F.col("l")}
+    target = {"s": spark.createDataFrame([("a", 0.25), ("b", 0.45), ("c", 0.3)], "value string, share double"),
+              "l": spark.createDataFrame([("x", 0.6), ("y", 0.4)], "value string, share double")}
+    reach = lambda keep: {
+        r.value: r for r in mixing.shares(mixing.mix(docs, dims, F.lit(1), F.col("doc_id"), keep, targets=target), ["s", "l"], targets=target).collect()}
+    met = reach(0.78)
+    assert all(abs(r.expected - r.target) < 1e-3 for r in met.values())
+    assert abs(met["c"].largest_keep - 0.8) < 1e-9 and met["a"].largest_keep == 1.0
+    over = reach(0.85)
+    assert abs(over["c"].expected - 0.24 / 0.85) < 1e-3 and abs(over["a"].expected / over["b"].expected - 0.25 / 0.45) < 5e-3
+
+
 def test_warc_round_trip(spark, tmp_path):
     long, other = "<p>é" + "x" * 2000, "y" * 999
     rows = [(1, "http://a/\r\nX: y", long, 0), (2, None, long, 0), (3, "u", other, 0), (4, "u", other, 0), (5, "u", None, 0), (6, "u", "", 0),

@@ -2,9 +2,11 @@
 
 Tokens are counted per cell, a combination of the dimensions' values. The cell
 weights are raked: scaled to the target share of each value, one dimension
-after the other, until all hold. A document's probability is its cell's weight
-per token times one factor, at most 1; the factor is the one that gives the
-wanted number of tokens in expectation.
+after the other, until all hold. No cell can give more tokens than it has, so
+the targets are first brought within what each value holds, and every step of
+the raking fills its value's cells up to their tokens at most. A document's
+probability is its cell's filled share. Without bounds, weights are raked alone
+and a single factor, capped at 1, gives the wanted number of tokens.
 """
 
 from __future__ import annotations
@@ -81,6 +83,78 @@ def probabilities(raked: DataFrame, keep: float) -> DataFrame:
     return tried.withColumn("probability", F.when(F.col("rate") > 0, chosen).otherwise(0.0)).drop("factor", "rate")
 
 
+def _filled(df: DataFrame, wanted: Column, weight: str, capacity: str, by: list[str], ties: list[str]) -> DataFrame:
+    """Add ``factor``: within each group, sum(min(capacity, factor * weight)) is ``wanted``; null where the whole capacity is needed."""
+    group = Window.partitionBy(*by)
+    order = group.orderBy(F.desc(F.col(weight) / F.col(capacity)), *ties)
+    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = wanted - F.coalesce(F.sum(capacity).over(before), F.lit(0.0))
+    tried = df.withColumn("tried", F.greatest(left, F.lit(0.0)) / F.sum(weight).over(rest))
+    fits = F.max(F.when(F.col("tried") * F.col(weight) <= F.col(capacity), F.col("tried"))).over(group)
+    needed = wanted >= F.sum(capacity).over(group) * (1 - 1e-12)
+    return tried.withColumn("factor", F.when(~needed, fits)).drop("tried")
+
+
+def rake_within(cells: DataFrame, dimensions: list[str], keep: float, work: Workspace, rounds: int = ROUNDS) -> DataFrame:
+    """Add ``probability`` to cells (dimensions, tokens, share_<dimension>) so that expected tokens follow the shares at ``keep``.
+
+    A value whose target exceeds its tokens is kept whole, and the others share
+    the rest in proportion to their targets. What is left to a cell never
+    exceeds its tokens, so the kept tokens follow the targets that can be reached.
+    """
+    shares = [F.coalesce(F.col(f"share_{d}"), F.lit(0.0)) for d in dimensions]
+    usable = reduce(lambda a, b: a & b, [s > 0 for s in shares]) & (F.coalesce(F.col("tokens"), F.lit(0)) > 0)
+    total = F.coalesce(F.sum("tokens").over(Window.partitionBy()), F.lit(0)).cast("double")
+    marked = work.write(cells.withColumn("total", total).withColumn("usable", usable), "marked")
+    current = marked.filter("usable").withColumn("room", F.col("tokens").cast("double")).withColumn("weight", F.col("room"))
+    for d in dimensions:
+        values = marked.filter("usable").groupBy(d).agg(
+            F.sum("tokens").cast("double").alias("held"), F.first(f"share_{d}").alias("share"), F.first("total").alias("total")
+        )
+        filled = _filled(values, F.col("total") * keep, "share", "held", [], [d])
+        reached = F.coalesce(F.least("held", F.col("factor") * F.col("share")), F.col("held")).alias(f"goal_{d}")
+        current = current.join(filled.select(d, reached), d)
+    current = work.write(current, "goals")
+    for turn in range(rounds):
+        for d in dimensions:
+            current = _filled(current, F.col(f"goal_{d}"), "weight", "room", [d], dimensions)
+            scaled = F.coalesce(F.col("factor") * F.col("weight"), F.greatest("weight", "room"))
+            current = current.withColumn("weight", scaled).drop("factor")
+        if (turn + 1) % CUT_EVERY == 0:
+            current = work.write(current, "filled")
+    chance = current.select(*dimensions, F.least(F.lit(1.0), F.col("weight") / F.col("room")).alias("chance"))
+    joined = marked.join(chance, dimensions, "left")
+    return joined.select(*cells.columns, F.coalesce("chance", F.lit(0.0)).alias("probability"))
+
+
+def shares(mixture: DataFrame, dimensions: list[str], power: float = 0.5, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What a mixture reaches: (dimension, value, own, target, expected, largest_keep), shares of tokens.
+
+    ``mixture`` is what ``mix`` returns and ``targets`` what it was given.
+    ``largest_keep`` is the share of all tokens up to which the value's target
+    can be met without repeating documents; the smallest of them bounds ``keep``.
+    """
+    kept = F.sum(F.col("tokens") * F.col("probability")).alias("kept")
+    cells = mixture.groupBy("cell").agg(F.sum("tokens").alias("tokens"), kept).select("cell.*", "tokens", "kept")
+    parts = []
+    for d in dimensions:
+        sums = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"))
+        whole = Window.partitionBy()
+        own = (F.col("tokens") / F.sum("tokens").over(whole)).alias("own")
+        sums = sums.select("value", own, (F.col("kept") / F.nullif(F.sum("kept").over(whole), F.lit(0.0))).alias("expected"))
+        sums = sums.join(_target(cells, d, power, targets), "value", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        limit = F.least(F.lit(1.0), F.col("own") / F.nullif(F.col("share"), F.lit(0.0))).alias("largest_keep")
+        parts.append(sums.select(F.lit(d).alias("dimension"), "value", "own", F.col("share").alias("target"), "expected", limit))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _target(cells: DataFrame, dimension: str, power: float, targets: dict[str, DataFrame] | None) -> DataFrame:
+    given = (targets or {}).get(dimension)
+    if given is None:
+        return tempered_shares(cells, dimension, power)
+    return given.select(F.coalesce(F.col("value").cast("string"), F.lit(NULL)).alias("value"), F.col("share").cast("double").alias("share"))
+
+
 def mix(
     docs: DataFrame,
     dimensions: dict[str, Column],
@@ -91,12 +165,16 @@ def mix(
     targets: dict[str, DataFrame] | None = None,
     rounds: int = ROUNDS,
     seed: str = "mix",
+    bounded: bool = True,
 ) -> DataFrame:
     """Sample documents so that expected tokens follow the target shares of every dimension.
 
     ``targets`` gives (value, share) tables by dimension; a dimension without
     one gets its own shares raised to ``power``. ``keep`` is the share of all
-    tokens to keep in expectation. Returns a row for each document with
+    tokens to keep in expectation; targets beyond what a value holds at that
+    share are met as far as they can be (``shares`` reports it). ``bounded``
+    rakes within the cells' tokens; False caps the raked weights afterwards,
+    which leaves reachable targets unmet once cells are capped. Returns a row for each document with
     ``row`` (a struct of all its columns), ``cell`` (its dimensions' values as
     text), ``tokens``, ``probability`` and ``kept``.
 
@@ -114,14 +192,11 @@ def mix(
     cells = work.write(cells, "cells")
     few = cells.count() <= FEW_CELLS
     for name in names:
-        given = (targets or {}).get(name)
-        if given is None:
-            given = tempered_shares(cells, name, power)
-        else:
-            given = given.select(F.coalesce(F.col("value").cast("string"), F.lit(NULL)).alias("value"), F.col("share").cast("double").alias("share"))
+        given = _target(cells, name, power, targets)
         cells = cells.join(given.withColumnsRenamed({"value": name, "share": f"share_{name}"}), name, "left")
     cells = work.write(cells.coalesce(1) if few else cells, "targets")
-    raked = probabilities(rake(cells.coalesce(1) if few else cells, names, work, rounds), keep)
+    cells = cells.coalesce(1) if few else cells
+    raked = rake_within(cells, names, keep, work, rounds) if bounded else probabilities(rake(cells, names, work, rounds), keep)
     chances = work.write(raked.select(F.struct(*names).alias("cell"), "probability"), "chances")
     placed = docs.select(F.struct(*docs.columns).alias("row"), cell, tokens.cast("bigint").alias("tokens"), key.cast("string").alias("key"))
     joined = placed.join(F.broadcast(chances) if few else chances, "cell")

@@ -186,15 +186,16 @@ FROM d JOIN p USING (source, lang, topic)"""
 KEEP = 0.8
 
 
-def mixed(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Sources, languages and topics at the square root of their own shares."""
+def mixed(docs: DataFrame, keep: float = KEEP, bounded: bool = True) -> DataFrame:
+    """Sources, languages and topics at the square root of their own shares, as far as ``keep`` lets them be reached."""
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
-    return mixing.mix(docs, dimensions, mixing.word_count(F.col("text")), F.col("doc_id"), keep)
+    return mixing.mix(docs, dimensions, mixing.word_count(F.col("text")), F.col("doc_id"), keep, bounded=bounded)
 
 
 @query("op9_mixing", _mixing_sql())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return mixed(table(spark, folder, "documents")).select(
+    # As its SQL has it: weights raked without bounds, then one capped factor.
+    return mixed(table(spark, folder, "documents"), bounded=False).select(
         "row.doc_id", "cell.source", "cell.lang", "cell.topic", "tokens", F.round("probability", 9).alias("probability"), "kept"
     )
 
