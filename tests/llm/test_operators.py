@@ -1,6 +1,7 @@
 """Small cases of each operator: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -108,6 +109,51 @@ def test_decontamination(spark, documents):
     assert decontaminate.overlaps(documents(rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_all_its_rule_accepts(spark, documents):
+    """Seeds hit every accepted pattern of 13 to 25 words, and overlaps agree with all stretches of all diagonals."""
+    for n in range(13, 26):
+        for wrong in range(n // 5 + 1):
+            for places in itertools.combinations(range(n), wrong):
+                line = "".join("0" if i in places else "1" for i in range(n))
+                assert "1111" in line or any(line[i : i + 3] == line[i + 4 : i + 7] == "111" for i in range(n - 6))
+    rng = random.Random(8)
+    items = [prose(rng, n).split() for n in (13, 15, 16, 20, 40, 9, 3)]
+    texts = []
+    for _ in range(120):
+        w = list(rng.choice(items[:5]))
+        for at in rng.sample(range(len(w)), rng.randint(1, len(w) // 4)):
+            w[at] = "zzz"
+        cut = rng.randint(0, 3)
+        texts.append(prose(rng, rng.randint(0, 9)).split() + w[cut:] + prose(rng, rng.randint(0, 9)).split())
+    texts += [["q"] + items[5] + ["q"], items[5][:8], items[6], items[6] + ["q"], items[3][:13]]
+
+    def best(text, item):
+        if len(item) < 13:
+            whole = text == item or len(item) > 3 and any(text[i : i + len(item)] == item for i in range(len(text)))
+            return len(item) if whole else 0
+        found = 0
+        for shift in range(-len(item), len(text)):
+            agree = [text[q + shift] == item[q] for q in range(len(item)) if 0 <= q + shift < len(text)]
+            for a, b in itertools.combinations(range(len(agree) + 1), 2):
+                m = sum(agree[a:b])
+                if b - a >= 13 and 5 * m >= 4 * (b - a):
+                    found = max(found, m)
+        return found
+
+    want = {(d, i): m for d, t in enumerate(texts) for i, item in enumerate(items) if (m := best(t, item))}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+    rows = [(d, " ".join(t)) for d, t in enumerate(texts)]
+    for limit in (100_000, 0):
+        found = decontaminate.overlaps(documents(rows), table, broadcast_windows=limit).collect()
+        assert {(r.doc_id, r.item_id): r.n_matches for r in found} == want and len(found) == len(want)
+        for r in found:
+            t, w = texts[r.doc_id], items[r.item_id]
+            agree = [t[r.doc_start + k] == w[r.item_start + k] for k in range(r.n_words)]
+            assert agree[0] and agree[-1] and sum(agree) == r.n_matches
+    seeded = decontaminate.seeded_overlaps(documents(rows), table)
+    assert {(r.doc_id, r.item_id) for r in seeded.collect()} < set(want)
+
+
 def test_quality(spark, documents):
     rng = random.Random(1)
     good = [(i, prose(rng, 60)) for i in range(150)]
