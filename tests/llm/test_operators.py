@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,42 @@ def test_alignment_bridges_gaps():
     assert licenses.align(a, text, 1, 3) == (7, 1, 9)
 
 
+def plain_fit(template, text):
+    """Unbanded alignment cell by cell: (score, matched, start, end)."""
+    row = [(0, 0, j) for j in range(len(text) + 1)]
+    for word in template:
+        new = [(row[0][0] - 1, *row[0][1:])]
+        for j, other in enumerate(text):
+            same = word == other
+            step = (row[j][0] + (2 if same else -1), row[j][1] + same, row[j][2])
+            new.append(max(step, (row[j + 1][0] - 1, *row[j + 1][1:]), (new[j][0] - 1, *new[j][1:])))
+        row = new
+    end = max(range(len(row)), key=lambda j: (row[j][0], -j))
+    return row[end][1], row[end][2], end
+
+
+def test_licenses_with_insertions_cuts_and_other_versions(documents):
+    """Every template is found with words inserted or left out in the middle and cut at either end, like unbanded alignment."""
+    texts, want = [], {}
+    for name, template in licenses.TEMPLATES.items():
+        words = re.findall(r"[a-z0-9]+", template.lower())
+        n = len(words)
+        fifth, extra, half = n // 5, ["zz"] * max(3, n // 7 + 1), n // 2
+        cases = [words[:half] + extra + words[half:]]
+        if n > 40:
+            cases += [words[:half] + words[half + fifth :], words[fifth:] + ["zz"] * 5, ["zz"] * 5 + words[: n - fifth]]
+        if n >= 12:
+            for case in cases:
+                want[len(texts)] = (name, *plain_fit(words, case))
+                texts.append(" ".join(case))
+    wrong = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 1.1.",
+             "This work is licensed under the GNU General Public License, version 2.",
+             "This work is licensed under the GNU Lesser General Public License, version 3."]
+    got = licenses.scan_licenses(documents(list(enumerate(texts + wrong)))).collect()
+    assert {r.doc_id: (r.license, r.matched, r.start, r.end) for r in got} == want and len(got) == len(want)
+    assert all(r.coverage >= 0.8 for r in got)
+
+
 def test_decontamination(spark, documents):
     rng = random.Random(3)
     item, other = prose(rng, 30), prose(rng, 30)

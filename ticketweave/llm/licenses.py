@@ -1,13 +1,14 @@
-"""License texts in documents: winnowed fingerprints find candidates, banded alignment measures them.
+"""License texts in documents: shared word runs find candidates, alignment over all their surroundings measures them.
 
 Texts are compared as lower-case runs of ASCII letters and digits and of all
-other non-ASCII bytes. Every template's ``GRAM``-word hashes are winnowed into
+other non-ASCII bytes. Every template's ``GRAM``-word hashes make
 an inverted index of fixed size that travels to the tasks; each document is
 looked up where it is read, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -18,9 +19,7 @@ from pyspark.sql import functions as F
 from . import words as W
 
 GRAM = 3
-WINNOW = 3
 MIN_COVERAGE = 0.8
-MAX_BAND = 32
 MAX_INDEX_BYTES = 16 << 20
 
 # Notices and short texts of common licenses.
@@ -47,6 +46,14 @@ TEMPLATES = {
     " any later version.",
 }
 
+# Words that must occur in a row in an occurrence of a short template, so that another license or version is not taken for it.
+MARKS = {
+    "Apache-2.0 line": ("apache license", "2 0"),
+    "CC-BY-NC-4.0 line": ("cc by nc 4 0",),
+    "GPL-3.0 line": ("gnu general public license", "version 3"),
+    "MIT line": ("mit",),
+}
+
 # Letters, digits and non-ASCII bytes make words.
 BREAK = np.ones(256, dtype=bool)
 for _a, _z in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -58,34 +65,27 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(found), found.rows
 
 
-def winnowed(grams: np.ndarray, window: int = WINNOW) -> np.ndarray:
-    """Positions of the smallest hash of every window (the last of equal ones)."""
-    if len(grams) <= window:
-        return np.array([len(grams) - 1 - int(np.argmin(grams[::-1]))]) if len(grams) else np.zeros(0, np.int64)
-    spans = np.lib.stride_tricks.sliding_window_view(grams, window)[:, ::-1]
-    return np.unique(np.arange(len(spans)) + window - 1 - spans.argmin(axis=1))
-
-
 class Index:
-    """The inverted index: sorted fingerprints with the template and position of each."""
+    """The inverted index: sorted hashes of word runs with the template and position of each."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], marks: dict[str, tuple[str, ...]] | None = None):
         self.names = sorted(templates)
         self.words, hashes, owners, places = [], [], [], []
         for number, name in enumerate(self.names):
             own, _ = _hashes(pa.array([templates[name]]))
             if len(own) < GRAM:
                 raise ValueError(f"template {name!r} has fewer than {GRAM} words")
+            if len(own) > 0xFFFF:
+                raise ValueError(f"template {name!r} has more than {0xFFFF} words")
             starts = np.arange(len(own) - GRAM + 1)
             grams = W.range_hashes(own, starts, starts + GRAM, W.WORD_BASE)
-            at = winnowed(grams)
             self.words.append(own)
-            hashes.append(grams[at])
-            owners.append(np.full(len(at), number))
-            places.append(at)
+            hashes.append(grams)
+            owners.append(np.full(len(grams), number))
+            places.append(starts)
         order = np.argsort(np.concatenate(hashes), kind="stable")
         self.grams, self.owner, self.place = (np.concatenate(x)[order] for x in (hashes, owners, places))
-        self.fingerprints = np.bincount(self.owner, minlength=len(self.names))
+        self.marks = [[_hashes(pa.array([m]))[0] for m in (marks or {}).get(name, ())] for name in self.names]
         if sum(w.nbytes for w in self.words) + 3 * self.grams.nbytes > MAX_INDEX_BYTES:
             raise ValueError("the templates are too large to send to every task")
 
@@ -98,43 +98,48 @@ class Index:
         return at, np.repeat(first, count) + inner
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best alignment of the whole template within ``band`` of a diagonal: (matched words, start, end in text).
+def fit(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """Best alignment of the whole template anywhere in the text: (matched words, start, end in text).
 
     A match scores 2, a substitution or gap -1; the text's ends are free.
     """
-    width = 2 * band + 1
-    none = (-1 << 30, 0, 0)
-    # cell j of row i stands before template word i and text word i + diagonal + j - band
-    row = []
-    for j in range(width):
-        at = diagonal + j - band
-        row.append((0, 0, at) if 0 <= at <= len(text) else none)
-    for i, word in enumerate(template):
-        new = []
-        for j in range(width):
-            at = i + 1 + diagonal + j - band  # text words used so far
-            best = none
-            if 0 <= at <= len(text):
-                score, matched, start = row[j]
-                if at >= 1 and score > none[0]:
-                    same = text[at - 1] == word
-                    best = (score + (2 if same else -1), matched + int(same), start)
-                if j + 1 < width and row[j + 1][0] - 1 > best[0]:
-                    best = (row[j + 1][0] - 1, row[j + 1][1], row[j + 1][2])
-                if j and new[j - 1][0] - 1 > best[0]:
-                    best = (new[j - 1][0] - 1, new[j - 1][1], new[j - 1][2])
-            new.append(best)
-        row = new
-    j = max(range(width), key=lambda x: (row[x][0], -x))
-    return row[j][1], row[j][2], len(template) + diagonal + j - band
-
-
-def _clusters(places: np.ndarray, reach: int) -> list[np.ndarray]:
-    """Hits of one template in one text, cut where the diagonal jumps by more than ``reach``."""
-    order = np.argsort(places, kind="stable")
-    cuts = np.flatnonzero(np.diff(places[order]) > reach) + 1
-    return np.split(order, cuts)
+    # A cell packs score, matched words and start, so that the larger one is the better one.
+    score, match, places = 1 << 44, 1 << 28, np.arange(len(text) + 1, dtype=np.int64)
+    row = places.copy()
+    for word in template:
+        new = row - score
+        np.maximum(new[1:], row[:-1] + np.where(text == word, 2 * score + match, -score), out=new[1:])
+        row = np.maximum.accumulate(new + places * score) - places * score
+    end = int(np.argmax(row >> 44))
+    return int(row[end] >> 28) & 0xFFFF, int(row[end]) & (match - 1), end
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
+    """Best alignment of the whole template within ``band`` words around a diagonal: (matched words, start, end in text)."""
+    first = max(0, diagonal - band)
+    matched, start, end = fit(template, text[first : max(first, diagonal + len(template) + band)])
+    return matched, first + start, first + end
+
+
+def _runs_at(text: np.ndarray, run: np.ndarray) -> bool:
+    return len(text) >= len(run) and bool((np.lib.stride_tricks.sliding_window_view(text, len(run)) == run).all(axis=1).any())
+
+
+def occurrences(template: np.ndarray, text: np.ndarray, min_coverage: float, marks: list[np.ndarray]) -> list[tuple[int, int, int]]:
+    """(start, end, matched) of the best alignment, then of what lies before and after it."""
+    found, parts = [], [(0, len(text))]
+    while parts:
+        low, high = parts.pop()
+        part = text[low:high]
+        # Too few of the template's words: no alignment can reach the coverage.
+        if len(part) < min_coverage * len(template) or np.isin(template, part).sum() < min_coverage * len(template):
+            continue
+        matched, start, end = fit(template, part)
+        if matched >= min_coverage * len(template) and all(_runs_at(part[start:end], m) for m in marks):
+            found.append((low + start, low + end, matched))
+        if end > start:
+            parts += [(low, low + start), (low + end, high)]
+    return found
 
 
 def spans_of(index: Index, text: np.ndarray, at: np.ndarray, entry: np.ndarray, min_coverage: float) -> list[tuple]:
@@ -142,23 +147,27 @@ def spans_of(index: Index, text: np.ndarray, at: np.ndarray, entry: np.ndarray,
     found = []
     by_template = defaultdict(list)
     for position, e in zip(at, entry):
-        by_template[int(index.owner[e])].append((int(position), int(index.place[e])))
-    for owner, pairs in by_template.items():
-        template = index.words[owner]
-        band = min(MAX_BAND, max(2, len(template) // 8))
-        diagonals = np.array([p - q for p, q in pairs])
-        for group in _clusters(diagonals, band):
-            if len(group) < max(1, index.fingerprints[owner] // 10):
-                continue
-            matched, start, end = align(template, text, int(np.median(diagonals[group])), band)
-            if matched >= min_coverage * len(template):
-                found.append((owner, start, end, matched, len(template)))
+        by_template[int(index.owner[e])].append(int(position) - int(index.place[e]))
+    for owner, diagonals in by_template.items():
+        template, size = index.words[owner], len(index.words[owner])
+        diagonals = np.unique(diagonals)
+        while len(diagonals):
+            # Hits within a template's length, with room for as many inserted words: more cost more than they join.
+            near = int(np.searchsorted(diagonals, diagonals[0] + size, side="right"))
+            low, high = max(0, int(diagonals[0]) - size), max(0, int(diagonals[near - 1]) + 2 * size)
+            diagonals = diagonals[near:]
+            for start, end, matched in occurrences(template, text[low:high], min_coverage, index.marks[owner]):
+                found.append((owner, low + start, low + end, matched, size))
     found.sort(key=lambda f: (-f[3], f[2] - f[1], f[0], f[1]))
-    taken: list[tuple] = []
+    starts: list[int] = []
+    taken: dict[int, tuple] = {}
     for one in found:
-        if all(one[2] <= other[1] or other[2] <= one[1] for other in taken):
-            taken.append(one)
-    return sorted(taken, key=lambda f: f[1])
+        place = bisect.bisect_left(starts, one[1])
+        clear = place == 0 or taken[starts[place - 1]][2] <= one[1]
+        if clear and (place == len(starts) or one[2] <= starts[place]):
+            starts.insert(place, one[1])
+            taken[one[1]] = one
+    return [taken[s] for s in starts]
 
 
 SPANS = "doc_id bigint, license string, start int, end int, matched int, words int, coverage double"
@@ -171,12 +180,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     words, letters-and-digits runs counted from 0), matched (template words
     found in order), words (of the template) and coverage. Of overlapping
     occurrences the one with more matched words is reported, ties going to the
-    shorter span, then to the smaller name.
+    shorter span, then to the smaller name. Short templates of ``TEMPLATES`` are
+    reported only where their license and version (``MARKS``) agree.
 
     Null and empty texts hold none. Repeated rows are reported each; null ids
     are kept. Other columns are not used.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES, MARKS) if templates is None else Index(templates)
 
     def run(batches):
         for batch in batches:
