@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import ann, decontaminate, hosts, licenses, mixing, neardup, quality, sharding, substring, warc
+from . import ann, decontaminate, hosts, licenses, lines, mixing, neardup, quality, resample, sharding, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,21 +86,29 @@ def _draw(key: str, shard: str) -> str:
     return f"((('0x' || substr(md5({key} || ':' || {shard}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
 
 
+# The CRC-32 by its table of 256 steps: ``crc`` has one row, the list ``crcs``.
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(list_prepend(k, range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS crcs
+  FROM (SELECT unnest(range(256)) AS k)
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])))"""
+
+
 SHARDING_SQL = f"""
 WITH p AS (
   SELECT doc_id, s, 1.0 / -ln({_draw("doc_id", "s")}) AS score
   FROM documents, (SELECT unnest(range(9)) AS s)
 ), best AS (
   SELECT doc_id, arg_max(s, score) FILTER (s < 8) AS shard, arg_max(s, score) AS grown FROM p GROUP BY doc_id
-), crc AS (
-  SELECT list(list_reduce(list_prepend(k, range(8)),
-    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY k) AS crcs
-  FROM (SELECT unnest(range(256)) AS k)
-)
+), {CRC_TABLE}
 SELECT d.doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
-  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
-    regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS text_crc32, 'key' AS law, shard::INT AS shard,
+  {crc32_sql("coalesce(text, '')")} AS text_crc32, 'key' AS law, shard::INT AS shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5(d.doc_id || '#')) - 1 AS slot, grown::INT AS grown_shard
 FROM documents d JOIN best USING (doc_id), crc
 """
@@ -276,3 +284,67 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(table(spark, folder, "pages"))
     stored = Workspace(spark, "archives").write(archives, "archives")
     return warc.read_archives(stored, payload=False).drop("url")
+
+
+LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, len(all_lines) AS n_lines, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS place
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents)
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{hosts.UPPER}', '{hosts.LOWER}') AS key FROM l
+), repeated AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= {lines.MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {lines.MIN_DOCS}
+), marked AS (SELECT k.*, coalesce(doc_id > first, false) AS gone FROM k LEFT JOIN repeated USING (key))
+SELECT doc_id, any_value(n_lines) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.drop_repeated_lines(table(spark, folder, "documents"), keep_text=False)
+
+
+def _features_sql(name: str, source: str) -> str:
+    """Buckets of all word runs of one table: each distinct run is hashed once."""
+    runs = " UNION ALL ".join(
+        f"SELECT id, array_to_string(w[i : i + {n}], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - {n - 1})) AS i FROM {name}_w)"
+        for n in range(resample.MAX_RUN)
+    )
+    return f"""{name}_w AS (
+  SELECT id, regexp_extract_all(translate(coalesce(text, ''), '{hosts.UPPER}', '{hosts.LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM ({source})
+), {name}_r AS MATERIALIZED (SELECT id, run, count(*) AS n FROM ({runs}) GROUP BY id, run),
+{name}_h AS (SELECT run, {crc32_sql("run")} % {resample.BUCKETS} AS bucket FROM (SELECT DISTINCT run FROM {name}_r), crc),
+{name}_b AS MATERIALIZED (SELECT id, bucket, sum(n) AS n FROM {name}_r JOIN {name}_h USING (run) GROUP BY id, bucket)"""
+
+
+RESAMPLE_SQL = f"""
+WITH {CRC_TABLE},
+{_features_sql("d", "SELECT doc_id AS id, text FROM documents")},
+{_features_sql("t", "SELECT item_id AS id, text FROM benchmark")},
+totals AS (SELECT (SELECT sum(n) FROM d_b) AS s_all, (SELECT coalesce(sum(n), 0) FROM t_b) AS t_all),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + {resample.BUCKETS}))
+    / ((s.n + 1)::DOUBLE * (t_all + {resample.BUCKETS}))))::BIGINT AS gain
+  FROM (SELECT bucket, sum(n) AS n FROM d_b GROUP BY bucket) s
+  LEFT JOIN (SELECT bucket, sum(n) AS n FROM t_b GROUP BY bucket) t USING (bucket), totals
+), w AS (
+  SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM d_b JOIN gains USING (bucket) GROUP BY id
+), scored AS (
+  SELECT d.id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || d.id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score,
+    len(d.w) >= {resample.MIN_WORDS} AS eligible
+  FROM d_w d LEFT JOIN w USING (id)
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= {resample.PERCENT} * n // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id) AS place,
+  count(*) OVER (PARTITION BY eligible) AS n FROM scored)
+"""
+
+
+@query("op13_importance_resampling", RESAMPLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
