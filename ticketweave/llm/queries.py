@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from . import ann, decontaminate, hosts, licenses, lines, mixing, neardup, quality, resample, sharding, substring, warc
+from . import ann, decontaminate, hosts, licenses, lines, mixing, neardup, quality, resample, sharding, substring, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -286,6 +286,50 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(stored, payload=False).drop("url")
 
 
+TRIE_SQL = f"""
+WITH {CRC_TABLE},
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS d
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS base FROM (SELECT DISTINCT conv_id FROM t), crc
+), o AS (SELECT c.conv_id, t.d, role, text FROM c JOIN t ON t.conv_id = base AND t.d <= h),
+m AS (SELECT conv_id, count(*) AS m FROM o GROUP BY conv_id),
+r AS (
+  SELECT * FROM o UNION ALL
+  SELECT t.conv_id, t.d - h + coalesce(m, 0), role, text FROM t JOIN c USING (conv_id) LEFT JOIN m USING (conv_id) WHERE t.d > h
+), k AS MATERIALIZED (
+  SELECT conv_id, d, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w,
+    md5(string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS node
+  FROM r UNION ALL SELECT conv_id, 0, 0, 'root' FROM c
+), n AS MATERIALIZED (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM k GROUP BY node, d
+), p AS MATERIALIZED (
+  SELECT n.*, up.node AS parent, np.conv_id AS parent_conv_id FROM n
+  LEFT JOIN k up ON up.conv_id = n.conv_id AND up.d = n.depth - 1 LEFT JOIN n np ON np.node = up.node
+), kids AS (SELECT parent AS node, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY parent),
+v AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN kids USING (node)),
+sums AS (
+  SELECT k.node, sum((n_convs - 1) * v.w)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM v JOIN k ON k.conv_id = v.conv_id AND k.d <= v.depth GROUP BY k.node
+), ends AS (
+  SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+  FROM (SELECT * FROM k QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY node
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM v JOIN sums USING (node) LEFT JOIN ends USING (node)
+"""
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    work = Workspace(spark, "op11")
+    turns = trie.number_turns(table(spark, folder, "conversations"), work)
+    ids = work.write(turns.select("conv_id").distinct(), "ids")
+    return trie.prefix_nodes(trie.share_openings(turns, ids, work), ids, work).drop("k1", "k2")
+
+
 LINES_SQL = f"""
 WITH l AS (
   SELECT doc_id, len(all_lines) AS n_lines, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS place
