@@ -53,15 +53,51 @@ def corpus(seed, groups=12, copies=9):
     return list(enumerate(texts, start=3))
 
 
-@pytest.mark.parametrize(("seed", "size", "small"), [(1, 2, 4096), (3, 2, 8)])
-def test_like_brute_force(documents, monkeypatch, seed, size, small):
-    monkeypatch.setattr(neardup, "FEW_STRAYS", 2)
+@pytest.mark.parametrize(("seed", "size", "few", "block"), [(1, 2, 2, 500_000), (3, 2, 0, 300), (5, 5, 8, 500_000), (6, 5, 0, 900)])
+def test_like_brute_force(documents, monkeypatch, seed, size, few, block):
+    monkeypatch.setattr(neardup, "FEW_STRAYS", few)
+    monkeypatch.setattr(neardup, "BLOCK_TOKENS", block)
     rows = corpus(seed)
-    got = neardup.near_duplicates(documents(rows), size, small_bucket=small)
+    got = neardup.near_duplicates(documents(rows), size)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted(map(tuple, got.collect())) == brute(rows, size)
 
 
+def test_a_pair_is_compared_in_one_bucket_only():
+    """Sets that share a core without being alike meet in many buckets; all buckets together compare each pair once."""
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 2**63, 86, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([core, rng.integers(0, 2**63, 14, dtype=np.uint64)])) for _ in range(120)]
+    offsets = np.cumsum([0, *map(len, sets)])
+    keys = neardup.band_keys(neardup.sketches(np.concatenate(sets), offsets)).view(np.int64)
+    wanted = []
+    held, counts = neardup._held, neardup._Postings.counts
+    compared = {"pairs": 0, "met": 0}
+
+    def count_rows(tokens, offsets, rows, mine):
+        compared["pairs"] += len(rows)
+        return held(tokens, offsets, rows, mine)
+
+    neardup._held, bounds = count_rows, neardup._Postings.bounds
+    # Few of the wanted sets are left in most buckets, so all go the way that is counted.
+    neardup._Postings.bounds = lambda self, w: (bounds(self, w) if len(w) != 100 else (np.zeros(100, int), np.full(100, 1 << 40)))
+    try:
+        for bucket, number in zip(*np.unique(keys, return_counts=True)):
+            here = np.flatnonzero((keys == bucket).any(axis=1))
+            if number < 2:
+                continue
+            compared["met"] += len(here) * (len(here) - 1) // 2
+            table = pa.table({
+                "bucket": [int(bucket)] * len(here), "id": here, "c": here, "main": [int(here[0])] * len(here), "n": [len(sets[i]) for i in here],
+                "shingles": [sets[i].tobytes() for i in here], "buckets": [np.sort(keys[i]).tolist() for i in here],
+            })
+            wanted += neardup._block_links(80)(table, table.slice(1)).to_pylist()
+    finally:
+        neardup._held, neardup._Postings.counts, neardup._Postings.bounds = held, counts, bounds
+    assert not wanted
+    assert 0 < compared["pairs"] <= 120 * 119 // 2 < compared["met"] / 4
+
+
 def test_repeated_and_null_ids(documents):
     rows = [(5, "a b c d"), (5, "x y z w"), (9, "x y z w"), (9, "a b c d e f"), (None, "a b c d"), (7, "q"), (7, "q")]
     got = neardup.near_duplicates(documents(rows), 2).collect()

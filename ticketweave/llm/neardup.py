@@ -12,15 +12,13 @@
    bands with probability 3e-8, a more similar one with less.
 4. *Verification* on full sets, until each bucket is settled. Every member is
    first compared with one hub, the smallest id among its buckets' smallest
-   ids; then with the other hubs, unless both are in one component already.
+   ids; then with the other hubs, unless the links so far show both together.
    A bucket whose members all are in one component needs no more. In one that
    is not, the strays, its members outside the largest component, are compared
-   with a few drawn members of that, then with all members of other components,
-   in blocks inside the tasks, so that only links come out. A bucket of very
-   many strays is banded again inside, from sketches with other hashes, which
-   parts what only looked alike, and starts over.
-   So a group of near copies costs one comparison each, no link is dropped, and
-   the number of pairs stays a bounded multiple of the rows.
+   with all members of other components: as pairs where they are few, otherwise
+   in blocks inside the tasks, so that only links come out. A block leaves out
+   the pairs that an earlier bucket compares, so a pair is compared once.
+   So a group of near copies costs one comparison each and no link is dropped.
 5. *Components* of the verified links.
 """
 
@@ -40,12 +38,9 @@ SHINGLE = 5
 PERCENT = 80
 COORDINATES = 512
 BAND_ROWS = 7
-# Rounds that compare strays, the members outside their bucket's largest component, with drawn members of it.
-SAMPLED_ROUNDS = 1
-# Strays of a bucket up to which they are paired with its other members; up to SMALL_BUCKET they
-# are compared inside tasks, block by block; beyond, the bucket is banded again.
+# Strays of a bucket, members outside its largest component, up to which they are paired with
+# its other members; more are compared inside tasks, block by block.
 FEW_STRAYS = 8
-SMALL_BUCKET = 4096
 # Shingles of a block, about 8 bytes each.
 BLOCK_TOKENS = 500_000
 GOLDEN = 0x9E3779B97F4A7C15
@@ -184,151 +179,171 @@ def _verify(percent: int):
     return run
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The positions starts[i], ..., starts[i] + counts[i] - 1 of all i, in turn."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
+class _Postings:
+    """Values of several rows, sorted, each with its row."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray):
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.rows = values[order], owner[order], len(sizes)
+
+    def bounds(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        start = np.searchsorted(self.values, wanted)
+        return start, np.searchsorted(self.values, wanted, side="right") - start
+
+    def counts(self, start: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How many of the wanted values each row holds."""
+        return np.bincount(self.owner[_spread(start, number)], minlength=self.rows)
+
+
+def _held(tokens: np.ndarray, offsets: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How many of the wanted tokens (sorted) each of the listed rows holds."""
+    counts = offsets[rows + 1] - offsets[rows]
+    own = tokens[_spread(offsets[rows], counts)]
+    place = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+    return row_sums((wanted[place] == own).astype(np.uint64), np.concatenate([[0], np.cumsum(counts)])).astype(np.int64)
+
+
 def _block_links(percent: int):
     """``applyInArrow``: links between the strays of one block and the members of another."""
 
     def run(members: pa.Table, strays: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
         if members.num_rows and strays.num_rows:
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in members["shingles"]]
-            tokens = np.concatenate(sets)
-            ids, of, sizes = (members[c].to_numpy() for c in ("id", "c", "n"))
-            ends = np.cumsum([0, *sizes])
-            known, place = np.unique(tokens, return_inverse=True)
-            for stray, own, n, shingles in zip(*(strays[c] for c in ("id", "c", "n", "shingles"))):
-                held = np.zeros(len(known) + 1, dtype=np.int64)
+            bucket = members["bucket"][0].as_py()
+            tokens = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in members["shingles"]])
+            ids, of, sizes, main = (members[c].to_numpy() for c in ("id", "c", "n", "main"))
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            lists = members["buckets"].combine_chunks()
+            shared = _Postings(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()))
+            postings = _Postings(tokens, sizes)
+            for stray, own, n, shingles, buckets in zip(*(strays[c] for c in ("id", "c", "n", "shingles", "buckets"))):
+                stray, n = stray.as_py(), n.as_py()
+                near = 100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)
+                # Two strays meet twice, one pair may meet in several buckets: compare it once.
+                wanted = near & (of != own.as_py()) & ((of == main) | (ids < stray))
+                before = buckets.values.to_numpy()
+                wanted &= shared.counts(*shared.bounds(before[before < bucket])) == 0
+                rows = np.flatnonzero(wanted)
+                if not len(rows):
+                    continue
                 mine = np.frombuffer(shingles.as_buffer(), dtype=np.uint64)
-                at = np.searchsorted(known, mine)
-                at = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == mine)]
-                held[at] = 1
-                counts = np.concatenate([[0], np.cumsum(held[place])])
-                common = counts[ends[1:]] - counts[ends[:-1]]
-                similar = (100 * common >= percent * (sizes + n.as_py() - common)) & (of != own.as_py())
-                links += [(stray.as_py(), int(i)) for i in ids[similar]]
+                start, number = postings.bounds(mine)
+                if number.sum() <= (sizes[rows]).sum():
+                    common = postings.counts(start, number)[rows]
+                else:
+                    common = _held(tokens, offsets, rows, mine)
+                similar = rows[100 * common >= percent * (sizes[rows] + n - common)]
+                links += [(stray, int(i)) for i in ids[similar]]
         columns = list(zip(*links)) if links else [(), ()]
         return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
 
     return run
 
 
+def _joined(df: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the component, or label, of the id in ``column``; an id without one stands for itself."""
+    of = of.select(F.col("id").alias(column), F.col("component").alias(name))
+    return df.join(of, column, "left").withColumn(name, F.coalesce(name, column))
+
+
 class _Matcher:
     """Verified links between classes, found bucket by bucket."""
 
-    def __init__(self, docs: DataFrame, work: Workspace, size: int, percent: int, small: int):
+    def __init__(self, docs: DataFrame, work: Workspace, size: int, percent: int):
         self.docs, self.work = docs, work
-        self.size, self.percent, self.small = size, percent, small
-        self.links = None
-        self.of = None  # (id, component) of ids that are linked to a smaller one
-
-    def verify(self, pairs: DataFrame, name: str) -> None:
-        """Compare (a, b) on full sets, unless one component holds both already; add the links."""
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-        if self.of is not None:
-            pairs = self._with_component(self._with_component(pairs, "a", "ca"), "b", "cb").filter("ca <> cb")
+        self.size, self.percent = size, percent
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough."""
         sets = self.sets
-        pairs = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
+        pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
         pairs = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         # Sets whose sizes are too far apart cannot be similar enough.
         pairs = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-        found = self.work.write(pairs.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint"), name)
-        if not found.limit(1).count():
-            return
-        self.links = found if self.links is None else self.links.unionAll(found)
-        self.of = components(self.links, self.work, f"of-{name}")
-
-    def _with_component(self, df: DataFrame, column: str, name: str) -> DataFrame:
-        of = self.of.select(F.col("id").alias(column), F.col("component").alias(name))
-        return df.join(of, column, "left").withColumn(name, F.coalesce(name, column))
-
-    def settle(self, members: DataFrame, level: int = 0) -> None:
-        """Find all links among the members (bucket, id) of each bucket."""
+        return self.work.write(pairs.select("a", "b", "sa", "sb").mapInArrow(_verify(self.percent), "a bigint, b bigint"), name)
+
+    def components(self, members: DataFrame) -> DataFrame:
+        """(id, component) of the ids that the members (bucket, id) of the buckets link to a smaller one."""
         work = self.work
-        members = members.distinct() if level else members
         ends = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
-        ends = work.write(ends.filter("hub < last").select("bucket", "hub"), f"hubs-{level}")
-        members = work.write(members.join(ends, "bucket"), f"members-{level}")
-        if level == 0:
-            held = members.select(F.col("id").alias("doc_id")).distinct()
-            own = self.docs.join(held, "doc_id", "left_semi")
-            self.sets = work.write(own.mapInArrow(_full_sets(self.size), "id bigint, n bigint, shingles binary"), "sets")
-        nearest = members.groupBy("id").agg(F.min("hub").alias("hub"))
-        self.verify(nearest.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"first-{level}")
-        self.verify(members.select(F.col("id").alias("a"), F.col("hub").alias("b")), f"hub-{level}")
-        for turn in range(SAMPLED_ROUNDS):
-            mixed = self._mixed(members, level)
-            if not mixed.limit(1).count():
-                break
-            # Every stray against members of its buckets' largest components, drawn by a hash.
-            drawn = mixed.filter("c = main").groupBy("bucket").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("rep"))
-            strays = mixed.filter("c <> main").select("bucket", "id").join(drawn, "bucket")
-            ends = strays.groupBy("id").agg(F.min("rep").alias("r1"), F.max("rep").alias("r2"))
-            self.verify(ends.select(F.col("id").alias("a"), F.explode(F.array("r1", "r2")).alias("b")), f"drawn-{level}-{turn}")
-        placed = self._mixed(members, level)
-        work.drop(f"hubs-{level}", f"members-{level}")
+        ends = work.write(ends.filter("hub < last").select("bucket", "hub"), "hubs")
+        members = work.write(members.join(ends, "bucket"), "members")
+        held = members.select(F.col("id").alias("doc_id")).distinct()
+        own = self.docs.join(held, "doc_id", "left_semi")
+        self.sets = work.write(own.mapInArrow(_full_sets(self.size), "id bigint, n bigint, shingles binary"), "sets")
+
+        pairs = members.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+        first = self.verify(nearest, "first")
+        # Each id leads to one hub, that possibly to another.
+        label = first.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        label = _joined(label.withColumnRenamed("component", "hub"), label, "hub", "component").select("id", "component")
+        others = pairs.distinct().join(nearest.withColumnRenamed("b", "nearest"), "a").filter("b <> nearest")
+        others = _joined(_joined(others, label, "a", "ca"), label, "b", "cb").filter("ca <> cb")
+        second = self.verify(others.select("a", "b"), "second")
+        of = components(first.unionAll(second), work, "of-hubs")
+
+        placed = self._unsettled(members.select("bucket", "id"), of)
+        work.drop("hubs", "members", "first", "second")
         few = placed.filter(F.col("rest") <= FEW_STRAYS)
         columns = ("id", "c", "lo", "hi")
-        pairs = few.filter("c <> main").select("bucket", *[F.col(x).alias(f"{x}_a") for x in columns]).join(
+        met = few.filter("c <> main").select("bucket", *[F.col(x).alias(f"{x}_a") for x in columns]).join(
             few.select("bucket", "main", *[F.col(x).alias(f"{x}_b") for x in columns]), "bucket"
         )
         close = F.least("hi_a", "hi_b") * 100 >= F.greatest("lo_a", "lo_b") * self.percent
-        pairs = pairs.filter("c_a <> c_b AND (c_b = main OR id_a > id_b)").filter(close)
-        self.verify(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), f"pairs-{level}")
-        self._within(placed.filter((F.col("rest") > FEW_STRAYS) & (F.col("rest") <= self.small)), f"within-{level}")
-        large = placed.filter(F.col("rest") > self.small).select("bucket", "id")
-        if large.limit(1).count():
-            own = large.select(F.col("id").alias("doc_id")).distinct()
-            banded = self.docs.join(own, "doc_id", "left_semi").mapInArrow(
-                _set_rows(self.size, True, level + 1), f"{SETS}, bands array<bigint>"
-            )
-            banded = banded.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
-            again = large.join(banded, "id").select(F.xxhash64("bucket", "band").alias("bucket"), "id")
-            self.settle(again, level + 1)
-
-    def _mixed(self, members: DataFrame, level: int) -> DataFrame:
+        met = met.filter("c_a <> c_b AND (c_b = main OR id_a > id_b)").filter(close)
+        met = met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+        links = self.verify(met, "pairs").unionAll(self._within(placed.filter(F.col("rest") > FEW_STRAYS)))
+        if not links.limit(1).count():
+            return of
+        return components(links.unionAll(of.select(F.col("id").alias("a"), F.col("component").alias("b"))), work, "of-all")
+
+    def _unsettled(self, placed: DataFrame, of: DataFrame) -> DataFrame:
         """Members of buckets that hold several components.
 
         With c, the own component; main, that with most members of the bucket;
         rest, the members outside it; tokens, the size of all sets; lo and hi,
         the own set's size.
         """
-        placed = members.select("bucket", "id")
-        placed = placed.withColumn("c", F.col("id")) if self.of is None else self._with_component(placed, "id", "c")
         sizes = self.sets.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        placed = placed.join(sizes, "id")
+        placed = _joined(placed, of, "id", "c").join(sizes, "id")
         shares = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("hi").alias("tokens"))
         mixed = shares.groupBy("bucket").agg(
             F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("top"), F.sum("n").alias("size"), F.sum("tokens").alias("tokens")
         )
         mixed = mixed.filter("size > top").select("bucket", "main", F.expr("size - top AS rest"), "tokens")
-        mixed = self.work.write(mixed, f"mixed-{level}")
-        return self.work.write(placed.join(mixed, "bucket"), f"unsettled-{level}")
+        mixed = self.work.write(mixed, "mixed")
+        return self.work.write(placed.join(mixed, "bucket"), "unsettled")
 
-    def _within(self, placed: DataFrame, name: str) -> None:
-        """Compare strays with all other members of their bucket inside tasks; only links come out.
+    def _within(self, placed: DataFrame) -> DataFrame:
+        """Links between strays and all other members of their bucket, compared inside tasks.
 
         Both sides are cut into blocks of bounded size, every block of one meeting every block of the other.
         """
-        if not placed.limit(1).count():
-            return
         sets = self.sets.select("id", "n", "shingles")
         blocks = lambda: F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int")
         own = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks()).cast("int")
         other = lambda: F.explode(F.sequence(F.lit(0), blocks() - 1))
-        full = self.work.write(placed.join(sets, "id"), f"full-{name}")
-        left = full.select("bucket", own(0).alias("x"), other().alias("y"), "id", "c", "n", "shingles")
-        right = full.filter("c <> main").select("bucket", other().alias("x"), own(1).alias("y"), "id", "c", "n", "shingles")
+        held = placed.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+        full = placed.select("bucket", "id", "c", "main", "tokens").distinct().join(held, "id").join(sets, "id")
+        full = self.work.write(full, "full")
+        columns = ("id", "c", "main", "n", "shingles", "buckets")
+        left = full.select("bucket", own(0).alias("x"), other().alias("y"), *columns)
+        right = full.filter("c <> main").select("bucket", other().alias("x"), own(1).alias("y"), *columns)
         keys = ("bucket", "x", "y")
         found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_links(self.percent), "a bigint, b bigint")
-        found = self.work.write(found.distinct(), name)
-        self.work.drop(f"full-{name}")
-        if found.limit(1).count():
-            self.links = found if self.links is None else self.links.unionAll(found)
-            self.of = components(self.links, self.work, f"of-{name}")
+        found = self.work.write(found.distinct(), "within")
+        self.work.drop("full")
+        return found
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small_bucket: int = SMALL_BUCKET
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Groups of documents linked by shared shingles: a row for each row of ``docs`` (doc_id, text).
 
     Two documents are linked when ``100 * |A and B| >= percent * |A or B|`` of
@@ -350,13 +365,18 @@ def near_duplicates(
     moved = work.write(copies.filter("doc_id <> rep").distinct(), "moved")
     alone = named.join(moved, ["doc_id", "d1", "d2"], "left_anti")
     bands = alone.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    matcher = _Matcher(docs, work, shingle, percent, small_bucket)
-    matcher.settle(bands)
-    edges = moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    if matcher.links is not None:
-        edges = edges.unionAll(matcher.links)
-    of = components(edges, work, "all").select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
-    found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(of, "doc_id", "left")
+    of = _Matcher(docs, work, shingle, percent).components(bands)
+    held = alone.select("doc_id").join(moved.select("doc_id"), "doc_id", "left_semi").distinct()
+    if moved.select("doc_id").unionAll(held).groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # Rows that repeat a doc_id with other texts tie several classes together.
+        edges = of.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        of = components(edges.unionAll(moved.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), work, "of-copies")
+    else:
+        # A copy is in the component of its class.
+        copies = _joined(moved.select(F.col("doc_id").alias("id"), "rep"), of, "rep", "component")
+        of = of.unionAll(copies.select("id", "component"))
+    linked = of.select(F.col("id").alias("doc_id"), F.col("component").alias("component_id"))
+    found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(linked, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
         "doc_id",

@@ -8,7 +8,6 @@ words costs the same however long it is, and go through a final mixer.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -87,7 +86,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, 0 <= exponent <= size."""
 
