@@ -63,13 +63,25 @@ def test_equals_all_pairs(spark, k, exclude_self):
     assert collected(got) == brute(TEXTS, TEXTS, k, exclude_self=exclude_self)
 
 
-@pytest.mark.parametrize("plan_blocks", [1, 64])
-def test_blocks_of_queries_change_nothing(spark, plan_blocks):
+@pytest.mark.parametrize("block_queries", [1, 4, 64])
+@pytest.mark.parametrize("chunk_rows", [1, 2, 64])
+def test_blocks_and_chunks_change_nothing(spark, block_queries, chunk_rows):
     corpus = vectors(spark, TEXTS).repartition(3).persist()
-    got = similarity.top_similar(vectors(spark, TEXTS), corpus, 3, block_queries=4, plan_blocks=plan_blocks)
+    got = similarity.top_similar(vectors(spark, TEXTS), corpus, 3, block_queries=block_queries, chunk_rows=chunk_rows)
     assert collected(got) == brute(TEXTS, TEXTS, 3)
 
 
+def test_one_corpus_scan_for_any_number_of_queries(spark, tmp_path):
+    triage.build_index(frame(spark, TEXTS), str(tmp_path / "index"), clean_corpus=False)
+    corpus = spark.read.parquet(str(tmp_path / "index"))
+    for number in (1, 2000):
+        queries = with_terms(spark.range(number).selectExpr("id", "'lampu jalan' AS description"), "description")
+        found = similarity.top_similar(queries, corpus, 3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+        assert found.count() == 3 * number and [r.that_id for r in found.filter("id = 0").orderBy("that_id").collect()] == [1, 2, 7]
+
+
 def test_identical_disjoint_and_empty_texts(spark):
     got = {(r[0], r[1]): r[2] for r in collected(similarity.top_similar(vectors(spark, TEXTS), vectors(spark, TEXTS)))}
     assert got[1, 2] == 1.0 and got[1, 4] == 0.0 and got[1, 5] is None and got[5, 1] is None

@@ -1,33 +1,31 @@
 """Top-k cosine similarity of a batch of query tickets against a whole corpus.
 
-Every corpus row is scored against every query, as the result demands, but no
-pair of rows is ever shuffled: the queries travel to the corpus in blocks whose
-size is checked, each task keeps its own k best per query, and only those are
-exchanged (tasks x queries x k rows in all). A batch too large for one block is
-cut into more blocks, each one more pass over the corpus; when there are many,
-each block's result is written before the next one is fetched, so the driver
-holds one block however large the batch.
+Every corpus row is scored against every query, as the result demands, in one
+pass over the corpus, and no pair of rows is ever shuffled. The query vectors
+are written to the shared folder; each task reads them there block by block for
+every chunk of its corpus rows and keeps its own k best per query. Only those
+are exchanged (tasks x queries x k rows), best of groups of tasks first. The
+driver holds no vector, whatever the batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from ..functions.sidetables import read_side, write_side
 from ..functions.vectors import NUM_FEATURES, long_form
-from ..session import materialize, work_path
 
 RESULT_SCHEMA = "id bigint, that_id bigint, similarity double"
 # A block is a dense queries x num_features table of doubles in each Python worker.
 BLOCK_QUERIES = 256
-# Up to this many blocks are scored by one lazy plan.
-PLAN_BLOCKS = 8
+# Corpus rows scored against all blocks before the next ones are taken.
+CHUNK_ROWS = 16_384
+# Groups of tasks whose candidates are merged first.
+TASK_GROUPS = 64
 EMPTY = -1.0  # stands for "no score" (a vector without terms) and sorts last
 
 
@@ -50,71 +48,85 @@ def bucket_scale(idf: DataFrame, num_features: int = NUM_FEATURES) -> np.ndarray
     return scale
 
 
-def _query_blocks(queries: DataFrame, block_queries: int) -> tuple[int, Iterator[pa.Table]]:
-    """Cut the batch by a hash of its ids until every block fits; fetch block by block."""
-    total, ids = queries.agg(F.count("*"), F.count_distinct("id")).first()
-    if total != ids:
-        raise ValueError("query ids must be unique and not null")
-    if total <= block_queries:
-        return min(total, 1), iter([queries.toArrow()] if total else [])
-    stored = materialize(queries, "queries")
-    blocks = -(-4 * total // (3 * block_queries))
-    while True:
-        block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
-        sizes = stored.groupBy(block_of.alias("b")).count()
-        if sizes.agg(F.max("count")).first()[0] <= block_queries:
-            return blocks, (stored.filter(block_of == b).toArrow() for b in range(blocks))
-        blocks *= 2
-
-
-def _block_scorer(block: pa.Table, k: int, exclude_self: bool, scale: np.ndarray | None, num_features: int):
-    """A ``mapInArrow`` function giving the k best corpus rows of this task per query."""
-    query_ids = block["id"].to_numpy()
-    offsets, buckets, counts = kernels.csr_parts(block["terms"].combine_chunks())
+class _Block:
+    """Some queries as a dense table, with the best rows found so far."""
+
+    def __init__(self, batch: pa.RecordBatch, scale: np.ndarray | None, num_features: int):
+        self.ids = batch.column("id").to_numpy(zero_copy_only=False)
+        offsets, buckets, weights = kernels.csr_parts(batch.column("terms"))
+        if scale is not None:
+            weights = weights * scale[buckets]
+        self.norm = np.sqrt(kernels.row_sums(offsets, weights**2))
+        self.dense = np.zeros((len(self.ids), num_features))
+        self.dense[np.repeat(np.arange(len(self.ids)), np.diff(offsets)), buckets] = weights
+
+
+def _chunks(batches, rows: int):
+    """Batches of about ``rows`` rows: short ones joined, long ones as they come."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _scorer(path: str, queries: int, block_queries: int, chunk_rows: int, k: int, exclude_self: bool, scale, num_features: int):
+    """A ``mapInArrow`` function giving the k best corpus rows of this task for every query stored at ``path``."""
+
+    def blocks():
+        for batch in read_side(path, ["id", "terms"], block_queries):
+            yield _Block(batch, scale, num_features)
 
     def score(batches):
-        query_weights = counts if scale is None else counts * scale[buckets]
-        query_norm = np.sqrt(kernels.row_sums(offsets, query_weights**2))
-        dense = np.zeros((len(query_ids), num_features))
-        owner = np.repeat(np.arange(len(query_ids)), np.diff(offsets))
-        dense[owner, buckets] = query_weights
-        best = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in query_ids]
-
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            rows, cols, weights = kernels.csr_parts(batch.column("terms"))
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        nothing = (np.empty(0), np.empty(0, dtype=np.int64))
+        single = list(blocks()) if queries <= block_queries else None
+        for chunk in _chunks(batches, chunk_rows):
+            ids = chunk["id"].to_numpy()
+            terms = chunk["terms"].combine_chunks()
+            rows, cols, weights = kernels.csr_parts(terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms)
             if scale is not None:
                 weights = weights * scale[cols]
             norm = np.sqrt(kernels.row_sums(rows, weights**2))
-            dots = kernels.dot_rows(rows, cols, weights, dense)
-            lengths = query_norm[:, None] * norm[None, :]
-            similar = np.full(dots.shape, EMPTY)
-            np.divide(dots, lengths, out=similar, where=lengths > 0)
-            ranked = np.where(similar < 0, EMPTY, kernels.round6(similar))
-            for q, values in enumerate(ranked):
-                keep = ids != query_ids[q] if exclude_self else slice(None)
-                values = np.concatenate([best[q][0], values[keep]])
-                names = np.concatenate([best[q][1], ids[keep]])
-                if len(values) > k:
-                    near = np.flatnonzero(values >= np.partition(values, -k)[-k])
-                    values, names = values[near], names[near]
-                order = np.lexsort((names, -values))[:k]
-                best[q] = (values[order], names[order])
-
-        for q, (values, names) in enumerate(best):
+            for block in single or blocks():
+                dots = kernels.dot_rows(rows, cols, weights, block.dense)
+                lengths = block.norm[:, None] * norm[None, :]
+                similar = np.full(dots.shape, EMPTY)
+                np.divide(dots, lengths, out=similar, where=lengths > 0)
+                ranked = np.where(similar < 0, EMPTY, kernels.round6(similar))
+                for query, values in zip(block.ids.tolist(), ranked):
+                    keep = ids != query if exclude_self else slice(None)
+                    before = best.get(query, nothing)
+                    values = np.concatenate([before[0], values[keep]])
+                    names = np.concatenate([before[1], ids[keep]])
+                    if len(values) > k:
+                        near = np.flatnonzero(values >= np.partition(values, -k)[-k])
+                        values, names = values[near], names[near]
+                    order = np.lexsort((names, -values))[:k]
+                    best[query] = (values[order], names[order])
+        for query, (values, names) in best.items():
             if len(values):
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(names), query_ids[q])),
-                        pa.array(names),
-                        pa.array(values, mask=values == EMPTY),
-                    ],
+                    [pa.array(np.full(len(names), query)), pa.array(names), pa.array(values, mask=values == EMPTY)],
                     names=["id", "that_id", "similarity"],
                 )
 
     return score
 
 
+def store_queries(queries: DataFrame) -> tuple[str, int]:
+    """Write the query vectors for the tasks to read; the path and their number."""
+    path = write_side(queries.select("id", "terms"), "queries")
+    stored = queries.sparkSession.read.parquet(path)
+    total, ids = stored.agg(F.count("*"), F.count_distinct("id")).first()
+    if total != ids:
+        raise ValueError("query ids must be unique and not null")
+    return path, total
+
+
 def top_similar(
     queries: DataFrame,
     corpus: DataFrame,
@@ -123,7 +135,7 @@ def top_similar(
     idf: DataFrame | None = None,
     num_features: int = NUM_FEATURES,
     block_queries: int = BLOCK_QUERIES,
-    plan_blocks: int = PLAN_BLOCKS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """The ``k`` most similar corpus rows of each query: (id, that_id, similarity).
 
@@ -131,29 +143,20 @@ def top_similar(
     ties go to the smaller ``that_id``; rows sharing no bucket score 0, and a
     vector without terms has a null score, last in order. The query itself is
     part of the result when it is in the corpus, unless ``exclude_self``.
-    Give ``idf`` (bucket, idf) to weight both sides by it.
+    Give ``idf`` (bucket, idf) to weight both sides by it. The queries are
+    written at once; the pass over the corpus is lazy for any number of them.
     """
     scale = None if idf is None else bucket_scale(idf, num_features)
-    pairs = corpus.select("id", "terms")
-    count, blocks = _query_blocks(queries.select("id", "terms"), block_queries)
-
-    def best(block: pa.Table) -> DataFrame:
-        return pairs.mapInArrow(_block_scorer(block, k, exclude_self, scale, num_features), RESULT_SCHEMA)
-
-    if count <= plan_blocks:
-        parts = [best(block) for block in blocks if block.num_rows]
-        if not parts:
-            return pairs.sparkSession.createDataFrame([], RESULT_SCHEMA)
-        return _overall_best(reduce(DataFrame.unionAll, parts), k)
-    path = work_path(pairs.sparkSession, "similar")
-    for block in blocks:
-        if block.num_rows:
-            _overall_best(best(block), k).write.mode("append").parquet(path)
-    return pairs.sparkSession.read.schema(RESULT_SCHEMA).parquet(path)
-
-
-def _overall_best(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best of what the tasks kept for each query."""
-    order = Window.partitionBy("id").orderBy(F.col("similarity").desc_nulls_last(), F.col("that_id"))
-    ranked = candidates.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+    path, count = store_queries(queries)
+    scorer = _scorer(path, count, block_queries, chunk_rows, k, exclude_self, scale, num_features)
+    return overall_best(corpus.select("id", "terms").mapInArrow(scorer, RESULT_SCHEMA), k)
+
+
+def overall_best(candidates: DataFrame, k: int) -> DataFrame:
+    """The k best of what the tasks kept for each query: within groups of tasks, then overall."""
+    for keys in (["id", "_group"], ["id"]):
+        if "_group" in keys:
+            candidates = candidates.withColumn("_group", F.spark_partition_id() % TASK_GROUPS)
+        order = Window.partitionBy(*keys).orderBy(F.col("similarity").desc_nulls_last(), F.col("that_id"))
+        candidates = candidates.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k)
+    return candidates.drop("_rank", "_group")
