@@ -5,8 +5,9 @@
 2. *Features.* All runs of one to three words. Laid side by side with one space
    between, the words' offset pairs are the features' byte ranges; the CRC-32 of
    a range picks its bucket.
-3. *Histograms.* Bucket counts of the raw and of the target collection. Tasks
-   keep one array of ``buckets`` counts each, so no feature is ever shuffled.
+   Buckets are written once per document, as the words are the dear part.
+3. *Histograms.* Bucket counts of the raw and of the target collection, summed
+   within the tasks first: at most ``buckets`` rows of each are shuffled.
 4. *Gain* of a bucket: the logarithm of its smoothed share in the target over
    that in the raw collection. A document's weight is the sum over its features.
 5. *Draw.* The weight plus Gumbel noise from a hash of the id; the highest scores
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from .words import slices
+from .words import LOWER, slices
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_RUN = 3
@@ -35,7 +35,7 @@ MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
 GAIN_UNIT = 1000
-ASCII_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+ASCII_LOWER = LOWER.tobytes()
 
 
 def word_splitter(pattern: str = WORD):
@@ -45,9 +45,9 @@ def word_splitter(pattern: str = WORD):
     return pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True)
 
 
-def words_with_offsets(splitter, text: str | None) -> list[tuple[str, tuple[int, int]]]:
-    """Words of the text with A-Z lower-cased and where each stands in it, in characters."""
-    return splitter.pre_tokenize_str(text.translate(ASCII_LOWER)) if text else []
+def words_with_offsets(splitter, text: bytes) -> list[tuple[str, tuple[int, int]]]:
+    """Words of a UTF-8 text with A-Z lower-cased and where each stands in it, in characters."""
+    return splitter.pre_tokenize_str(text.translate(ASCII_LOWER).decode())
 
 
 def feature_buckets(words: list[str], max_run: int = MAX_RUN, buckets: int = BUCKETS) -> np.ndarray:
@@ -62,32 +62,37 @@ def feature_buckets(words: list[str], max_run: int = MAX_RUN, buckets: int = BUC
     return np.array(codes, dtype=np.int64) % buckets
 
 
-def _documents(batch: pa.RecordBatch, splitter, max_run: int, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Number of words and feature buckets of each text."""
-    for text in batch.column("text"):
-        words = [w for w, _ in words_with_offsets(splitter, text.as_py())]
-        yield len(words), feature_buckets(words, max_run, buckets)
-
-
-def _bucket_counts(max_run: int, buckets: int):
-    """``mapInArrow``: how often this task's texts hit each bucket."""
+def _feature_rows(max_run: int, buckets: int):
+    """``mapInArrow``: number of words and the feature buckets of each text."""
 
     def run(batches):
-        splitter, counts = word_splitter(), np.zeros(buckets, dtype=np.int64)
+        splitter = word_splitter()
         for batch in batches:
             for piece in slices(batch, "text"):
-                for _, codes in _documents(piece, splitter, max_run, buckets):
-                    counts += np.bincount(codes, minlength=buckets)
-        hit = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(counts[hit])], names=["bucket", "n"])
+                n_words, codes = [], []
+                for text in piece.column("text").cast(pa.large_binary()).to_pylist():
+                    words = [w for w, _ in words_with_offsets(splitter, text or b"")]
+                    n_words.append(len(words))
+                    codes.append(feature_buckets(words, max_run, buckets))
+                ends = np.cumsum([0, *map(len, codes)]).astype(np.int32)
+                flat = np.concatenate(codes).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("doc_id"), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))],
+                    names=["doc_id", "n_words", "codes"],
+                )
 
     return run
 
 
-def histogram(texts: DataFrame, max_run: int = MAX_RUN, buckets: int = BUCKETS) -> np.ndarray:
-    """Feature counts of all texts (column ``text``) by bucket: ``buckets`` numbers reach the driver."""
-    counted = texts.select("text").mapInArrow(_bucket_counts(max_run, buckets), "bucket int, n bigint")
-    table = counted.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def features(docs: DataFrame, max_run: int = MAX_RUN, buckets: int = BUCKETS) -> DataFrame:
+    """(doc_id, n_words, codes): the feature buckets of each text of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_feature_rows(max_run, buckets), "doc_id bigint, n_words bigint, codes array<int>")
+
+
+def histogram(featured: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Feature counts by bucket over all documents: ``buckets`` numbers reach the driver."""
+    table = featured.select(F.explode("codes").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toArrow()
     out = np.zeros(buckets, dtype=np.int64)
     out[table["bucket"].to_numpy()] = table["n"].to_numpy()
     return out
@@ -103,19 +108,19 @@ def bucket_gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array(gains, dtype=np.int64)
 
 
-def _weights(gains: np.ndarray, max_run: int):
-    """``mapInArrow``: number of words and features and the summed gain of each text."""
-    buckets = len(gains)
+def _weights(gains: np.ndarray):
+    """``mapInArrow``: number of features and the summed gain of each document."""
 
     def run(batches):
-        splitter = word_splitter()
         for batch in batches:
-            for piece in slices(batch, "text"):
-                found = [(n, len(c), int(gains[c].sum())) for n, c in _documents(piece, splitter, max_run, buckets)]
-                columns = [pa.array(c, pa.int64()) for c in zip(*found)]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), *columns], names=["doc_id", "n_words", "n_features", "weight"]
-                )
+            codes = batch.column("codes")
+            offsets = codes.offsets.to_numpy()
+            sums = np.concatenate([[0], np.cumsum(gains[codes.flatten().to_numpy()])])
+            weight = sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("n_words"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(weight)],
+                names=["doc_id", "n_words", "n_features", "weight"],
+            )
 
     return run
 
@@ -149,13 +154,17 @@ def resample(
     features are part of the raw collection. An empty target leaves only the
     raw shares to decide.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    gains = bucket_gains(histogram(docs, max_run, buckets), histogram(target, max_run, buckets))
     work = Workspace(docs.sparkSession, "resample")
-    weighed = docs.mapInArrow(_weights(gains, max_run), "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
+    featured = work.write(features(docs, max_run, buckets), "features")
+    aims = features(target.select(F.lit(None).alias("doc_id"), "text"), max_run, buckets)
+    gains = bucket_gains(histogram(featured, buckets), histogram(aims, buckets))
+    weighed = featured.mapInArrow(_weights(gains), "doc_id bigint, n_words bigint, n_features bigint, weight bigint")
     scored = weighed.withColumn("score", F.col("weight") + gumbel_noise(F.col("doc_id"), seed))
-    order = [F.col("eligible").desc(), F.col("score").desc(), F.col("doc_id"), F.col("n_features").desc()]
     scored = scored.withColumn("eligible", (F.col("n_words") >= min_words) & F.col("score").isNotNull())
+    # Written, as a sort by ranges reads its input twice.
+    scored = work.write(scored, "scored")
+    work.drop("features")
+    order = [F.col("eligible").desc(), F.col("score").desc(), F.col("doc_id"), F.col("n_features").desc()]
     placed = scored.repartitionByRange(*order).sortWithinPartitions(*order)
     # The identifier holds the partition above bit 33 and the place within it below.
     placed = work.write(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
