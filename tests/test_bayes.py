@@ -73,12 +73,12 @@ def test_fold_counts_equal_separate_training(spark, small):
 
 
 @pytest.mark.parametrize("key", [bayes.ALL, "fold"])
-def test_blocks_of_classes_change_nothing(spark, small, key):
+def test_parts_of_the_model_change_nothing(spark, small, key):
     docs = documents(spark, small, "source").withColumn("fold", triage.fold_of())
     vectors = with_terms(docs, "description").persist()
     model = bayes.NaiveBayes(bayes.training_counts(bayes.class_counts(vectors, "assigned_to", "fold"), 3).persist())
     whole = bayes.classify(vectors, model, key).orderBy("id").collect()
-    split = bayes.classify(vectors, model, key, block_classes=3).orderBy("id").collect()
+    split = bayes.classify(vectors, model, key, part_buckets=300, cache_bytes=40_000).orderBy("id").collect()
     assert [r.prediction for r in whole] == [r.prediction for r in split]
     assert [round(r.score, 6) for r in whole] == [round(r.score, 6) for r in split]
 
@@ -192,12 +192,26 @@ def test_many_classes_keep_repeated_and_null_ids(spark):
     model = triage.train(spark.createDataFrame(rows, "id bigint, description string, assigned_to string"), clean_corpus=False)
     asked = [(1, "word7 word7"), (1, "word99 word99"), (None, "word149"), (None, "nothing")]
     frame = spark.createDataFrame(asked, "id bigint, description string")
-    for size in (1, 64, 1000):
+    for size, room in ((1, 0), (7, 2000), (1000, bayes.CACHE_BYTES)):
         vectors = with_terms(frame, "description", False)
-        got = bayes.classify(vectors, model, block_classes=size).toPandas()
+        got = bayes.classify(vectors, model, part_buckets=size, cache_bytes=room).toPandas()
         assert len(got) == 4 and got.score.notna().all() and got.prediction[3] == got.prediction.min()
 
 
+def test_nothing_that_travels_grows_with_the_classes(spark):
+    from pyspark import cloudpickle
+
+    sizes = []
+    for number in (3, 3000):
+        rows = spark.range(3000).selectExpr("id", "concat('common w', id % 100) AS description", f"concat('c', id % {number}) AS assigned_to")
+        model = triage.train(rows, clean_corpus=False)
+        assert model.documents().count() == number
+        vectors = with_terms(rows, "description", False)
+        scorer = bayes._scorer(*bayes.store(model), 10, 10, vectors.schema, bayes.ALL, None)
+        sizes.append(len(cloudpickle.dumps(scorer)))
+    assert abs(sizes[0] - sizes[1]) < 100
+
+
 def test_assign_replaces_and_keeps_names(spark):
     rows = [("alice", "old", "Old Name", "t"), ("bob", "old", "Old Name", "t")]
     scored = spark.createDataFrame(rows, "prediction string, assigned_to string, assigned_to_name string, title string")

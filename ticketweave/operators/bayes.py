@@ -7,13 +7,16 @@ fold ``f`` are the sums over the other folds, and cross-validation plus the
 refit on all rows need no further pass. The idf factor is constant within a
 bucket, so it multiplies the summed counts afterwards.
 
-Scoring reads each vector once, inside its task, against the model's dense
-table, a block of classes after the other; nothing is shuffled.
+Scoring reads each vector once, inside its task, and shuffles nothing. The model
+is a table in the shared folder that the tasks read themselves: what each stored
+(class, bucket) pair adds, in bucket order. All pairs a class lacks add the same
+to it, a constant of the class times the row's weight, so they are never stored.
+Neither the driver nor the function that travels to the tasks grows with the
+number of classes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.sidetables import read_side, write_side
 from ..functions.vectors import NUM_FEATURES
 from .similarity import idf_column
 
@@ -33,8 +37,11 @@ FOLDS = 3
 ALL = -1
 # Pseudo-bucket under which the documents themselves are counted.
 DOCUMENT = -1
-# Classes scored together: a dense classes x num_features table in each Python worker.
-BLOCK_CLASSES = 64
+# Buckets that a task reads at once, and the bytes of the model it keeps between batches; the rest is read again.
+PART_BUCKETS = 1024
+CACHE_BYTES = 256 << 20
+# Scores, and additions to them, that a task holds at once.
+CELLS = 1 << 21
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
@@ -142,109 +149,159 @@ class NaiveBayes:
         return cls(spark.read.parquet(f"{path}/counts"), **params.asDict())
 
 
-@dataclass
-class _Block:
-    """Dense scoring table of up to ``BLOCK_CLASSES`` classes of one model."""
-
-    labels: list[str]
-    prior: np.ndarray
-    weights: np.ndarray
-
-
-def _blocks(model: NaiveBayes, keys: Sequence[int] | None, block_classes: int) -> list[dict[int, _Block]]:
-    """Fetch the model block by block; a block holds at most block_classes x num_features cells a model."""
-    wanted = F.lit(True) if keys is None else F.col("model").isin([int(k) for k in keys])
-    documents = model.documents().filter(wanted).orderBy("model", "label").toArrow().to_pandas()
-    doc_freq = model.doc_freq().filter(wanted).toArrow().to_pandas()
-    classes = {int(key): rows for key, rows in documents.groupby("model")}
-    idf = {}
-    for key, rows in classes.items():
-        own = doc_freq[(doc_freq["model"] == key) & (doc_freq["doc_freq"] >= model.min_doc_freq)]
-        idf[key] = np.zeros(model.num_features)
-        idf[key][own["bucket"]] = np.log((rows["n_docs"].sum() + 1.0) / (own["doc_freq"] + 1.0))
-    most = max((len(rows) for rows in classes.values()), default=0)
-    blocks = []
-    for start in range(0, most, block_classes):
-        parts = {k: part for k, rows in classes.items() if len(part := rows.iloc[start : start + block_classes])}
-        cells = model.cells().filter(wanted)
-        if most > block_classes:
-            labels = sorted({label for part in parts.values() for label in part["label"]})
-            cells = cells.filter(F.col("label").isin(labels))
-        cells = cells.toArrow().to_pandas()
-        block = {}
-        for key, part in parts.items():
-            labels = part["label"].tolist()
-            own = cells[(cells["model"] == key) & cells["label"].isin(labels)]
-            column = own["label"].map({label: i for i, label in enumerate(labels)})
-            mass = np.zeros((len(labels), model.num_features))
-            mass[column.to_numpy(dtype=np.int64), own["bucket"].to_numpy()] = own["tf"]
-            mass *= idf[key]
-            total = mass.sum(axis=1) + model.smoothing * model.num_features
-            share = (part["n_docs"] + model.smoothing) / (
-                classes[key]["n_docs"].sum() + model.smoothing * len(classes[key])
-            )
-            weights = idf[key] * (np.log(mass + model.smoothing) - np.log(total)[:, None])
-            block[key] = _Block(labels, np.log(share.to_numpy()), weights)
-        blocks.append(block)
-    return blocks
-
-
-def _scorer(blocks: list[dict[int, _Block]], schema: T.StructType, constant: int | None, key_column: str | None):
-    """A ``mapInArrow`` function adding the best class of all blocks and its score to each row."""
+class _Part:
+    """What the pairs of some buckets add, by (model, bucket)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "bucket")))
+        self.idf = batch.column("idf").to_numpy(zero_copy_only=False)
+        pairs = batch.column("pairs")
+        self.first = pairs.offsets.to_numpy().astype(np.int64) - pairs.offsets[0].as_py()
+        self.classes, self.gains = (a.to_numpy(zero_copy_only=False) for a in pairs.flatten().flatten())
+
+    def size(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.idf, self.first, self.classes, self.gains))
+
+
+def _keys(model: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (model.astype(np.int64) << 32) | bucket
+
+
+class _Model:
+    """The stored model as one task sees it: the classes, and the pairs part by part."""
+
+    def __init__(self, class_path: str, pair_path: str, part_buckets: int, cache_bytes: int):
+        self.pair_path, self.part_buckets, self.room = pair_path, part_buckets, cache_bytes
+        self.kept: list[_Part] = []
+        self.all_kept = False
+        batches = list(read_side(class_path, ["model", "label", "prior", "tail"], CELLS))
+        table = pa.Table.from_batches(batches).combine_chunks()
+        models = table["model"].to_numpy()
+        # Rows come by model and label, so equal scores go to the smaller label.
+        self.classes = {}
+        for key in np.unique(models).tolist():
+            own = table.slice(int(np.searchsorted(models, key)), int((models == key).sum()))
+            self.classes[key] = (own["label"].to_pylist(), own["prior"].to_numpy(), own["tail"].to_numpy())
+        self.most = max(len(labels) for labels, _, _ in self.classes.values())
+
+    def parts(self):
+        yield from self.kept
+        if self.all_kept:
+            return
+        number = -1
+        for number, batch in enumerate(read_side(self.pair_path, ["model", "bucket", "idf", "pairs"], self.part_buckets)):
+            if number < len(self.kept):
+                continue
+            part = _Part(batch)
+            if number == len(self.kept) and part.size() <= self.room:
+                self.room -= part.size()
+                self.kept.append(part)
+            yield part
+        self.all_kept = len(self.kept) == number + 1
+
+    def scores(self, used: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Rows x classes: each row scored by the model it uses; what is no class of that is -inf."""
+        rows, width = len(offsets) - 1, self.most
+        owner = np.repeat(np.arange(rows), np.diff(offsets))
+        keys = _keys(used[owner], buckets)
+        out, weight = np.zeros(rows * width), np.zeros(rows)
+        # In bucket order, term by term, so sums do not depend on how rows and parts are cut.
+        for part in self.parts():
+            place = np.searchsorted(part.keys, keys)
+            met = np.flatnonzero(part.keys[np.minimum(place, len(part.keys) - 1)] == keys)
+            place, row = place[met], owner[met]
+            x = counts[met] * part.idf[place]
+            np.add.at(weight, row, x)
+            number = part.first[place + 1] - part.first[place]
+            ends = np.cumsum(number)
+            at = 0
+            while at < len(met):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+                own = number[at:to]
+                pair = np.repeat(part.first[place[at:to]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+                np.add.at(out, np.repeat(row[at:to] * width, own) + part.classes[pair], np.repeat(x[at:to], own) * part.gains[pair])
+                at = to
+        out = out.reshape(rows, width)
+        for key, (labels, prior, tail) in self.classes.items():
+            own = used == key
+            out[own, : len(labels)] += prior + weight[own, None] * tail
+            out[own, len(labels) :] = -np.inf
+        out[~np.isin(used, list(self.classes))] = -np.inf
+        return out
+
+
+def _scorer(class_path: str, pair_path: str, part_buckets: int, cache_bytes: int, schema: T.StructType, constant, key_column):
+    """A ``mapInArrow`` function adding the best class and its score to each row."""
     names = schema.fieldNames()
 
     def score(batches):
-        for batch in batches:
-            offsets, buckets, counts = kernels.csr_parts(batch.column("terms"))
-            rows = batch.num_rows
-            best_label = np.full(rows, None, dtype=object)
-            best_score = np.full(rows, np.nan)
-            used = None if key_column is None else batch.column(key_column).to_numpy(zero_copy_only=False)
-            for key, part in ((key, part) for block in blocks for key, part in block.items()):
-                chosen = np.arange(rows) if used is None else np.flatnonzero(used == key)
-                if used is None and key != constant or not len(chosen):
-                    continue
-                lengths = np.diff(offsets)[chosen]
-                own_offsets = np.concatenate([[0], np.cumsum(lengths)])
-                picked = np.repeat(offsets[:-1][chosen] - own_offsets[:-1], lengths) + np.arange(own_offsets[-1])
-                scores = kernels.dot_rows(own_offsets, buckets[picked], counts[picked], part.weights)
-                scores += part.prior[:, None]
-                # Labels are in order, within a block and from block to block, so the
-                # first of equal scores is the smallest label.
-                top = np.argmax(np.round(scores, 6), axis=0)
-                found = scores[top, np.arange(len(chosen))]
-                before = best_score[chosen]
-                better = np.isnan(before) | (np.round(found, 6) > np.round(before, 6))
-                best_label[chosen[better]] = np.asarray(part.labels, dtype=object)[top[better]]
-                best_score[chosen[better]] = found[better]
-            arrays = [batch.column(n) for n in names[:-2]] + [
-                pa.array(best_label, pa.string()),
-                pa.array(best_score, mask=np.isnan(best_score)),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+        model = None
+        for whole in batches:
+            model = model or _Model(class_path, pair_path, part_buckets, cache_bytes)
+            step = max(1, CELLS // model.most)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                offsets, buckets, counts = kernels.csr_parts(batch.column("terms"))
+                used = np.full(batch.num_rows, constant)
+                if key_column is not None:
+                    given = batch.column(key_column)
+                    used = given.fill_null(np.iinfo(np.int32).min).to_numpy(zero_copy_only=False)
+                scores = model.scores(used, offsets, buckets, counts)
+                top = np.argmax(np.round(scores, 6), axis=1)
+                found = scores[np.arange(len(top)), top]
+                labels = [model.classes[k][0][t] if k in model.classes else None for k, t in zip(used.tolist(), top.tolist())]
+                arrays = [batch.column(n) for n in names[:-2]] + [pa.array(labels, pa.string()), pa.array(found, mask=np.isinf(found))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return score
 
 
+def store(model: NaiveBayes, keys: list[int] | None = None) -> tuple[str, str]:
+    """Write the tables that scoring reads: classes (model, label, prior, tail) and pairs by (model, bucket)."""
+    if model.smoothing <= 0:
+        raise ValueError("scoring needs a positive smoothing")
+    wanted = F.lit(True) if keys is None else F.col("model").isin(keys)
+    part = NaiveBayes(model.counts.filter(wanted), model.smoothing, model.num_features, model.min_doc_freq)
+    weighted = part.cells().join(part.idf(), ["model", "bucket"]).select("model", "label", "bucket", "idf", (F.col("tf") * F.col("idf")).alias("mass"))
+    total = weighted.groupBy("model", "label").agg(F.sum("mass").alias("total"))
+    lam = float(model.smoothing)
+    number = F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1
+    classes = part.priors().join(total, ["model", "label"], "left").select(
+        "model", "label", number.alias("class"), F.col("log_prior").alias("prior"),
+        (np.log(lam) - F.log(F.coalesce("total", F.lit(0.0)) + lam * model.num_features)).alias("tail"),
+    )
+    class_path = write_side(classes.orderBy("model", "class"), "classes")
+    spark = model.counts.sparkSession
+    numbered = spark.read.parquet(class_path).select("model", "label", "class")
+    if numbered.isEmpty():
+        raise LookupError("the model has no classes")
+    pair = F.struct(F.col("class").cast("int").alias("class"), (F.log(F.col("mass") + lam) - np.log(lam)).alias("gain"))
+    pairs = weighted.filter("idf <> 0").join(numbered, ["model", "label"]).groupBy("model", "bucket").agg(
+        F.first("idf").alias("idf"), F.sort_array(F.collect_list(pair)).alias("pairs")
+    )
+    return class_path, write_side(pairs.orderBy("model", "bucket"), "pairs")
+
+
 def classify(
     vectors: DataFrame,
     model: NaiveBayes,
     key: int | str = ALL,
-    block_classes: int = BLOCK_CLASSES,
+    part_buckets: int = PART_BUCKETS,
+    cache_bytes: int = CACHE_BYTES,
 ) -> DataFrame:
     """Add ``prediction`` and ``score`` to every row and drop ``terms``.
 
     ``key`` names the model to use, or the column that holds each row's model.
     Scores are compared at six places and ties go to the smaller label. One
     pass, without a shuffle, for any number of classes, ids or none, and
-    streaming frames.
+    streaming frames. A task keeps at most ``cache_bytes`` of the model and
+    reads what is beyond it again for every few rows; a bucket's row has at most
+    one pair per class.
     """
     keep = [f for f in vectors.schema.fields if f.name != "terms"]
     schema = T.StructType(
         [*keep, T.StructField("prediction", T.StringType()), T.StructField("score", T.DoubleType())]
     )
     column, constant = (key, None) if isinstance(key, str) else (None, key)
-    blocks = _blocks(model, None if constant is None else [constant], block_classes)
-    if not blocks:
-        raise LookupError("the model has no classes")
-    return vectors.mapInArrow(_scorer(blocks, schema, constant, column), schema)
+    paths = store(model, None if constant is None else [int(constant)])
+    return vectors.mapInArrow(_scorer(*paths, part_buckets, cache_bytes, schema, constant, column), schema)
