@@ -77,15 +77,15 @@ def term_counts(name: str, source: str, id_column: str, text: str, words=words)
     )
 
 
-def similar(weighting: str = "tf", corpus_words=words, query_words=words) -> str:
-    """Top 11 documents for each benchmark text, empty overlaps and empty texts included."""
+def similar(weighting: str = "tf", corpus_words=words, query_words=words, queries: str = "benchmark") -> str:
+    """Top 11 documents for each query (item_id, text), empty overlaps and empty texts included."""
     n = "(SELECT count(*) FROM documents)"
     if weighting == "tf":
         d_weight = q_weight = "CAST(tf AS DOUBLE)"
     else:
         d_weight = q_weight = "tf * coalesce(idf, 0)"
     return f"""WITH {term_counts("d0", "documents", "doc_id", "text", corpus_words)},
-    {term_counts("q0", "benchmark", "item_id", "text", query_words)},
+    {term_counts("q0", queries, "item_id", "text", query_words)},
     idf AS (SELECT bucket, ln(({n} + 1.0) / (count(*) + 1.0)) AS idf FROM d0 GROUP BY bucket),
     d AS (SELECT id, bucket, {d_weight} AS x FROM d0 LEFT JOIN idf USING (bucket)),
     q AS (SELECT id, bucket, {q_weight} AS x FROM q0 LEFT JOIN idf USING (bucket)),
@@ -94,7 +94,7 @@ def similar(weighting: str = "tf", corpus_words=words, query_words=words) -> str
     dots AS (SELECT q.id AS qid, d.id AS did, sum(q.x * d.x) AS dot FROM q JOIN d USING (bucket) GROUP BY 1, 2),
     scored AS (SELECT b.item_id AS id, c.doc_id AS that_id,
         round(CASE WHEN qn.norm > 0 AND dn.norm > 0 THEN coalesce(dot, 0) / (qn.norm * dn.norm) END, 6) AS similarity
-        FROM benchmark b CROSS JOIN documents c LEFT JOIN dots ON qid = b.item_id AND did = c.doc_id
+        FROM {queries} b CROSS JOIN documents c LEFT JOIN dots ON qid = b.item_id AND did = c.doc_id
         LEFT JOIN qn ON qn.id = b.item_id LEFT JOIN dn ON dn.id = c.doc_id)
     SELECT id, that_id, similarity FROM (SELECT *, row_number() OVER
         (PARTITION BY id ORDER BY similarity DESC NULLS LAST, that_id) AS rk FROM scored) WHERE rk <= 11"""

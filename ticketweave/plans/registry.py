@@ -32,4 +32,4 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 def load_all() -> None:
     """Import the modules whose queries register themselves."""
-    from . import table_queries, text_queries  # noqa: F401
+    from . import index_queries, table_queries, text_queries  # noqa: F401

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import bayes
+from ..plans import index as stored
 from ..plans import triage
 
 
@@ -24,6 +26,17 @@ def read_arrivals(
     return reader.load(folder)
 
 
+def first_arrivals(arrivals: DataFrame, time: str, delay: str, key: str = "id") -> DataFrame:
+    """Each ticket once, however often its row arrives again.
+
+    State holds the keys seen within ``delay`` of the newest ``time`` and is part
+    of the stream's checkpoint, so a restart remembers them. A row older than
+    that is dropped whether seen or not: ``delay`` is how late a first arrival
+    may be. Rows without a key count as one ticket.
+    """
+    return arrivals.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
 def classify_stream(
     arrivals: DataFrame,
     model: bayes.NaiveBayes,
@@ -74,3 +87,39 @@ def similar_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def index_stream(
+    arrivals: DataFrame,
+    root: str,
+    checkpoint: str,
+    settings: stored.Settings = stored.Settings(),
+    stream: str = "arrivals",
+    shard_docs: int | None = None,
+) -> StreamingQuery:
+    """Add arriving tickets (id, description) to the index under ``root``, a segment per batch.
+
+    The manifest records the last batch of the stream along with the segments,
+    in one row: a batch that is tried again either has all or nothing in the
+    index, and is skipped or redone. Of rows with one id in a batch that of the
+    smallest text is taken; ids the index holds already are left out.
+    """
+    options = {} if shard_docs is None else {"shard_docs": shard_docs}
+
+    def handle(batch: DataFrame, number: int) -> None:
+        tickets = batch.groupBy("id").agg(F.min("description").alias("description")).filter("id IS NOT NULL")
+        try:
+            index = stored.open_index(batch.sparkSession, root)
+        except LookupError:
+            index = stored.create_index(tickets.filter("false"), root, settings)
+        if index.settings != settings:
+            raise ValueError("the index was made with other settings")
+        if index.stream != stream or index.batch is None or index.batch < number:
+            stored.append_index(tickets, index, stream=stream, batch=number, **options)
+
+    return (
+        arrivals.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
