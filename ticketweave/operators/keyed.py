@@ -151,6 +151,58 @@ def purge(keys: DataFrame, key_column: str, tables: dict[str, tuple[DataFrame, s
     }
 
 
+# Listed keys up to which they are sent to every task; more are filtered by a bitmap first.
+BROADCAST_KEYS = 100_000
+# Bits of the bitmap per key, and at most (32 MB): with more keys more rows pass it, never fewer.
+BITS_PER_KEY = 32
+MAX_BITS = 1 << 28
+SLOT_BITS = 32_768
+
+
+def key_bitmap(listed: DataFrame, bits: int) -> DataFrame:
+    """(_slot, _bits): the hashes of ``_listed`` as a bitmap of ``bits`` bits, a row for each 4 KB of it."""
+    place = F.pmod(F.xxhash64("_listed"), F.lit(bits)) + 1
+    return listed.groupBy(F.bitmap_bucket_number(place).alias("_slot")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")
+    )
+
+
+def _may_be_listed(df: DataFrame, key: Column, bitmap: DataFrame, bits: int) -> DataFrame:
+    """(row, key, maybe) of each row of ``df``: maybe is false only where the key is certainly not listed."""
+    marked = df.select(F.struct("*").alias("row"), key.alias("key"), F.pmod(F.xxhash64(key), F.lit(bits)).alias("place"))
+    found = marked.join(F.broadcast(bitmap), F.expr(f"place DIV {SLOT_BITS} + 1") == F.col("_slot"), "left")
+    inner = F.col("place") % SLOT_BITS
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (inner / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = found.withColumn("byte", byte)
+    bit = F.expr("shiftright(byte, CAST(place % 8 AS INT)) & 1") == 1
+    return found.select("row", "key", F.coalesce(bit & F.col("key").isNotNull(), F.lit(False)).alias("maybe"))
+
+
+def purge_filtered(
+    keys: DataFrame, key_column: str, tables: dict[str, tuple[DataFrame, str]], broadcast_keys: int = BROADCAST_KEYS
+) -> dict[str, DataFrame]:
+    """A ``purge`` for any number of keys, in which only rows that may go are shuffled.
+
+    Up to ``broadcast_keys`` keys go to every task. Beyond, a bitmap of their
+    hashes does, of checked size; the rows it lets through are joined with the
+    keys, all others stay where they are read.
+    """
+    listed = materialize(keys.select(F.lower(key_column).alias("_listed")).filter("_listed IS NOT NULL").distinct(), "listed")
+    number = listed.count()
+    if number <= broadcast_keys:
+        small = F.broadcast(listed)
+        return {n: df.join(small, F.lower(df[c]) == F.col("_listed"), "left_anti") for n, (df, c) in tables.items()}
+    bits = min(MAX_BITS, max(SLOT_BITS, BITS_PER_KEY * number))
+    bitmap = materialize(key_bitmap(listed, bits), "bitmap")
+    left = {}
+    for name, (df, column) in tables.items():
+        marked = _may_be_listed(df, F.lower(column), bitmap, bits)
+        stays = marked.filter("NOT maybe").select("row.*")
+        checked = marked.filter("maybe").join(listed, F.col("key") == F.col("_listed"), "left_anti").select("row.*")
+        left[name] = stays.unionAll(checked)
+    return left
+
+
 def purge_report(keys: DataFrame, key_column: str, tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(table_name, n_removed, n_kept) of a ``purge`` with the same arguments, reading each table once."""
     listed = keys.select(F.lower(key_column).alias("_listed")).distinct()

@@ -27,24 +27,34 @@ def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFram
     return df.orderBy(*order).offset(number * size).limit(size)
 
 
-def page_after(df: DataFrame, columns: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
-    """The page that follows the row with sort values ``last``, at equal cost for any depth.
+def order_of(columns: list[tuple[str, bool]]) -> list[Column]:
+    """The order of (name, descending) pairs, as in ``newest`` and ``ascending``."""
+    return [F.col(n).desc_nulls_first() if descending else F.col(n).asc_nulls_last() for n, descending in columns]
 
-    ``columns`` are (name, descending) pairs that together identify a row. Nulls
-    lead where a column descends and are last where it ascends, as in ``newest``
-    and ``ascending``. The bound is an ordinary filter that reaches the scan.
-    """
+
+def beyond(columns: list[tuple[str, bool]], last: tuple) -> Column:
+    """Whether a row comes after the one with sort values ``last``."""
     later, same = [], F.lit(True)
     for (name, descending), value in zip(columns, last):
         column = F.col(name)
         if value is None:
-            beyond = column.isNotNull() if descending else F.lit(False)
+            after = column.isNotNull() if descending else F.lit(False)
         else:
-            beyond = column < F.lit(value) if descending else (column > F.lit(value)) | column.isNull()
-        later.append(same & beyond)
+            after = column < F.lit(value) if descending else (column > F.lit(value)) | column.isNull()
+        later.append(same & after)
         same = same & column.eqNullSafe(F.lit(value))
-    order = [F.col(n).desc_nulls_first() if descending else F.col(n).asc_nulls_last() for n, descending in columns]
-    return df.filter(reduce(Column.__or__, later)).orderBy(*order).limit(size)
+    return reduce(Column.__or__, later)
+
+
+def page_after(df: DataFrame, columns: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
+    """The page that follows the row with sort values ``last``, whatever the depth.
+
+    ``columns`` are (name, descending) pairs that together identify a row. Nulls
+    lead where a column descends and are last where it ascends, as in ``newest``
+    and ``ascending``. The bound is an ordinary filter that reaches the scan;
+    ``sources.stored.SortedTable`` also bounds what is read beyond it.
+    """
+    return df.filter(beyond(columns, last)).orderBy(*order_of(columns)).limit(size)
 
 
 def counts(**tables: DataFrame) -> DataFrame:

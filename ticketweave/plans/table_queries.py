@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forms, keyed, listing, lookup
+from ..session import work_path
 from ..sources import readers
+from ..sources import stored as tables_on_disk
 from .registry import query, table
 
 # The same views for Spark and for the checking SQL.
@@ -514,6 +516,22 @@ def purge_rows(spark, sf):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query(
+    "purge_many",
+    f"""WITH {PURGED_SQL}
+    SELECT 'customer' AS table_name, c_custkey AS id FROM customer WHERE c_name NOT IN (SELECT c_name FROM purged)
+    UNION ALL SELECT 'orders', o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM purged_orders)
+    UNION ALL SELECT 'lineitem', l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM purged_orders)""",
+)
+def purge_many(spark, sf):
+    """The same removal as if the keys were too many to send: rows pass a bitmap of the keys first."""
+    after = keyed.purge_filtered(*purge_arguments(spark, sf), broadcast_keys=0)
+    ids = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+    parts = [after[name].select(F.lit(name).alias("table_name"), F.col(column).alias("id")) for name, column in ids.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def purge_arguments(spark, sf):
     """Accounts to remove, and the tables that depend on them."""
     customers = table(spark, sf, "customer", "c_custkey", "c_name", "c_acctbal")
@@ -584,3 +602,53 @@ def milestones_page(spark, sf):
 )
 def accounts_page(spark, sf):
     return listing.page(accounts(spark, sf), listing.ascending("name", "id"), 3, 20)
+
+
+# ---- stored tables -----------------------------------------------------------------
+
+# The sign-in data of each user: the newest event before a moment, and what changed since.
+SATELLITE = "'user-' || user_id AS login, event_type AS token, event_id AS sequence"
+SATELLITES_SQL = f"""sat AS (SELECT {SATELLITE}, json_extract_string(props, '$.k') AS k, value FROM events),
+    base AS (SELECT * FROM sat WHERE sequence < 6000), changed AS (SELECT * FROM sat WHERE sequence >= 6000 AND login LIKE '%7')"""
+
+
+def satellites(spark, sf):
+    params = "map('k', get_json_object(props, '$.k'), 'v', CAST(CAST(value AS DECIMAL(12, 2)) AS STRING)) AS params"
+    return table(spark, sf, "events").selectExpr(*SATELLITE.split(", "), params)
+
+
+@query(
+    "upsert_satellites",
+    f"""WITH {SATELLITES_SQL}, every AS (SELECT * FROM base UNION ALL SELECT * FROM changed)
+    SELECT login, token, 'k=' || k || ',v=' || CAST(CAST(value AS DECIMAL(12, 2)) AS VARCHAR) AS params
+    FROM (SELECT *, row_number() OVER (PARTITION BY login ORDER BY sequence DESC) AS r FROM every) WHERE r = 1""",
+)
+def upsert_satellites(spark, sf):
+    """Rows with a map column, changed by key in a bucketed table: only the buckets of changed users are written."""
+    rows = satellites(spark, sf)
+    base = listing.latest_per_key(rows.filter("sequence < 6000"), "login", ["sequence"]).drop("sequence")
+    stored = tables_on_disk.create_bucketed(base, work_path(spark, "satellites"), "login", 16)
+    stored.upsert(rows.filter("sequence >= 6000 AND login LIKE '%7'"), "sequence")
+    kept = tables_on_disk.open_bucketed(spark, stored.root).read()
+    pairs = F.transform(F.sort_array(F.map_entries("params")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return kept.select("login", "token", F.array_join(pairs, ",").alias("params"))
+
+
+@query(
+    "accounts_page_after",
+    f"""WITH {ACCOUNTS_SQL}, numbered AS (
+        SELECT id, username, avatar_url, row_number() OVER (ORDER BY avatar_url NULLS LAST, id) AS place,
+            count(avatar_url) OVER () AS named FROM accounts)
+    SELECT id, username, avatar_url, CAST((place - named + 4) // 40 AS INTEGER) AS page FROM numbered
+    WHERE place > named - 5 AND place <= named + 75""",
+)
+def accounts_page_after(spark, sf):
+    """Two pages of a listing by a nullable column, from just before its nulls, each read from a sorted table."""
+    columns = [("avatar_url", False), ("id", False)]
+    rows = accounts(spark, sf).select("id", "username", "avatar_url")
+    stored = tables_on_disk.write_sorted(rows, work_path(spark, "accounts"), columns, rows_per_part=100)
+    named = rows.filter("avatar_url IS NOT NULL").orderBy(F.desc("avatar_url"), F.desc("id")).limit(6).collect()
+    first = stored.page_after((named[-1].avatar_url, named[-1].id), 40)
+    end = first.orderBy(*listing.order_of([(n, not d) for n, d in columns])).first()
+    second = stored.page_after((end.avatar_url, end.id), 40)
+    return first.withColumn("page", F.lit(0)).unionAll(second.withColumn("page", F.lit(1)))
