@@ -9,7 +9,7 @@ bucket, so it multiplies the summed counts afterwards.
 
 Scoring reads each vector once, inside its task, and shuffles nothing. The model
 is a table in the shared folder that the tasks read themselves: what each stored
-(class, bucket) pair adds, in bucket order. All pairs a class lacks add the same
+(class, bucket) pair adds, by bucket. All pairs a class lacks add the same
 to it, a constant of the class times the row's weight, so they are never stored.
 Neither the driver nor the function that travels to the tasks grows with the
 number of classes.
@@ -17,6 +17,7 @@ number of classes.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,14 +154,17 @@ class _Part:
     """What the pairs of some buckets add, by (model, bucket)."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "bucket")))
-        self.idf = batch.column("idf").to_numpy(zero_copy_only=False)
+        keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "bucket")))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.idf = batch.column("idf").to_numpy(zero_copy_only=False)[order]
         pairs = batch.column("pairs")
-        self.first = pairs.offsets.to_numpy().astype(np.int64) - pairs.offsets[0].as_py()
+        offsets = pairs.offsets.to_numpy().astype(np.int64)
+        self.first, self.number = (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order]
         self.classes, self.gains = (a.to_numpy(zero_copy_only=False) for a in pairs.flatten().flatten())
 
     def size(self) -> int:
-        return sum(a.nbytes for a in (self.keys, self.idf, self.first, self.classes, self.gains))
+        return sum(a.nbytes for a in (self.keys, self.idf, self.first, self.number, self.classes, self.gains))
 
 
 def _keys(model: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -174,10 +178,10 @@ class _Model:
         self.pair_path, self.part_buckets, self.room = pair_path, part_buckets, cache_bytes
         self.kept: list[_Part] = []
         self.all_kept = False
-        batches = list(read_side(class_path, ["model", "label", "prior", "tail"], CELLS))
-        table = pa.Table.from_batches(batches).combine_chunks()
+        batches = list(read_side(class_path, ["model", "class", "label", "prior", "tail"], CELLS))
+        # By model and, as classes are numbered, by label: equal scores go to the smaller one.
+        table = pa.Table.from_batches(batches).sort_by([("model", "ascending"), ("class", "ascending")])
         models = table["model"].to_numpy()
-        # Rows come by model and label, so equal scores go to the smaller label.
         self.classes = {}
         for key in np.unique(models).tolist():
             own = table.slice(int(np.searchsorted(models, key)), int((models == key).sum()))
@@ -205,14 +209,14 @@ class _Model:
         owner = np.repeat(np.arange(rows), np.diff(offsets))
         keys = _keys(used[owner], buckets)
         out, weight = np.zeros(rows * width), np.zeros(rows)
-        # In bucket order, term by term, so sums do not depend on how rows and parts are cut.
+        # Part by part and term by term, so sums do not depend on how rows are cut.
         for part in self.parts():
             place = np.searchsorted(part.keys, keys)
             met = np.flatnonzero(part.keys[np.minimum(place, len(part.keys) - 1)] == keys)
             place, row = place[met], owner[met]
             x = counts[met] * part.idf[place]
             np.add.at(weight, row, x)
-            number = part.first[place + 1] - part.first[place]
+            number = part.number[place]
             ends = np.cumsum(number)
             at = 0
             while at < len(met):
@@ -257,29 +261,31 @@ def _scorer(class_path: str, pair_path: str, part_buckets: int, cache_bytes: int
 
 
 def store(model: NaiveBayes, keys: list[int] | None = None) -> tuple[str, str]:
-    """Write the tables that scoring reads: classes (model, label, prior, tail) and pairs by (model, bucket)."""
+    """Write the tables that scoring reads: classes (model, class, label, prior, tail) and pairs by (model, bucket)."""
     if model.smoothing <= 0:
         raise ValueError("scoring needs a positive smoothing")
-    wanted = F.lit(True) if keys is None else F.col("model").isin(keys)
-    part = NaiveBayes(model.counts.filter(wanted), model.smoothing, model.num_features, model.min_doc_freq)
-    weighted = part.cells().join(part.idf(), ["model", "bucket"]).select("model", "label", "bucket", "idf", (F.col("tf") * F.col("idf")).alias("mass"))
-    total = weighted.groupBy("model", "label").agg(F.sum("mass").alias("total"))
+    counts = model.counts if keys is None else model.counts.filter(F.col("model").isin(keys))
+    if counts.isEmpty():
+        raise LookupError("the model has no classes")
     lam = float(model.smoothing)
+    part = NaiveBayes(counts, lam, model.num_features, model.min_doc_freq)
     number = F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1
-    classes = part.priors().join(total, ["model", "label"], "left").select(
-        "model", "label", number.alias("class"), F.col("log_prior").alias("prior"),
-        (np.log(lam) - F.log(F.coalesce("total", F.lit(0.0)) + lam * model.num_features)).alias("tail"),
-    )
-    class_path = write_side(classes.orderBy("model", "class"), "classes")
-    spark = model.counts.sparkSession
-    numbered = spark.read.parquet(class_path).select("model", "label", "class")
-    if numbered.isEmpty():
-        raise LookupError("the model has no classes")
-    pair = F.struct(F.col("class").cast("int").alias("class"), (F.log(F.col("mass") + lam) - np.log(lam)).alias("gain"))
-    pairs = weighted.filter("idf <> 0").join(numbered, ["model", "label"]).groupBy("model", "bucket").agg(
-        F.first("idf").alias("idf"), F.sort_array(F.collect_list(pair)).alias("pairs")
-    )
-    return class_path, write_side(pairs.orderBy("model", "bucket"), "pairs")
+    classes = part.priors().withColumn("class", number.cast("int"))
+    # One shuffle by bucket gives document frequencies, idf and, with class numbers joined before, the pairs.
+    cells = counts.filter(F.col("bucket") != DOCUMENT).join(part._sizes(), "model")
+    doc_freq = F.sum("docs").over(Window.partitionBy("model", "bucket"))
+    idf = idf_column(F.col("n_all"), doc_freq, model.min_doc_freq)
+    weighted = cells.select("model", "label", "bucket", "tf", idf).filter("idf <> 0").withColumn("mass", F.col("tf") * F.col("idf"))
+    total = weighted.groupBy("model", "label").agg(F.sum("mass").alias("total"))
+    tail = np.log(lam) - F.log(F.coalesce("total", F.lit(0.0)) + lam * model.num_features)
+    placed = classes.join(total, ["model", "label"], "left").select("model", "class", "label", F.col("log_prior").alias("prior"), tail.alias("tail"))
+    pair = F.struct("class", (F.log(F.col("mass") + lam) - np.log(lam)).alias("gain"))
+    numbered = weighted.join(classes.select("model", "label", "class"), ["model", "label"])
+    pairs = numbered.groupBy("model", "bucket").agg(F.first("idf").alias("idf"), F.sort_array(F.collect_list(pair)).alias("pairs"))
+    with ThreadPoolExecutor(2) as pool:
+        class_path = pool.submit(write_side, placed, "classes")
+        pair_path = write_side(pairs.sortWithinPartitions("model", "bucket"), "pairs")
+        return class_path.result(), pair_path
 
 
 def classify(
