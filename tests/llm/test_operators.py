@@ -328,6 +328,46 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def foreign_record(kind, block, content_type="application/http; msgtype=response", **fields):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{len(block):032x}>", "WARC-Date: 2020-02-03T04:05:06Z"]
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]
+    lines += [f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
+    return b"WARC/1.0\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_archives_of_other_writers(spark):
+    body = b"<html>caf\xc3\xa9</html>"
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n folded\r\n\r\n"
+    sha1 = hashlib.sha1(body).digest()
+    records = [
+        foreign_record("warcinfo", b"software: some crawler\r\nformat: WARC File Format 1.0\r\n", "application/warc-fields", WARC_Filename="a.warc"),
+        foreign_record("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request", WARC_Target_URI="http://a/"),
+        foreign_record("response", http + body, WARC_Target_URI="http://a/"),
+        foreign_record("response", http + body, WARC_Payload_Digest="sha1:" + warc._base32(sha1), WARC_Block_Digest="sha256:" + hashlib.sha256(http + body).hexdigest()),
+        foreign_record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n", WARC_Payload_Digest="sha1:" + warc._base32(hashlib.sha1(b"abc").digest())),
+        foreign_record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\ncut", WARC_Truncated="length"),
+        foreign_record("metadata", b"outlink: http://b/\r\n", "application/warc-fields", WARC_Concurrent_To="<urn:uuid:1>"),
+        foreign_record("revisit", b"", WARC_Refers_To="<urn:uuid:7>", WARC_Payload_Digest="sha1:" + warc._base32(sha1)),
+        foreign_record("resource", body, "text/html", WARC_Payload_Digest="xxh3:123"),
+    ]
+    packer = warc._compressor(b"")
+    note = b"\x53\x2a\x4d\x18\x05\x00\x00\x00hello"
+    content = note + packer.compress(records[0]) + note + b"".join(map(packer.compress, records[1:])) + note
+    got = warc.read_archives(spark.createDataFrame([(content,), (None,), (b"",)], "content binary")).collect()
+    assert [r.record_type for r in got] == [r.split(b"WARC-Type: ")[1].split(b"\r\n")[0].decode() for r in records]
+    assert all(r.page_id is None and r.refers_to is None and r.record_id.startswith("<urn:uuid:") for r in got)
+    assert bytes(got[2].payload) == bytes(got[3].payload) == bytes(got[8].payload) == body and got[2].payload_digest == sha1.hex()
+    assert got[7].payload is None and got[7].payload_digest == sha1.hex() and got[7].refers_to_id == "<urn:uuid:7>"
+    assert bytes(got[0].payload).startswith(b"software") and bytes(got[5].payload) == b"cut" and got[5].payload_bytes == 3
+    for bad in (foreign_record("response", http + body, WARC_Payload_Digest="sha1:" + warc._base32(hashlib.sha1(b"x").digest())),
+                foreign_record("response", b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\ncut"),
+                foreign_record("metadata", b"x", "text/plain", WARC_Block_Digest="md5:" + "0" * 32), foreign_record("response", b"no message")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.frames(content[:-2]))
+
+
 def test_warc_dictionary_and_damage():
     records = [warc.record_bytes(i, "http://a/", f"payload {i}".encode() * 50, None) for i in range(40)]
     plain = zstandard.train_dictionary(2000, records * 5).as_bytes()

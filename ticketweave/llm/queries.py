@@ -283,7 +283,8 @@ FROM f"""
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(table(spark, folder, "pages"))
     stored = Workspace(spark, "archives").write(archives, "archives")
-    return warc.read_archives(stored, payload=False).drop("url")
+    records = warc.read_archives(stored, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 TRIE_SQL = f"""
