@@ -328,6 +328,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_mixing_keeps_what_its_targets_allow(spark, small):
+    """The registered mixture: no keep given, so every target is in reach and is met."""
+    from ticketweave.llm import queries
+
+    docs = queries.table(spark, small, "documents")
+    mixture = queries.mixed(docs, keep=None)
+    got = mixing.shares(mixture, ["source", "lang", "topic"]).collect()
+    assert all(abs(r.expected - r.target) < 1e-3 for r in got)
+    expected, held = mixture.agg(F.sum(F.col("tokens") * F.col("probability")), F.sum("tokens")).first()
+    assert abs(expected / held - min(r.largest_keep for r in got)) < 1e-3
+
+
 def foreign_record(kind, block, content_type="application/http; msgtype=response", **fields):
     lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{len(block):032x}>", "WARC-Date: 2020-02-03T04:05:06Z"]
     lines += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]

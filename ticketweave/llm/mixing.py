@@ -5,8 +5,8 @@ weights are raked: scaled to the target share of each value, one dimension
 after the other, until all hold. No cell can give more tokens than it has, so
 the targets are first brought within what each value holds, and every step of
 the raking fills its value's cells up to their tokens at most. A document's
-probability is its cell's filled share. Without bounds, weights are raked alone
-and a single factor, capped at 1, gives the wanted number of tokens.
+probability is its cell's filled share. Unless told how much to keep, the mixture
+keeps the largest share of all tokens at which no value's target is out of reach.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .sharding import ORDER_BITS, hash52
 ROUNDS = 10
 # Rounds between two writes of the cells.
 CUT_EVERY = 5
-# Cells up to which they are raked in one task and sent to every task; beyond, both are shuffled.
+# Cells up to which they are raked in one task and sent to every task; beyond, they are shuffled by value and joined.
 FEW_CELLS = 100_000
 NULL = "\u0000null"
 # Topic of a text: the first marker it holds.
@@ -41,50 +41,33 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 
+def _sum(df: DataFrame, column: str) -> float:
+    """One number: the sum of a column, 0 without rows."""
+    return float(df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("s")).first().s)
+
+
 def tempered_shares(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """(value, share): the dimension's own token shares raised to a power; below 1 it lifts the rare values."""
     sums = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("tokens"))
     raised = sums.filter("tokens > 0").withColumn("share", F.pow(F.col("tokens").cast("double"), F.lit(float(power))))
-    return raised.select("value", (F.col("share") / F.sum("share").over(Window.partitionBy())).alias("share"))
+    return raised.select("value", (F.col("share") / F.lit(_sum(raised, "share") or 1.0)).alias("share"))
 
 
-def rake(cells: DataFrame, dimensions: list[str], work: Workspace, rounds: int = ROUNDS) -> DataFrame:
-    """Add ``weight`` to cells (dimensions, tokens, share_<dimension>): tokens scaled to every dimension's shares.
-
-    The weights sum up to the tokens. A cell without tokens or with a share of 0 or null has weight 0.
-    """
-    shares = [F.coalesce(F.col(f"share_{d}"), F.lit(0.0)) for d in dimensions]
-    usable = reduce(lambda a, b: a & b, [s > 0 for s in shares])
-    current = cells.withColumn("weight", F.when(usable, F.col("tokens").cast("double")).otherwise(0.0))
-    total = F.sum("tokens").over(Window.partitionBy())
-    current = current.withColumn("total", total.cast("double"))
-    for turn in range(rounds):
-        for d, share in zip(dimensions, shares):
-            held = F.sum("weight").over(Window.partitionBy(d))
-            scaled = F.col("weight") * share * F.col("total") / F.nullif(held, F.lit(0.0))
-            current = current.withColumn("weight", F.coalesce(scaled, F.lit(0.0)))
-        if (turn + 1) % CUT_EVERY == 0:
-            current = work.write(current, "raked")
-    return current
-
-
-def probabilities(raked: DataFrame, keep: float) -> DataFrame:
-    """Add ``probability``: min(1, factor * weight / tokens), with ``keep`` of all tokens expected."""
-    rated = raked.withColumn("rate", F.coalesce(F.col("weight") / F.nullif(F.col("tokens"), F.lit(0)), F.lit(0.0)))
-    dims = [c for c in raked.columns if c not in ("tokens", "weight", "total")]
-    # Cells in order of falling rate: those before the turning point are kept whole, the factor serves the rest.
-    order = Window.partitionBy().orderBy(F.desc("rate"), *dims)
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    left = F.col("total") * keep - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    factor = F.greatest(left, F.lit(0.0)) / F.nullif(F.sum("weight").over(rest), F.lit(0.0))
-    tried = rated.withColumn("factor", F.coalesce(factor, F.lit(0.0)))
-    fits = F.max(F.when(F.col("factor") * F.col("rate") <= 1, F.col("factor"))).over(Window.partitionBy())
-    chosen = F.least(F.lit(1.0), F.coalesce(fits, F.lit(float("inf"))) * F.col("rate"))
-    return tried.withColumn("probability", F.when(F.col("rate") > 0, chosen).otherwise(0.0)).drop("factor", "rate")
+def largest_keep(cells: DataFrame, dimensions: list[str]) -> float:
+    """The share of all tokens up to which every value holds what its target asks for; cells as for ``rake_within``."""
+    total, least = _sum(cells, "tokens"), 1.0
+    for d in dimensions:
+        values = cells.groupBy(d).agg(F.sum("tokens").alias("held"), F.first(f"share_{d}").alias("share"))
+        part = values.filter("share > 0 AND held > 0").agg(F.min(F.col("held") / (F.col("share") * total)).alias("m")).first().m
+        least = least if part is None else min(least, part)
+    return least
 
 
 def _filled(df: DataFrame, wanted: Column, weight: str, capacity: str, by: list[str], ties: list[str]) -> DataFrame:
-    """Add ``factor``: within each group, sum(min(capacity, factor * weight)) is ``wanted``; null where the whole capacity is needed."""
+    """Add ``factor``: within each group, sum(min(capacity, factor * weight)) is ``wanted``; null where the whole capacity is needed.
+
+    A group is sorted in one task: the cells of a value, or the values of a dimension, one short row each.
+    """
     group = Window.partitionBy(*by)
     order = group.orderBy(F.desc(F.col(weight) / F.col(capacity)), *ties)
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
@@ -104,14 +87,14 @@ def rake_within(cells: DataFrame, dimensions: list[str], keep: float, work: Work
     """
     shares = [F.coalesce(F.col(f"share_{d}"), F.lit(0.0)) for d in dimensions]
     usable = reduce(lambda a, b: a & b, [s > 0 for s in shares]) & (F.coalesce(F.col("tokens"), F.lit(0)) > 0)
-    total = F.coalesce(F.sum("tokens").over(Window.partitionBy()), F.lit(0)).cast("double")
-    marked = work.write(cells.withColumn("total", total).withColumn("usable", usable), "marked")
+    wanted = F.lit(_sum(cells, "tokens") * keep)
+    marked = work.write(cells.withColumn("usable", usable), "marked")
     current = marked.filter("usable").withColumn("room", F.col("tokens").cast("double")).withColumn("weight", F.col("room"))
     for d in dimensions:
         values = marked.filter("usable").groupBy(d).agg(
-            F.sum("tokens").cast("double").alias("held"), F.first(f"share_{d}").alias("share"), F.first("total").alias("total")
+            F.sum("tokens").cast("double").alias("held"), F.first(f"share_{d}").alias("share")
         )
-        filled = _filled(values, F.col("total") * keep, "share", "held", [], [d])
+        filled = _filled(values, wanted, "share", "held", [], [d])
         reached = F.coalesce(F.least("held", F.col("factor") * F.col("share")), F.col("held")).alias(f"goal_{d}")
         current = current.join(filled.select(d, reached), d)
     current = work.write(current, "goals")
@@ -139,9 +122,8 @@ def shares(mixture: DataFrame, dimensions: list[str], power: float = 0.5, target
     parts = []
     for d in dimensions:
         sums = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum("kept").alias("kept"))
-        whole = Window.partitionBy()
-        own = (F.col("tokens") / F.sum("tokens").over(whole)).alias("own")
-        sums = sums.select("value", own, (F.col("kept") / F.nullif(F.sum("kept").over(whole), F.lit(0.0))).alias("expected"))
+        own = (F.col("tokens") / F.lit(_sum(sums, "tokens") or None)).alias("own")
+        sums = sums.select("value", own, (F.col("kept") / F.lit(_sum(sums, "kept") or None)).alias("expected"))
         sums = sums.join(_target(cells, d, power, targets), "value", "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
         limit = F.least(F.lit(1.0), F.col("own") / F.nullif(F.col("share"), F.lit(0.0))).alias("largest_keep")
         parts.append(sums.select(F.lit(d).alias("dimension"), "value", "own", F.col("share").alias("target"), "expected", limit))
@@ -160,21 +142,19 @@ def mix(
     dimensions: dict[str, Column],
     tokens: Column,
     key: Column,
-    keep: float,
+    keep: float | None = None,
     power: float = 0.5,
     targets: dict[str, DataFrame] | None = None,
     rounds: int = ROUNDS,
     seed: str = "mix",
-    bounded: bool = True,
 ) -> DataFrame:
     """Sample documents so that expected tokens follow the target shares of every dimension.
 
     ``targets`` gives (value, share) tables by dimension; a dimension without
     one gets its own shares raised to ``power``. ``keep`` is the share of all
-    tokens to keep in expectation; targets beyond what a value holds at that
-    share are met as far as they can be (``shares`` reports it). ``bounded``
-    rakes within the cells' tokens; False caps the raked weights afterwards,
-    which leaves reachable targets unmet once cells are capped. Returns a row for each document with
+    tokens to keep in expectation, by default the ``largest_keep`` of the
+    targets; targets beyond what a value holds at that share are met as far as
+    they can be (``shares`` reports it). Returns a row for each document with
     ``row`` (a struct of all its columns), ``cell`` (its dimensions' values as
     text), ``tokens``, ``probability`` and ``kept``.
 
@@ -196,7 +176,7 @@ def mix(
         cells = cells.join(given.withColumnsRenamed({"value": name, "share": f"share_{name}"}), name, "left")
     cells = work.write(cells.coalesce(1) if few else cells, "targets")
     cells = cells.coalesce(1) if few else cells
-    raked = rake_within(cells, names, keep, work, rounds) if bounded else probabilities(rake(cells, names, work, rounds), keep)
+    raked = rake_within(cells, names, largest_keep(cells, names) if keep is None else keep, work, rounds)
     chances = work.write(raked.select(F.struct(*names).alias("cell"), "probability"), "chances")
     placed = docs.select(F.struct(*docs.columns).alias("row"), cell, tokens.cast("bigint").alias("tokens"), key.cast("string").alias("key"))
     joined = placed.join(F.broadcast(chances) if few else chances, "cell")

@@ -155,55 +155,67 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixing_sql() -> str:
-    """Raking written out: one CTE per round and dimension."""
+    """Raking within the cells' tokens written out: one CTE per round and dimension."""
     dims = ("source", "lang", "topic")
     topics = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in mixing.TOPICS)
     parts = [
         f"""d AS (SELECT doc_id, coalesce(source, '<null>') AS source, coalesce(lang, '<null>') AS lang,
   CASE {topics} ELSE 'prose' END AS topic, len(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+')) AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
-        "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL)",
+        "c AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0)",
     ]
     for x in dims:
         parts.append(f"t_{x} AS (SELECT {x}, sqrt(sum(tokens)) / sum(sqrt(sum(tokens))) OVER () AS share_{x} FROM c GROUP BY {x})")
     joined = " ".join(f"JOIN t_{x} USING ({x})" for x in dims)
-    parts.append(f"r0 AS (SELECT *, tokens AS weight, sum(tokens) OVER () AS total FROM c {joined})")
+    parts.append(f"cell AS MATERIALIZED (SELECT *, sum(tokens) OVER () AS total FROM c {joined})")
+    held = " UNION ALL ".join(f"SELECT sum(tokens) / (any_value(share_{x}) * any_value(total)) AS most FROM cell GROUP BY {x}" for x in dims)
+    parts.append(f"keep AS (SELECT least(1.0, min(most)) AS keep FROM ({held}))")
+    # Each value's goal, then the cells of a value filled to it, one dimension after the other.
+    filled = """greatest({wanted} - coalesce(sum({room}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
+  / sum({weight}) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tried"""
+    for x in dims:
+        tried = filled.format(wanted="wanted", room="held", weight="share")
+        parts += [
+            f"""v_{x} AS (SELECT {x}, any_value(share_{x}) AS share, sum(tokens) AS held, any_value(total) * any_value(keep) AS wanted
+  FROM cell, keep WHERE tokens > 0 GROUP BY {x})""",
+            f"w_{x} AS (SELECT *, {tried} FROM v_{x} WINDOW o AS (ORDER BY share / held DESC, {x}))",
+            f"""g_{x} AS (SELECT {x}, coalesce(least(held, CASE WHEN wanted < sum(held) OVER () * (1 - 1e-12)
+  THEN max(tried) FILTER (tried * share <= held) OVER () END * share), held) AS goal_{x} FROM w_{x})""",
+        ]
+    goals = " ".join(f"JOIN g_{x} USING ({x})" for x in dims)
+    parts.append(f"r0 AS MATERIALIZED (SELECT source, lang, topic, tokens AS room, tokens AS weight, goal_source, goal_lang, goal_topic FROM cell {goals})")
     number = 0
     for _ in range(mixing.ROUNDS):
         for x in dims:
             number += 1
+            tried = filled.format(wanted=f"goal_{x}", room="room", weight="weight")
+            order = f"WINDOW o AS (PARTITION BY {x} ORDER BY weight / room DESC, source, lang, topic)"
             parts.append(
-                f"r{number} AS MATERIALIZED (SELECT * EXCLUDE (weight), weight * share_{x} * total / sum(weight) OVER (PARTITION BY {x}) AS weight "
-                f"FROM r{number - 1})"
+                f"""r{number} AS MATERIALIZED (SELECT * EXCLUDE (weight, tried), coalesce(CASE WHEN goal_{x} < sum(room) OVER g * (1 - 1e-12)
+  THEN max(tried) FILTER (tried * weight <= room) OVER g END * weight, greatest(weight, room)) AS weight
+  FROM (SELECT *, {tried} FROM r{number - 1} {order}) WINDOW g AS (PARTITION BY {x}))"""
             )
-    parts += [
-        f"rate AS (SELECT *, weight / tokens AS rate FROM r{number})",
-        f"""tried AS (SELECT *, greatest(total * {KEEP} - coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)
-  / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS factor
-  FROM rate WINDOW o AS (ORDER BY rate DESC, source, lang, topic))""",
-        """p AS (SELECT source, lang, topic, least(1.0, coalesce(max(factor) FILTER (factor * rate <= 1) OVER (), 1e300) * rate)
-  AS probability FROM tried)""",
-    ]
+    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, weight / room) AS probability FROM r{number})")
     return "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, source, lang, topic, tokens, round(probability, 9) AS probability,
-  {_draw("doc_id", "'mix'")} < probability AS kept
-FROM d JOIN p USING (source, lang, topic)"""
+SELECT doc_id, source, lang, topic, tokens, round(coalesce(probability, 0), 9) AS probability,
+  {_draw("doc_id", "'mix'")} < coalesce(probability, 0) AS kept
+FROM d LEFT JOIN p USING (source, lang, topic)"""
 
 
-# Share of all tokens that the mixture keeps.
+# Share of all tokens that the pipeline's mixture keeps.
 KEEP = 0.8
 
 
-def mixed(docs: DataFrame, keep: float = KEEP, bounded: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, keep: float | None = KEEP) -> DataFrame:
     """Sources, languages and topics at the square root of their own shares, as far as ``keep`` lets them be reached."""
     dimensions = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
-    return mixing.mix(docs, dimensions, mixing.word_count(F.col("text")), F.col("doc_id"), keep, bounded=bounded)
+    return mixing.mix(docs, dimensions, mixing.word_count(F.col("text")), F.col("doc_id"), keep)
 
 
 @query("op9_mixing", _mixing_sql())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    # As its SQL has it: weights raked without bounds, then one capped factor.
-    return mixed(table(spark, folder, "documents"), bounded=False).select(
+    # As much is kept as lets every target be reached.
+    return mixed(table(spark, folder, "documents"), keep=None).select(
         "row.doc_id", "cell.source", "cell.lang", "cell.topic", "tokens", F.round("probability", 9).alias("probability"), "kept"
     )
 
