@@ -187,8 +187,6 @@ def test_decontamination_finds_all_its_rule_accepts(spark, documents):
             t, w = texts[r.doc_id], items[r.item_id]
             agree = [t[r.doc_start + k] == w[r.item_start + k] for k in range(r.n_words)]
             assert agree[0] and agree[-1] and sum(agree) == r.n_matches
-    seeded = decontaminate.seeded_overlaps(documents(rows), table)
-    assert {(r.doc_id, r.item_id) for r in seeded.collect()} < set(want)
 
 
 def test_quality(spark, documents):

@@ -9,7 +9,7 @@ one: a stretch of at least twice ``MIN_SPAN`` words has a half that is accepted
 too, and of those below, 11 of 13 to 20 of 25 agreeing words always hold four
 in a row or three, a gap and three. A hit only names a diagonal of a (document,
 item) pair; the diagonal's words are then compared from end to end for its best
-stretch. ``seeded_overlaps`` scores the words that hits of longer masks cover.
+stretch.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from ..session import Workspace
 # Every stretch of MIN_SPAN words or more of which MIN_SHARE agree holds one of these.
 SEEDS = ("1111", "1110111")
 MIN_SPAN = 13
-# Each reads 13 words and ignores five; a substitution under a 0 of either does no harm.
-MASKS = ("1101100101011", "1010111010011", "1110010011101")
 # An overlap counts with this many agreeing words, and this share of its span.
 MIN_MATCHES = 11
 MIN_SHARE = 0.8
@@ -49,15 +47,6 @@ def _windows(df: DataFrame, hashes: str, span: int, *keep: str) -> DataFrame:
     )
 
 
-def _seeds(windows: DataFrame, masks: Sequence[str], *keep: str) -> DataFrame:
-    """One row per window and mask, with the hash of the words the mask reads."""
-    hashed = [
-        F.xxhash64(F.lit(number), *[F.col(f"w{i}") for i, bit in enumerate(mask) if bit == "1"])
-        for number, mask in enumerate(masks)
-    ]
-    return windows.select(*keep, F.explode(F.array(*hashed)).alias("seed"))
-
-
 def _short_seeds(df: DataFrame, masks: Sequence[str], *keep: str) -> DataFrame:
     """Rows (keep, pos, seed) of each mask wherever it fits; of shorter texts one, of all their words."""
     parts = []
@@ -176,45 +165,6 @@ def _reported(best: DataFrame, named: DataFrame) -> DataFrame:
     )
 
 
-def seeded_overlaps(
-    docs: DataFrame,
-    items: DataFrame,
-    masks: Sequence[str] = MASKS,
-    min_matches: int = MIN_MATCHES,
-    min_share: float = MIN_SHARE,
-    broadcast_windows: int = BROADCAST_WINDOWS,
-) -> DataFrame:
-    """Like ``overlaps``, but scores only the words that windows hit by a mask cover, all windows of a diagonal together.
-
-    A passage of at least the masks' length that no mask hits is not found.
-    """
-    span = len(masks[0])
-    if any(len(m) != span or m[0] != "1" or m[-1] != "1" or set(m) - {"0", "1"} for m in masks):
-        raise ValueError("masks are strings of 0 and 1 of one length that begin and end with 1")
-    work = Workspace(docs.sparkSession, "decontaminate")
-    distinct, named = _named_items(items, work)
-    words = [f"w{i}" for i in range(span)]
-    theirs = _windows(distinct, "hashes", span, "rep").select("rep", F.col("pos").alias("item_pos"), *[F.col(w).alias(f"i{w}") for w in words])
-    theirs = work.write(_seeds(theirs.select("*", *[F.col(f"i{w}").alias(w) for w in words]), masks, "rep", "item_pos", *[f"i{w}" for w in words]).distinct(), "seeds")
-    few = theirs.count() <= broadcast_windows
-    ours = _seeds(_windows(_hashed(docs), "hashes", span, "doc_id"), masks, "doc_id", "pos", *words)
-    agree = [F.when(F.col(w) == F.col(f"i{w}"), 1).otherwise(0) for w in words]
-    hits = ours.join(F.broadcast(theirs) if few else theirs, "seed").select(
-        "doc_id", "rep", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.array(*agree).alias("agree")
-    )
-    # Every position of a diagonal once, whatever number of hits covers it.
-    cells = hits.distinct().select("doc_id", "rep", "shift", "item_pos", F.posexplode("agree").alias("i", "same"))
-    cells = cells.groupBy("doc_id", "rep", "shift", (F.col("item_pos") + F.col("i")).alias("q")).agg(F.max("same").alias("same"))
-    lines = cells.groupBy("doc_id", "rep", "shift").agg(
-        F.min("q").alias("item_start"), F.count("*").cast("int").alias("n_words"), F.sum("same").cast("int").alias("n_matches")
-    )
-    lines = lines.filter((F.col("n_matches") >= min_matches) & (F.col("n_matches") >= F.col("n_words") * min_share))
-    best = lines.groupBy("doc_id", "rep").agg(
-        F.max(F.struct("n_matches", (-F.col("shift") - F.col("item_start")).alias("d"), (-F.col("item_start")).alias("i"), "n_words")).alias("b")
-    )
-    return _reported(best, named)
-
-
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no passage of a test item, all columns kept."""
     found = overlaps(docs, items, **options).select("doc_id").distinct()

@@ -126,22 +126,28 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign_shards(sized, "doc_id", 8, grown=1.0)
 
 
-_MASKS = ", ".join(f"('{m}')" for m in decontaminate.MASKS)
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+# The rule itself, without seeds: every diagonal with enough equal words, every stretch of it.
 DECONTAMINATE_SQL = f"""
-WITH masks AS (SELECT unnest(range(length(m))) AS i, m FROM (VALUES {_MASKS}) AS t(m)),
-reads AS (SELECT m, list(i + 1 ORDER BY i) AS places FROM masks WHERE substr(m, i + 1, 1) = '1' GROUP BY m),
-d AS (SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS p FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-b AS (SELECT item_id, w, unnest(range(0, len(w) - 12)) AS q FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
-ds AS (SELECT doc_id, p, w[p + 1 : p + 13] AS x, m, list_select(w[p + 1 : p + 13], places) AS seed FROM d, reads),
-bs AS (SELECT item_id, q, w[q + 1 : q + 13] AS y, m, list_select(w[q + 1 : q + 13], places) AS seed FROM b, reads),
-hits AS (SELECT DISTINCT doc_id, item_id, p - q AS shift, q, x, y FROM ds JOIN bs USING (m, seed)),
-cells AS (SELECT DISTINCT doc_id, item_id, shift, q + i - 1 AS q, x[i] = y[i] AS same FROM (
-  SELECT *, unnest(range(1, 14)) AS i FROM hits)),
-lines AS (
-  SELECT doc_id, item_id, shift, min(q) AS item_start, count(*) AS n_words, count(*) FILTER (same) AS n_matches
-  FROM cells GROUP BY doc_id, item_id, shift
-), good AS (SELECT * FROM lines WHERE n_matches >= 11 AND n_matches >= n_words * 0.8)
+WITH d AS (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)),
+dw AS (SELECT doc_id, n, unnest(range(n)) AS p, unnest(w) AS word FROM d),
+bw AS (SELECT item_id, n AS size, unnest(range(n)) AS q, unnest(w) AS word FROM b),
+lines AS MATERIALIZED (
+  SELECT doc_id, item_id, p - q AS shift, n, size, list(q ORDER BY q) AS same, count(*) AS hits
+  FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, p - q, n, size
+  HAVING count(*) >= {decontaminate.MIN_MATCHES} AND size >= {decontaminate.MIN_SPAN} OR count(*) = size
+), ends AS (
+  SELECT *, unnest(range(greatest(0, -shift), least(size, n - shift))) AS a FROM lines WHERE size >= {decontaminate.MIN_SPAN}
+), stretches AS (
+  SELECT doc_id, item_id, shift, list_filter(same, lambda q: q >= a AND q < z) AS found FROM (
+    SELECT *, unnest(range(a + {decontaminate.MIN_SPAN}, least(size, n - shift) + 1)) AS z FROM ends)
+  WHERE len(found) >= {decontaminate.MIN_MATCHES} AND 10 * len(found) >= {round(10 * decontaminate.MIN_SHARE)} * (z - a)
+), good AS (
+  SELECT doc_id, item_id, shift, found[1] AS item_start, found[-1] - found[1] + 1 AS n_words, len(found) AS n_matches FROM stretches
+  UNION ALL SELECT doc_id, item_id, shift, 0, size, size FROM lines
+  WHERE size < {decontaminate.MIN_SPAN} AND hits = size AND (size >= {len(decontaminate.SEEDS[0])} OR size = n)
+)
 SELECT doc_id, item_id, (shift + item_start)::INT AS doc_start, item_start::INT AS item_start,
   n_words::INT AS n_words, n_matches::INT AS n_matches
 FROM good
