@@ -235,7 +235,7 @@ def test_ann_bundles_and_blocks(spark, monkeypatch):
     x[300:330] = x[0]
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     x = x.astype(np.float32).astype(np.float64)
-    for name, value in (("PART_ROWS", 50), ("BUNDLE", 6), ("BLOCK_ROWS", 64), ("BLOCK_QUERIES", 16), ("STEP_ROWS", 32), ("STEP_QUERIES", 7)):
+    for name, value in (("BUNDLE", 6), ("BLOCK_ROWS", 64), ("BLOCK_QUERIES", 16), ("STEP_ROWS", 32), ("STEP_QUERIES", 7)):
         monkeypatch.setattr(ann, name, value)
     found = ann.search(frame, F.col("vec_id") % 3 == 0, k=5, wanted_recall=1.1).toPandas()
     assert len(found) == 200 * 5
@@ -247,6 +247,30 @@ def test_ann_bundles_and_blocks(spark, monkeypatch):
         assert np.allclose(rows.score, score[order], atol=1e-12, rtol=0)
 
 
+@pytest.mark.parametrize("kind", ["clustered", "smooth"])
+def test_ann_recall_where_few_of_many_parts_are_visited(spark, monkeypatch, kind):
+    """Every twentieth vector asks; the router has never seen most of them and visits few of at least 32 parts."""
+    rng = np.random.default_rng(7)
+    if kind == "clustered":
+        x = rng.normal(size=(60, 16))[rng.integers(0, 60, 5000)] * rng.uniform(0.5, 2, (5000, 1)) + 0.2 * rng.normal(size=(5000, 16))
+    else:
+        x = rng.normal(size=(5000, 4)) @ rng.normal(size=(4, 16))
+    fitted, fit = [], ann.fit_router
+    monkeypatch.setattr(ann, "fit_router", lambda sample, parts, *a: fitted.append((len(sample), parts, fit(sample, parts, *a))) or fitted[-1][2])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = ann.search(frame, F.col("vec_id") % 20 == 0, sample=2000).toPandas()
+    sample, parts, router = fitted[0]
+    assert parts == 128 and sample == 4096 and router.probes < parts
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        near = (x * x[q]).sum(axis=1)
+        near[q] = -np.inf
+        hits += len(set(np.argsort(-near, kind="stable")[:20]) & set(own.vec_id))
+        # Double vectors are ranked as they are given.
+        assert np.array_equal(own.sort_values("rank").score.to_numpy(), np.sort(near[own.vec_id])[::-1]) or np.allclose(own.score, near[own.vec_id], rtol=1e-14)
+    assert hits / (20 * 250) >= 0.9
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(20, 8))

@@ -4,9 +4,9 @@
    equal size by recursive bisection that keeps neighbours together.
 2. A small network learns, for a vector, how its neighbours spread over the
    parts. Every row of the index goes to its most probable part.
-3. A query visits its most probable parts; how many is measured on the sample,
-   so that the wanted recall is reached, and rises to all parts where vectors
-   have no structure to learn.
+3. A query visits its most probable parts; how many is measured on vectors that
+   neither the graph nor the network has seen, so that the wanted recall is
+   reached, and rises to all parts where vectors have no structure to learn.
 4. In the visited parts exact inner products rank all vectors. Neighbouring
    parts form bundles, so that a query and its best vectors travel once for all
    parts of a bundle it visits. Bundles are cut into blocks of bounded size, and
@@ -27,12 +27,15 @@ from pyspark.sql import functions as F
 
 from ..session import Workspace
 
-SAMPLE = 8_000
+# The sample is of SAMPLE vectors, or SAMPLE_PER_PART for each part if that is more.
+SAMPLE, SAMPLE_PER_PART = 8_000, 32
 NEIGHBOURS = 10
-# Rows of a part, as expected; the number of parts is a power of two up to MAX_PARTS.
-PART_ROWS, MAX_PARTS = 4_000, 256
+# There are as many parts as a part has rows, to a power of two; beyond MAX_PARTS, which bounds what is learned
+# on the driver, parts grow with the table.
+MAX_PARTS = 1_024
 HIDDEN = 64
-# Sampled queries on which the number of visited parts is chosen, and the share of neighbours they must find.
+# Held-out vectors on which the number of visited parts is chosen, at most a fifth of the sample, and the share
+# of neighbours they must find.
 TRIALS, WANTED_RECALL = 500, 0.96
 # A bundle takes parts up to BUNDLE * sqrt(rows of the index) rows, at most BLOCK_ROWS: larger ones mean
 # fewer partial results, smaller ones more tasks. A larger part is a bundle of its own, in several blocks.
@@ -102,22 +105,25 @@ class Router:
 
 
 def fit_router(x: np.ndarray, parts: int, k: int, wanted: float, seed: int = 3) -> Router:
-    """Learn the parts of a sample and how many of them a query must visit."""
+    """Learn the parts of a sample and, on vectors held out of it, how many of them a query must visit."""
     rng = np.random.default_rng(seed)
     width = x.shape[1] if x.ndim == 2 else 0
     values = [rng.normal(0, (2 / max(width, 1)) ** 0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.1, (HIDDEN, parts)), np.zeros(parts)]
-    if parts == 1 or len(x) <= NEIGHBOURS:
+    trials = min(TRIALS, len(x) // 5)
+    if parts == 1 or not trials or len(x) - trials <= NEIGHBOURS:
         return Router(values[0], values[1], values[2][:, :1], values[3][:1])
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    graph = nearest(unit, unit, NEIGHBOURS, np.arange(len(x)))
+    every = x / np.linalg.norm(x, axis=1, keepdims=True)
+    shuffled = rng.permutation(len(x))
+    trial, unit = shuffled[:trials], every[shuffled[trials:]]
+    graph = nearest(unit, unit, NEIGHBOURS, np.arange(len(unit)))
     part = balanced_parts(graph, parts)
-    spread = np.zeros((len(x), parts))
-    np.add.at(spread, (np.repeat(np.arange(len(x)), NEIGHBOURS), part[graph].ravel()), 0.5 / NEIGHBOURS)
-    spread[np.arange(len(x)), part] += 0.5
+    spread = np.zeros((len(unit), parts))
+    np.add.at(spread, (np.repeat(np.arange(len(unit)), NEIGHBOURS), part[graph].ravel()), 0.5 / NEIGHBOURS)
+    spread[np.arange(len(unit)), part] += 0.5
     first, second, step = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     for _ in range(20):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 256):
+        order = rng.permutation(len(unit))
+        for at in range(0, len(unit), 256):
             rows = order[at : at + 256]
             raw = unit[rows] @ values[0] + values[1]
             hidden = np.maximum(raw, 0)
@@ -131,10 +137,9 @@ def fit_router(x: np.ndarray, parts: int, k: int, wanted: float, seed: int = 3)
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 values[i] = values[i] - 0.005 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     router = Router(*values)
-    trial = rng.permutation(len(x))[:TRIALS]
-    home = router.parts(unit, 1)[:, 0]
+    home = router.parts(every, 1)[:, 0]
     near = home[nearest(x[trial], x, k, trial)]
-    visited = router.parts(unit[trial], parts)
+    visited = router.parts(every[trial], parts)
     rank = np.empty_like(visited)
     np.put_along_axis(rank, visited, np.arange(parts)[None, :].repeat(len(trial), axis=0), axis=1)
     found = np.take_along_axis(rank, near, axis=1)
@@ -250,13 +255,15 @@ def search(
     Vectors that are null, zero, of another length than most, or that hold null
     or non-finite components take no part, nor do rows with a null vec_id.
     Repeated rows count once. The router is fitted on at most ``sample`` distinct
-    vectors, those of the smallest hash; all rows are indexed. Other columns are
-    not used.
+    vectors, or ``SAMPLE_PER_PART`` for each of at most ``MAX_PARTS`` parts, those
+    of the smallest hash; all rows are indexed. Other columns are not used.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "ann")
     chosen = F.coalesce(is_query, F.lit(False)).alias("is_query")
-    valid = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), chosen)
+    given = vectors.schema["embedding"].dataType.simpleString()
+    kind = given if given == "array<float>" else "array<double>"
+    valid = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), chosen)
     valid = valid.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     lengths = valid.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).limit(1).collect()
     width = lengths[0].width if lengths else 1
@@ -268,9 +275,9 @@ def search(
     distinct = work.write(distinct.withColumn("least", F.col("ids")[0]), "distinct")
     total = distinct.count()
     parts = 1
-    while parts < MAX_PARTS and parts * PART_ROWS < total:
+    while parts < MAX_PARTS and parts * parts < total:
         parts *= 2
-    drawn = distinct.orderBy(F.xxhash64("embedding"), "least").limit(sample).select("embedding").toArrow()
+    drawn = distinct.orderBy(F.xxhash64("embedding"), "least").limit(max(sample, SAMPLE_PER_PART * parts)).select("embedding").toArrow()
     router = fit_router(_matrix(drawn["embedding"], width), parts, k, wanted_recall)
 
     index = _routed(distinct, router, width, 1).withColumn("part", F.col("parts")[0]).drop("parts")
