@@ -85,7 +85,8 @@ def test_licenses(documents):
 def test_alignment_bridges_gaps():
     a = np.array([1, 2, 3, 4, 5, 6, 7, 8], dtype=np.uint64)
     text = np.array([90, 1, 2, 91, 3, 4, 6, 7, 8, 92], dtype=np.uint64)
-    assert licenses.align(a, text, 1, 3) == (7, 1, 9)
+    assert licenses.align(a, text, -2, 4) == (7, 1, 9)
+    assert licenses.align(a, text, 1, 1) == (5, 1, 9) and licenses.align(a, text[:0], -8, 0)[0] == 0
 
 
 def plain_fit(template, text):
@@ -102,6 +103,57 @@ def plain_fit(template, text):
     return row[end][1], row[end][2], end
 
 
+def whole_fit(template, text):
+    """Unbanded alignment of a template anywhere in a whole text, a template word at a time."""
+    score, match, places = 1 << 44, 1 << 28, np.arange(len(text) + 1, dtype=np.int64)
+    row = places.copy()
+    for word in template:
+        new = row - score
+        np.maximum(new[1:], row[:-1] + np.where(text == word, 2 * score + match, -score), out=new[1:])
+        row = np.maximum.accumulate(new + places * score) - places * score
+    end = int(np.argmax(row >> 44))
+    return int(row[end] >> 28) & 0xFFFF, int(row[end]) & (match - 1), end
+
+
+def test_licenses_like_unbanded_alignment_of_every_template_everywhere(spark, small):
+    """The whole table of documents: every template aligned with every whole text, then with what is left of it."""
+    folder = small.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    index = licenses.Index(licenses.TEMPLATES, licenses.MIN_COVERAGE, licenses.MARKS)
+    want = set()
+    for row in docs.collect():
+        text, _ = licenses._hashes(pa.array([row.text or ""]))
+        found = []
+        for number, template in enumerate(index.words):
+            parts, need = [(0, len(text))], 0.8 * len(template)
+            while parts:
+                a, z = parts.pop()
+                if z - a < need or np.isin(template, text[a:z]).sum() < need:
+                    continue
+                matched, start, end = whole_fit(template, text[a:z])
+                if matched >= need and all(licenses._runs_at(text[a + start : a + end], m) for m in index.marks[number]):
+                    found.append((number, a + start, a + end, matched, len(template)))
+                if end > start:
+                    parts += [(a, a + start), (a + end, z)]
+        want |= {(row.doc_id, index.names[t], s, e, m) for t, s, e, m, _ in licenses.apart(found)}
+    got = [(r.doc_id, r.license, r.start, r.end, r.matched) for r in licenses.scan_licenses(docs).collect()]
+    assert len(want) > 10 and set(got) == want and len(got) == len(want)
+
+
+def test_fingerprints_leave_most_runs_out_and_meet_every_long_stretch():
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 2**63, 5000, dtype=np.uint64)
+    grams, starts = licenses.winnow(text, np.array([0, 3000, 5000]), 3, 8)
+    assert 0.15 < len(grams) / 5000 < 0.3
+    for at in range(100, 2900, 37):
+        own, _ = licenses.winnow(text[at : at + 10], np.array([0, 10]), 3, 8)
+        assert np.isin(own, grams).all()
+    for words in range(1, 200):
+        gram, window = licenses.fingerprint_sizes(words, 0.8)
+        missing = words // 5
+        assert gram + window - 1 <= -(-(words - missing) // (missing + 1)) and gram >= 1 and window >= 1
+
+
 def test_licenses_with_insertions_cuts_and_other_versions(documents):
     """Every template is found with words inserted or left out in the middle and cut at either end, like unbanded alignment."""
     texts, want = [], {}
@@ -116,6 +168,9 @@ def test_licenses_with_insertions_cuts_and_other_versions(documents):
             for case in cases:
                 want[len(texts)] = (name, *plain_fit(words, case))
                 texts.append(" ".join(case))
+    for text, start, end in (("Released under a MIT License.", 0, 5), ("x released the MIT license y", 1, 5)):
+        want[len(texts)] = ("MIT line", 4, start, end)
+        texts.append(text)
     wrong = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "Licensed under the Apache License, Version 1.1.",
              "This work is licensed under the GNU General Public License, version 2.",
              "This work is licensed under the GNU Lesser General Public License, version 3."]

@@ -1,9 +1,17 @@
-"""License texts in documents: shared word runs find candidates, alignment over all their surroundings measures them.
+"""License texts in documents: winnowed fingerprints find candidates, banded alignment measures them.
 
 Texts are compared as lower-case runs of ASCII letters and digits and of all
-other non-ASCII bytes. Every template's ``GRAM``-word hashes make
-an inverted index of fixed size that travels to the tasks; each document is
-looked up where it is read, so nothing is shuffled.
+other non-ASCII bytes.
+
+1. *Fingerprints.* Of every window of hashed word runs the smallest is taken.
+   Run and window are as long as each template allows: an occurrence with the
+   wanted coverage has so few breaks that some stretch of it fills a window, and
+   a stretch that template and document share picks the same fingerprint in both.
+2. *Inverted index* of the templates' fingerprints, of fixed size, sent to the
+   tasks. Each document is looked up where it is read, nothing is shuffled.
+3. *Chains.* Hits of one template whose diagonals are within its length.
+4. *Alignment* of the whole template in a band around the chain: the spread of
+   its diagonals and a fifth of the template on either side.
 """
 
 from __future__ import annotations
@@ -18,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
-GRAM = 3
+# Longest run and window of a fingerprint.
+MAX_GRAM, MAX_WINDOW = 3, 8
 MIN_COVERAGE = 0.8
 MAX_INDEX_BYTES = 16 << 20
 
@@ -65,32 +74,46 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return W.word_hashes(found), found.rows
 
 
-class Index:
-    """The inverted index: sorted hashes of word runs with the template and position of each."""
+def fingerprint_sizes(words: int, min_coverage: float) -> tuple[int, int]:
+    """Run length and window for a template: their stretch is one that every occurrence without insertions holds.
 
-    def __init__(self, templates: dict[str, str], marks: dict[str, tuple[str, ...]] | None = None):
-        self.names = sorted(templates)
-        self.words, hashes, owners, places = [], [], [], []
-        for number, name in enumerate(self.names):
-            own, _ = _hashes(pa.array([templates[name]]))
-            if len(own) < GRAM:
-                raise ValueError(f"template {name!r} has fewer than {GRAM} words")
-            if len(own) > 0xFFFF:
-                raise ValueError(f"template {name!r} has more than {0xFFFF} words")
-            starts = np.arange(len(own) - GRAM + 1)
-            grams = W.range_hashes(own, starts, starts + GRAM, W.WORD_BASE)
-            self.words.append(own)
-            hashes.append(grams)
-            owners.append(np.full(len(grams), number))
-            places.append(starts)
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.grams, self.owner, self.place = (np.concatenate(x)[order] for x in (hashes, owners, places))
-        self.marks = [[_hashes(pa.array([m]))[0] for m in (marks or {}).get(name, ())] for name in self.names]
-        if sum(w.nbytes for w in self.words) + 3 * self.grams.nbytes > MAX_INDEX_BYTES:
-            raise ValueError("the templates are too large to send to every task")
+    With e words missing, the others form at most e + 1 stretches.
+    """
+    missing = int((1 - min_coverage) * words + 1e-9)
+    stretch = -(-(words - missing) // (missing + 1))
+    gram = min(MAX_GRAM, max(stretch - 1, min(stretch, 2)))
+    return gram, min(MAX_WINDOW, stretch - gram + 1)
+
+
+def winnow(hashes: np.ndarray, rows: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all texts and the word each begins at: the smallest run of every window, the last of equal ones."""
+    starts = W.window_starts(rows, gram)
+    grams = W.range_hashes(hashes, starts, starts + gram, W.WORD_BASE)
+    count = np.maximum(np.diff(rows) - gram + 1, 0)
+    own = np.concatenate([[0], np.cumsum(count)])
+    at = W.window_starts(own, window)
+    chosen = at.copy()
+    for shift in range(1, window):
+        chosen = np.where(grams[at + shift] <= grams[chosen], at + shift, chosen)
+    # A text of fewer runs than a window keeps them all.
+    short = np.flatnonzero((count > 0) & (count < window))
+    rest = [np.arange(own[i], own[i + 1]) for i in short]
+    chosen = np.unique(np.concatenate([chosen, *rest]))
+    return grams[chosen], starts[chosen]
+
+
+class _Postings:
+    """Sorted fingerprints of one size with the template and position of each."""
+
+    def __init__(self, entries: list[tuple[np.ndarray, int, np.ndarray]]):
+        grams = np.concatenate([g for g, _, _ in entries])
+        order = np.argsort(grams, kind="stable")
+        self.grams = grams[order]
+        self.owner = np.concatenate([np.full(len(g), number) for g, number, _ in entries])[order]
+        self.place = np.concatenate([p for _, _, p in entries])[order]
 
     def lookup(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position among ``grams``, entry of the index) of every hit."""
+        """(position among ``grams``, entry here) of every hit."""
         first = np.searchsorted(self.grams, grams, side="left")
         count = np.searchsorted(self.grams, grams, side="right") - first
         at = np.repeat(np.arange(len(grams)), count)
@@ -98,67 +121,111 @@ class Index:
         return at, np.repeat(first, count) + inner
 
 
-def fit(template: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Best alignment of the whole template anywhere in the text: (matched words, start, end in text).
+class Index:
+    """The inverted index of the templates' fingerprints, by their sizes."""
 
-    A match scores 2, a substitution or gap -1; the text's ends are free.
-    """
-    # A cell packs score, matched words and start, so that the larger one is the better one.
-    score, match, places = 1 << 44, 1 << 28, np.arange(len(text) + 1, dtype=np.int64)
-    row = places.copy()
-    for word in template:
-        new = row - score
-        np.maximum(new[1:], row[:-1] + np.where(text == word, 2 * score + match, -score), out=new[1:])
-        row = np.maximum.accumulate(new + places * score) - places * score
-    end = int(np.argmax(row >> 44))
-    return int(row[end] >> 28) & 0xFFFF, int(row[end]) & (match - 1), end
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, marks: dict[str, tuple[str, ...]] | None = None):
+        self.names = sorted(templates)
+        self.words = [_hashes(pa.array([templates[name]]))[0] for name in self.names]
+        by_size = defaultdict(list)
+        for number, (name, own) in enumerate(zip(self.names, self.words)):
+            if not 0 < len(own) <= 0xFFFF:
+                raise ValueError(f"template {name!r} has no or more than {0xFFFF} words")
+            sizes = fingerprint_sizes(len(own), min_coverage)
+            grams, places = winnow(own, np.array([0, len(own)]), *sizes)
+            by_size[sizes].append((grams, number, places))
+        self.postings = {sizes: _Postings(entries) for sizes, entries in by_size.items()}
+        self.marks = [[_hashes(pa.array([m]))[0] for m in (marks or {}).get(name, ())] for name in self.names]
+        if sum(w.nbytes for w in self.words) + 3 * sum(p.grams.nbytes for p in self.postings.values()) > MAX_INDEX_BYTES:
+            raise ValueError("the templates are too large to send to every task")
+
+    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word of all texts, template, place in the template) of every hit, by word."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for (gram, window), postings in self.postings.items():
+            grams, starts = winnow(hashes, rows, gram, window)
+            at, entry = postings.lookup(grams)
+            found.append((starts[at], postings.owner[entry], postings.place[entry]))
+        word, owner, place = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(word, kind="stable")
+        return word[order], owner[order], place[order]
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best alignment of the whole template within ``band`` words around a diagonal: (matched words, start, end in text)."""
-    first = max(0, diagonal - band)
-    matched, start, end = fit(template, text[first : max(first, diagonal + len(template) + band)])
-    return matched, first + start, first + end
+def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+    """Best alignment of the whole template in a band: (matched words, start, end in text).
+
+    Word i of the template may stand at words i + ``low`` to i + ``high`` of the
+    text. A match scores 2, a substitution or gap -1; the text's ends are free.
+    """
+    # A cell packs score, matched words and start, so that the larger one is the better one.
+    score, match, never = 1 << 44, 1 << 28, -(1 << 62)
+    place = np.arange(low, high + 1, dtype=np.int64)  # where a template's first i words may end, less i
+    steps = np.arange(len(place), dtype=np.int64) * score
+    row = np.where((place >= 0) & (place <= len(text)), place, never)
+    for i, word in enumerate(template):
+        end = place + i + 1
+        here = np.clip(end - 1, 0, max(len(text) - 1, 0))
+        same = (end >= 1) & (end <= len(text)) & (text[here] == word) if len(text) else np.zeros(len(end), dtype=bool)
+        new = row + np.where(same, 2 * score + match, -score)
+        # Past either border of the text there is no word to substitute.
+        new[(end < 1) | (end > len(text))] = never
+        np.maximum(new[:-1], row[1:] - score, out=new[:-1])
+        new[(end < 0) | (end > len(text))] = never
+        row = np.maximum.accumulate(new + steps) - steps
+        row[(row < never // 2) | (end < 0) | (end > len(text))] = never
+    best = int(np.argmax(row >> 44))
+    if row[best] == never:
+        return 0, 0, 0
+    return int(row[best] >> 28) & 0xFFFF, int(row[best]) & (match - 1), int(place[best]) + len(template)
 
 
 def _runs_at(text: np.ndarray, run: np.ndarray) -> bool:
     return len(text) >= len(run) and bool((np.lib.stride_tricks.sliding_window_view(text, len(run)) == run).all(axis=1).any())
 
 
-def occurrences(template: np.ndarray, text: np.ndarray, min_coverage: float, marks: list[np.ndarray]) -> list[tuple[int, int, int]]:
-    """(start, end, matched) of the best alignment, then of what lies before and after it."""
-    found, parts = [], [(0, len(text))]
+def occurrences(
+    template: np.ndarray, text: np.ndarray, low: int, high: int, min_coverage: float, marks: list[np.ndarray]
+) -> list[tuple[int, int, int]]:
+    """(start, end, matched) of the best alignment in the band, then of what lies before and after it."""
+    need = min_coverage * len(template)
+    found, parts = [], [(max(0, low), min(len(text), high + len(template)))]
     while parts:
-        low, high = parts.pop()
-        part = text[low:high]
+        a, z = parts.pop()
+        part = text[max(a, 0) : z]
         # Too few of the template's words: no alignment can reach the coverage.
-        if len(part) < min_coverage * len(template) or np.isin(template, part).sum() < min_coverage * len(template):
+        if len(part) < need or np.isin(template, part).sum() < need:
+            continue
+        lowest, highest = max(low - a, -len(template)), min(high - a, len(part))
+        if lowest > highest:
             continue
-        matched, start, end = fit(template, part)
-        if matched >= min_coverage * len(template) and all(_runs_at(part[start:end], m) for m in marks):
-            found.append((low + start, low + end, matched))
+        matched, start, end = align(template, part, lowest, highest)
+        if matched >= need and all(_runs_at(part[start:end], m) for m in marks):
+            found.append((a + start, a + end, matched))
         if end > start:
-            parts += [(low, low + start), (low + end, high)]
+            parts += [(a, a + start), (a + end, z)]
     return found
 
 
-def spans_of(index: Index, text: np.ndarray, at: np.ndarray, entry: np.ndarray, min_coverage: float) -> list[tuple]:
+def spans_of(index: Index, text: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, min_coverage: float) -> list[tuple]:
     """Aligned occurrences in one text: (template, start, end, matched, words), no two overlapping."""
     found = []
-    by_template = defaultdict(list)
-    for position, e in zip(at, entry):
-        by_template[int(index.owner[e])].append(int(position) - int(index.place[e]))
-    for owner, diagonals in by_template.items():
-        template, size = index.words[owner], len(index.words[owner])
-        diagonals = np.unique(diagonals)
+    for number in np.unique(owner).tolist():
+        template, size = index.words[number], len(index.words[number])
+        diagonals = np.unique((at - place)[owner == number])
+        slack = size // 5 + 1
         while len(diagonals):
-            # Hits within a template's length, with room for as many inserted words: more cost more than they join.
+            # A chain: hits within a template's length, with room for as many inserted words: more cost more than they join.
             near = int(np.searchsorted(diagonals, diagonals[0] + size, side="right"))
-            low, high = max(0, int(diagonals[0]) - size), max(0, int(diagonals[near - 1]) + 2 * size)
+            low, high = int(diagonals[0]) - slack, int(diagonals[near - 1]) + slack
             diagonals = diagonals[near:]
-            for start, end, matched in occurrences(template, text[low:high], min_coverage, index.marks[owner]):
-                found.append((owner, low + start, low + end, matched, size))
-    found.sort(key=lambda f: (-f[3], f[2] - f[1], f[0], f[1]))
+            for start, end, matched in occurrences(template, text, low, high, min_coverage, index.marks[number]):
+                found.append((number, start, end, matched, size))
+    return apart(found)
+
+
+def apart(found: list[tuple]) -> list[tuple]:
+    """Of overlapping occurrences the one with more matched words, then the shorter, then that of the smaller name."""
+    found = sorted(set(found), key=lambda f: (-f[3], f[2] - f[1], f[0], f[1]))
     starts: list[int] = []
     taken: dict[int, tuple] = {}
     for one in found:
@@ -186,21 +253,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     Null and empty texts hold none. Repeated rows are reported each; null ids
     are kept. Other columns are not used.
     """
-    index = Index(TEMPLATES, MARKS) if templates is None else Index(templates)
+    index = Index(TEMPLATES, min_coverage, MARKS) if templates is None else Index(templates, min_coverage)
 
     def run(batches):
         for batch in batches:
             for piece in W.slices(batch, "text"):
                 hashes, rows = _hashes(piece.column("text"))
-                starts = W.window_starts(rows, GRAM)
-                at, entry = index.lookup(W.range_hashes(hashes, starts, starts + GRAM, W.WORD_BASE))
-                place = starts[at]
-                owner = np.searchsorted(rows, place, side="right") - 1
+                word, owner, place = index.hits(hashes, rows)
+                bounds = np.searchsorted(word, rows)
                 out = []
-                for row in np.unique(owner):
-                    own, first = owner == row, rows[row]
-                    text = hashes[first : rows[row + 1]]
-                    for t, start, end, matched, size in spans_of(index, text, place[own] - first, entry[own], min_coverage):
+                for row in np.flatnonzero(np.diff(bounds)):
+                    own = slice(bounds[row], bounds[row + 1])
+                    text = hashes[rows[row] : rows[row + 1]]
+                    for t, start, end, matched, size in spans_of(index, text, word[own] - rows[row], owner[own], place[own], min_coverage):
                         out.append((int(row), index.names[t], start, end, matched, size, round(matched / size, 6)))
                 if out:
                     columns = list(zip(*out))
