@@ -80,6 +80,25 @@ def _setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+# Folders of the workspaces made within each open ``temporary_tables`` block.
+_BLOCKS: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Delete the tables of every workspace made within the block when it ends.
+
+    For jobs that write their result before the block ends: nothing lazy that
+    came out of it can be read afterwards.
+    """
+    _BLOCKS.append([])
+    try:
+        yield
+    finally:
+        for folder in _BLOCKS.pop():
+            _delete(spark, folder)
+
+
 class Workspace:
     """The intermediate tables of one job in the shared folder.
 
@@ -93,6 +112,8 @@ class Workspace:
         self.spark = spark
         self.root = work_path(spark, name)
         self._paths: dict[str, str] = {}
+        if _BLOCKS:
+            _BLOCKS[-1].append(self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as a Parquet table of this name, replacing an earlier one, and read it."""
