@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketweave.llm import decontaminate, neardup, quality, queries, sharding
-from ticketweave.session import Workspace
+from ticketweave.session import Workspace, temporary_tables
 
 SHARDS = 8
-# The network and the sampling have no SQL form; tests compare the stages with brute force.
+# The network has no SQL form; tests compare the stages' decisions with plain Python.
 ORACLE_SQL = None
 
 
@@ -51,9 +51,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and deleted when the next one is written."""
     docs = queries.table(spark, sf_dir, "documents")
     work = Workspace(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
-        docs = work.write(stage(spark, docs, sf_dir), f"stage-{number}")
+        with temporary_tables(spark):
+            docs = work.write(stage(spark, docs, sf_dir), f"stage-{number}")
+        work.drop(f"stage-{number - 1}")
     return docs

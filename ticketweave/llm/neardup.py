@@ -300,9 +300,10 @@ class _Matcher:
         met = met.filter("c_a <> c_b AND (c_b = main OR id_a > id_b)").filter(close)
         met = met.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
         links = self.verify(met, "pairs").unionAll(self._within(placed.filter(F.col("rest") > FEW_STRAYS)))
-        if not links.limit(1).count():
-            return of
-        return components(links.unionAll(of.select(F.col("id").alias("a"), F.col("component").alias("b"))), work, "of-all")
+        if links.limit(1).count():
+            of = components(links.unionAll(of.select(F.col("id").alias("a"), F.col("component").alias("b"))), work, "of-all")
+        work.drop("sets", "mixed", "unsettled", "pairs", "within")
+        return of
 
     def _unsettled(self, placed: DataFrame, of: DataFrame) -> DataFrame:
         """Members of buckets that hold several components.
