@@ -479,3 +479,29 @@ def test_words_of_slices_and_hashes():
     assert np.diff(found.rows).tolist() == [3, 0, 0, 2, 1] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
     batch = pa.record_batch([texts], names=["text"])
     assert [s.num_rows for s in words.slices(batch, "text", 10)] == [4, 1]
+
+
+def test_registered_domains_by_a_table_of_suffixes(spark):
+    names = ["a.b.co.nz", "co.nz", "x.gov.uk", "y.z.k12.ca.us", "w.example.com", "localhost", "q.r.unknown"]
+    given = spark.createDataFrame([(n,) for n in names + names[:2]], "host string")
+    listed = spark.createDataFrame([("CO.nz",), ("gov.uk",), ("us",), ("k12.ca.us",), ("",), (None,), ("co.nz",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts_table(given, listed)}
+    assert got == {
+        "a.b.co.nz": ("b.co.nz", "co.nz"), "co.nz": ("co.nz", "co.nz"), "x.gov.uk": ("x.gov.uk", "gov.uk"),
+        "y.z.k12.ca.us": ("z.k12.ca.us", "k12.ca.us"), "w.example.com": ("example.com", "com"),
+        "localhost": ("localhost", "localhost"), "q.r.unknown": ("r.unknown", "unknown")}
+    plain = {r.host: (r.domain, r.suffix) for r in hosts_table(given, None)}
+    assert plain["a.b.co.nz"] == ("co.nz", "nz") and len(plain) == len(names)
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h in enumerate(["a.spam.co.nz", "b.fine.co.nz"] * 40)], "page_id bigint, url string")
+    outcomes = spark.createDataFrame([(i, i % 2) for i in range(60)], "page_id bigint, good int")
+    for suffixes in (listed, None):
+        verdicts = {r.host: r.verdict for r in judge_rows(pages, outcomes, suffixes)}
+        assert verdicts == {"a.spam.co.nz": "block", "b.fine.co.nz": "allow"}
+
+
+def hosts_table(frame, listed):
+    return hosts.registered(frame, listed).collect()
+
+
+def judge_rows(pages, outcomes, suffixes):
+    return hosts.judge(pages, outcomes, {}, suffixes=suffixes).select("host", "verdict").distinct().collect()

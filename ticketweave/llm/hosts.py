@@ -20,8 +20,10 @@ WANTED_SHARE = 0.7
 # Standard deviations from the posterior mean to its bound (95 % one-sided).
 DEVIATIONS = 1.6448536269514722
 MIN_CORRELATION, MAX_CORRELATION = 0.001, 0.5
-# Suffixes of two labels under which names are registered.
+# Suffixes of two labels under which names are registered, where no table of suffixes is given.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+# Labels that a suffix of a table has at most.
+MAX_LABELS = 5
 BROADCAST_HOSTS = 100_000
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +49,26 @@ def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Co
     return F.when(two.isin(list(two_label)), F.substring_index(host, ".", -3)).otherwise(two)
 
 
+def registered(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, domain, suffix) of the distinct hosts.
+
+    ``suffixes`` (suffix) lists the suffixes under which names are registered,
+    like ``co.uk``; the longest that fits counts, the last label if none does.
+    Without it the last label and ``TWO_LABEL_SUFFIXES`` are such.
+    """
+    hosts = hosts.select("host").distinct()
+    if suffixes is None:
+        return hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    listed = suffixes.select(F.translate("suffix", UPPER, LOWER).alias("tail")).filter("tail <> ''").distinct()
+    few = listed.count() <= BROADCAST_HOSTS
+    labels = F.explode(F.sequence(F.lit(1), F.least(F.size(F.split("host", r"\.")), F.lit(MAX_LABELS)))).alias("labels")
+    tails = hosts.select("host", labels).withColumn("tail", F.expr("substring_index(host, '.', -labels)"))
+    longest = tails.join(F.broadcast(listed) if few else listed, "tail").groupBy("host").agg(F.max("labels").alias("labels"))
+    named = hosts.join(longest, "host", "left").fillna(1, ["labels"])
+    cut = lambda more: F.expr(f"substring_index(host, '.', -(labels + {more}))")
+    return named.select("host", cut(1).alias("domain"), cut(0).alias("suffix"))
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[str]) -> Column:
     """The longest of the rules (``host/path``) that fits; null if none does."""
     found = F.lit(None).cast("string")
@@ -72,14 +94,14 @@ def _shrunk(level: DataFrame, name: str) -> DataFrame:
     return level.select(name, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
 
 
-def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+def host_reputation(outcomes: DataFrame, hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, mean, upper) for every host of ``hosts``, from outcomes (host, good).
 
     ``good`` is 0 or 1; other outcomes and null or empty hosts are ignored.
     A host without outcomes has its domain's mean, and so on upward; with no
     outcomes at all the mean is one half.
     """
-    named = hosts.select("host").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    named = registered(hosts, suffixes)
     counts = outcomes.filter(F.col("good").isin(0, 1) & (F.col("host") != "")).groupBy("host").agg(
         F.count("*").cast("double").alias("n"), F.sum("good").cast("double").alias("y")
     )
@@ -98,7 +120,11 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: dict[str, str], wanted: float = WANTED_SHARE
+    pages: DataFrame,
+    outcomes: DataFrame,
+    rules: dict[str, str],
+    wanted: float = WANTED_SHARE,
+    suffixes: DataFrame | None = None,
 ) -> DataFrame:
     """A verdict for each row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, mean, upper.
 
@@ -106,7 +132,7 @@ def judge(
     ``allow`` or ``block``; a rule fits its host and all subdomains if the path
     starts with its path, and the longest one decides. Elsewhere a page is
     blocked when the upper bound of its host's share of good pages is below
-    ``wanted``.
+    ``wanted``. ``suffixes`` is a table of public suffixes, as for ``registered``.
 
     A null url, or one without ``://``, has empty host and path, no rule and the
     verdict allow. Outcomes of absent pages count nowhere; every outcome row
@@ -117,7 +143,7 @@ def judge(
     work = Workspace(pages.sparkSession, "judge")
     parsed = work.write(parsed, "parsed")
     labelled = parsed.join(outcomes.select("page_id", "good"), "page_id").select("host", "good")
-    known = work.write(host_reputation(labelled, parsed.filter("host <> ''")), "reputation")
+    known = work.write(host_reputation(labelled, parsed.filter("host <> ''"), suffixes), "reputation")
     few = known.count() <= BROADCAST_HOSTS
     joined = parsed.join(F.broadcast(known) if few else known, "host", "left")
     rule = matching_rule(F.col("host"), F.col("path"), list(rules))
