@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,20 +66,24 @@ def classify_stream(
 
 def similar_stream(
     arrivals: DataFrame,
-    index: DataFrame,
+    index: DataFrame | stored.TicketIndex,
     out: str,
     checkpoint: str,
     k: int = 11,
-    stopwords: Iterable[str] = (),
+    stopwords: Iterable[str] | None = None,
 ) -> StreamingQuery:
     """Find the similar indexed tickets of each arriving one.
 
-    Every batch is written to a folder named after its number and replaces what
+    A table of vectors is read whole by every batch; of a stored index only the
+    postings that the batch needs, with the index's own settings. Every batch is written to a folder named after its number and replaces what
     an interrupted attempt left there, so a replayed batch is not counted twice.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        found = triage.find_similar(batch, index, k, stopwords=stopwords)
+        if isinstance(index, stored.TicketIndex):
+            found = stored.search_index(batch, replace(index, spark=batch.sparkSession), k, stopwords=stopwords)
+        else:
+            found = triage.find_similar(batch, index, k, stopwords=stopwords or ())
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return (
