@@ -207,7 +207,7 @@ def test_nothing_that_travels_grows_with_the_classes(spark):
         model = triage.train(rows, clean_corpus=False)
         assert model.documents().count() == number
         vectors = with_terms(rows, "description", False)
-        scorer = bayes._scorer(*bayes.store(model), 10, 10, vectors.schema, bayes.ALL, None)
+        scorer = bayes._scorer(*bayes.store(model), 1.0, 10, 10, vectors.schema, bayes.ALL, None)
         sizes.append(len(cloudpickle.dumps(scorer)))
     assert abs(sizes[0] - sizes[1]) < 100
 

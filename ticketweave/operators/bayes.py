@@ -17,7 +17,6 @@ number of classes.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,7 +152,7 @@ class NaiveBayes:
 class _Part:
     """What the pairs of some buckets add, by (model, bucket)."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, smoothing: float):
         keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "bucket")))
         order = np.argsort(keys)
         self.keys = keys[order]
@@ -161,7 +160,9 @@ class _Part:
         pairs = batch.column("pairs")
         offsets = pairs.offsets.to_numpy().astype(np.int64)
         self.first, self.number = (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order]
-        self.classes, self.gains = (a.to_numpy(zero_copy_only=False) for a in pairs.flatten().flatten())
+        self.classes, mass = (a.to_numpy(zero_copy_only=False) for a in pairs.flatten().flatten())
+        # What a pair adds beyond what its absence would.
+        self.gains = np.log(mass + smoothing) - np.log(smoothing)
 
     def size(self) -> int:
         return sum(a.nbytes for a in (self.keys, self.idf, self.first, self.number, self.classes, self.gains))
@@ -174,8 +175,9 @@ def _keys(model: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 class _Model:
     """The stored model as one task sees it: the classes, and the pairs part by part."""
 
-    def __init__(self, class_path: str, pair_path: str, part_buckets: int, cache_bytes: int):
-        self.pair_path, self.part_buckets, self.room = pair_path, part_buckets, cache_bytes
+    def __init__(self, class_path: str, pair_path: str, smoothing: float, part_buckets: int, cache_bytes: int):
+        self.pair_path, self.smoothing = pair_path, smoothing
+        self.part_buckets, self.room = part_buckets, cache_bytes
         self.kept: list[_Part] = []
         self.all_kept = False
         batches = list(read_side(class_path, ["model", "class", "label", "prior", "tail"], CELLS))
@@ -196,7 +198,7 @@ class _Model:
         for number, batch in enumerate(read_side(self.pair_path, ["model", "bucket", "idf", "pairs"], self.part_buckets)):
             if number < len(self.kept):
                 continue
-            part = _Part(batch)
+            part = _Part(batch, self.smoothing)
             if number == len(self.kept) and part.size() <= self.room:
                 self.room -= part.size()
                 self.kept.append(part)
@@ -234,14 +236,14 @@ class _Model:
         return out
 
 
-def _scorer(class_path: str, pair_path: str, part_buckets: int, cache_bytes: int, schema: T.StructType, constant, key_column):
+def _scorer(class_path: str, pair_path: str, smoothing: float, part_buckets: int, cache_bytes: int, schema: T.StructType, constant, key_column):
     """A ``mapInArrow`` function adding the best class and its score to each row."""
     names = schema.fieldNames()
 
     def score(batches):
         model = None
         for whole in batches:
-            model = model or _Model(class_path, pair_path, part_buckets, cache_bytes)
+            model = model or _Model(class_path, pair_path, smoothing, part_buckets, cache_bytes)
             step = max(1, CELLS // model.most)
             for start in range(0, whole.num_rows, step):
                 batch = whole.slice(start, step)
@@ -264,28 +266,28 @@ def store(model: NaiveBayes, keys: list[int] | None = None) -> tuple[str, str]:
     """Write the tables that scoring reads: classes (model, class, label, prior, tail) and pairs by (model, bucket)."""
     if model.smoothing <= 0:
         raise ValueError("scoring needs a positive smoothing")
+    spark = model.counts.sparkSession
     counts = model.counts if keys is None else model.counts.filter(F.col("model").isin(keys))
-    if counts.isEmpty():
-        raise LookupError("the model has no classes")
     lam = float(model.smoothing)
     part = NaiveBayes(counts, lam, model.num_features, model.min_doc_freq)
-    number = F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1
-    classes = part.priors().withColumn("class", number.cast("int"))
-    # One shuffle by bucket gives document frequencies, idf and, with class numbers joined before, the pairs.
-    cells = counts.filter(F.col("bucket") != DOCUMENT).join(part._sizes(), "model")
-    doc_freq = F.sum("docs").over(Window.partitionBy("model", "bucket"))
-    idf = idf_column(F.col("n_all"), doc_freq, model.min_doc_freq)
-    weighted = cells.select("model", "label", "bucket", "tf", idf).filter("idf <> 0").withColumn("mass", F.col("tf") * F.col("idf"))
-    total = weighted.groupBy("model", "label").agg(F.sum("mass").alias("total"))
+    number = (F.row_number().over(Window.partitionBy("model").orderBy("label")) - 1).cast("int")
+    numbered = part.priors().withColumn("class", number).join(part._sizes().select("model", "n_all"), "model")
+    classes = spark.read.parquet(write_side(numbered, "numbered"))
+    if classes.isEmpty():
+        raise LookupError("the model has no classes")
+    cells = counts.filter(F.col("bucket") != DOCUMENT).join(classes.select("model", "label", "class", "n_all"), ["model", "label"])
+    # One shuffle by bucket gives document frequencies, idf and all pairs of a bucket.
+    buckets = cells.groupBy("model", "bucket").agg(
+        F.sum("docs").alias("doc_freq"), F.first("n_all").alias("n_all"), F.sort_array(F.collect_list(F.struct("class", "tf"))).alias("cells")
+    )
+    buckets = buckets.select("model", "bucket", "cells", idf_column(F.col("n_all"), F.col("doc_freq"), model.min_doc_freq)).filter("idf <> 0")
+    mass = F.transform("cells", lambda c: F.struct(c["class"].alias("class"), (c["tf"] * F.col("idf")).alias("mass")))
+    pair_path = write_side(buckets.select("model", "bucket", "idf", mass.alias("pairs")).sortWithinPartitions("model", "bucket"), "pairs")
+    stored = spark.read.parquet(pair_path)
+    total = stored.select("model", F.inline("pairs")).groupBy("model", "class").agg(F.sum("mass").alias("total"))
     tail = np.log(lam) - F.log(F.coalesce("total", F.lit(0.0)) + lam * model.num_features)
-    placed = classes.join(total, ["model", "label"], "left").select("model", "class", "label", F.col("log_prior").alias("prior"), tail.alias("tail"))
-    pair = F.struct("class", (F.log(F.col("mass") + lam) - np.log(lam)).alias("gain"))
-    numbered = weighted.join(classes.select("model", "label", "class"), ["model", "label"])
-    pairs = numbered.groupBy("model", "bucket").agg(F.first("idf").alias("idf"), F.sort_array(F.collect_list(pair)).alias("pairs"))
-    with ThreadPoolExecutor(2) as pool:
-        class_path = pool.submit(write_side, placed, "classes")
-        pair_path = write_side(pairs.sortWithinPartitions("model", "bucket"), "pairs")
-        return class_path.result(), pair_path
+    placed = classes.join(total, ["model", "class"], "left")
+    return write_side(placed.select("model", "class", "label", F.col("log_prior").alias("prior"), tail.alias("tail")), "classes"), pair_path
 
 
 def classify(
@@ -310,4 +312,4 @@ def classify(
     )
     column, constant = (key, None) if isinstance(key, str) else (None, key)
     paths = store(model, None if constant is None else [int(constant)])
-    return vectors.mapInArrow(_scorer(*paths, part_buckets, cache_bytes, schema, constant, column), schema)
+    return vectors.mapInArrow(_scorer(*paths, float(model.smoothing), part_buckets, cache_bytes, schema, constant, column), schema)
