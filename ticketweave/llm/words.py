@@ -86,6 +86,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Known(dict):
+    """Values computed before; a copy that travels to a worker starts empty."""
+
+    def __reduce__(self):
+        return _Known, ()
+
+
+_POWERS = _Known()
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, 0 <= exponent <= size."""
 
@@ -94,7 +104,10 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return run(base), run(pow(base, -1, 1 << 64))
+    # Sizes are powers of two, so there are few.
+    if (base, size) not in _POWERS:
+        _POWERS[base, size] = run(base), run(pow(base, -1, 1 << 64))
+    return _POWERS[base, size]
 
 
 def _prefix(values: np.ndarray, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
