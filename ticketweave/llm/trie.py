@@ -82,6 +82,8 @@ def number_turns(conversations: DataFrame, work: Workspace) -> DataFrame:
         # Parts equal rows, whichever way.
         F.monotonically_increasing_id().alias("row"),
     )
+    # Written, as a sort by ranges reads its input twice.
+    turns = work.write(turns, "keyed")
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("k1"), F.col("k2"), F.col("row")]
     ordered = turns.repartitionByRange(*order).sortWithinPartitions(*order).drop("row", "turn")
     part, _ = _place()
@@ -91,7 +93,7 @@ def number_turns(conversations: DataFrame, work: Workspace) -> DataFrame:
     runs = runs.select("conv_id", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
     numbered = ordered.join(runs, ["conv_id", "part"])
     numbered = work.write(numbered.select("conv_id", (F.col("at") + F.col("shift")).alias("d"), "k1", "k2", "w"), "turns")
-    work.drop("ordered")
+    work.drop("keyed", "ordered")
     return numbered
 
 
