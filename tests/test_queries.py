@@ -10,7 +10,10 @@ from ticketweave.plans import registry, table_queries, text_queries, triage
 from ticketweave.session import materialize
 
 # Queries that start streams or fit models have no single plan to look at.
-EAGER = ("stream_classify", "stream_similar", "cv_ml", "ml_pipeline")
+EAGER = (
+    "stream_classify", "stream_similar", "stream_index", "stream_replayed", "stream_many_owners", "stream_similar_indexed",
+    "cv_ml", "ml_pipeline",
+)
 
 
 
