@@ -61,7 +61,7 @@ class _Block:
         self.dense[np.repeat(np.arange(len(self.ids)), np.diff(offsets)), buckets] = weights
 
 
-def _chunks(batches, rows: int):
+def chunks(batches, rows: int):
     """Batches of about ``rows`` rows: short ones joined, long ones as they come."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -84,7 +84,7 @@ def _scorer(path: str, queries: int, block_queries: int, chunk_rows: int, k: int
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         nothing = (np.empty(0), np.empty(0, dtype=np.int64))
         single = list(blocks()) if queries <= block_queries else None
-        for chunk in _chunks(batches, chunk_rows):
+        for chunk in chunks(batches, chunk_rows):
             ids = chunk["id"].to_numpy()
             terms = chunk["terms"].combine_chunks()
             rows, cols, weights = kernels.csr_parts(terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms)
