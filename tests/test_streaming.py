@@ -99,3 +99,25 @@ def test_replayed_tickets_come_once(spark, tmp_path):
     assert run() == [0, 1, 2, 3, 4, 7, 8, 9]
     timed(rows([3, 4], 200)).coalesce(1).write.mode("append").parquet(source)
     assert run() == [0, 1, 2, 3, 4, 7, 8, 9]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_arrives_as_file_or_folder(spark, docs, tmp_path, files):
+    path, new = str(tmp_path / "documents.parquet"), docs.drop("assigned_to")
+    new.repartition(files).write.parquet(path)
+    if files == 1:
+        (path,) = spark.read.parquet(path).inputFiles()
+    stream = arrivals.read_table_arrivals(spark, path, SCHEMA)
+    out = str(tmp_path / "out")
+    arrivals.classify_stream(stream, triage.train(docs), out, str(tmp_path / "checkpoint")).awaitTermination()
+    assert spark.read.parquet(out).count() == docs.count()
+
+
+def test_stream_classify_reads_a_folder_of_files(spark, small, tmp_path):
+    from ticketweave.plans import registry
+
+    registry.load_all()
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{small}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    got, want = (registry.QUERIES["stream_classify"](spark, folder) for folder in (str(tmp_path), small))
+    assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0

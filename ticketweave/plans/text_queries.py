@@ -307,7 +307,7 @@ BENCHMARK_SCHEMA = "item_id bigint, text string"
 @query("stream_classify", PREDICTED_SQL)
 def stream_classify(spark, sf):
     model = triage.train(assigned(spark, sf), stopwords=STOPWORDS)
-    arriving = arrivals.read_arrivals(spark, sf, DOCUMENT_SCHEMA, "documents.parquet")
+    arriving = arrivals.read_table_arrivals(spark, f"{sf}/documents.parquet", DOCUMENT_SCHEMA)
     new = readers.load_summary(arriving, "doc_id", "text").join(known(spark, sf), "id", "left_anti")
     out = work_path(spark, "classified")
     arrivals.classify_stream(
@@ -321,7 +321,7 @@ def stream_classify(spark, sf):
 def stream_similar(spark, sf):
     index = triage.build_index(summaries(spark, sf), work_path(spark, "index"), stopwords=STOPWORDS)
     arriving = readers.load_summary(
-        arrivals.read_arrivals(spark, sf, BENCHMARK_SCHEMA, "benchmark.parquet"), "item_id", "text"
+        arrivals.read_table_arrivals(spark, f"{sf}/benchmark.parquet", BENCHMARK_SCHEMA), "item_id", "text"
     )
     out = work_path(spark, "similar")
     arrivals.similar_stream(

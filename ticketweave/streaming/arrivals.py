@@ -27,6 +27,12 @@ def read_arrivals(
     return reader.load(folder)
 
 
+def read_table_arrivals(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored table as a stream of its files, whether ``path`` is one file or a folder of them."""
+    # A stream's source must be a folder or a glob, and a glob also takes a single file.
+    return read_arrivals(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def first_arrivals(arrivals: DataFrame, time: str, delay: str, key: str = "id") -> DataFrame:
     """Each ticket once, however often its row arrives again.
 
