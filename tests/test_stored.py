@@ -97,3 +97,22 @@ def test_the_bitmap_lets_few_others_through(spark):
     marked = keyed._may_be_listed(spark.range(40_000).selectExpr("cast(id AS string) AS k"), F.col("k"), bitmap, bits)
     inside, outside = (marked.filter(c).agg(F.avg(F.col("maybe").cast("int"))).first()[0] for c in ("cast(key AS int) < 20000", "cast(key AS int) >= 20000"))
     assert inside == 1.0 and outside < 0.05
+
+
+def test_small_parts_add_no_files(spark, tmp_path):
+    frame = spark.range(3000).selectExpr("id", "nullif(id % 7, 0) AS name")
+    table = stored.write_sorted(frame, str(tmp_path), [("name", False), ("id", False)], rows_per_part=10)
+    assert table._ranges().count() == 300
+    assert len(spark.read.parquet(f"{tmp_path}/rows").inputFiles()) <= 2
+    rows = [tuple(r) for r in frame.orderBy(*listing.order_of(list(table.columns))).collect()]
+    assert [tuple(r) for r in table.page_after((rows[2571][1], rows[2571][0]), 25).collect()] == rows[2572:2597]
+
+
+def test_parts_of_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "ROWS_PER_FILE", 40)
+    frame = spark.range(300).selectExpr("id", "id % 3 AS name")
+    table = stored.write_sorted(frame, str(tmp_path), [("name", True), ("id", False)], rows_per_part=15)
+    assert len(spark.read.parquet(f"{tmp_path}/rows").inputFiles()) > 4
+    rows = [tuple(r) for r in frame.orderBy(*listing.order_of(list(table.columns))).collect()]
+    for at in (0, 38, 99, 100, 200, 290):
+        assert [tuple(r) for r in table.page_after((rows[at][1], rows[at][0]), 20).collect()] == rows[at + 1 : at + 21]

@@ -20,7 +20,11 @@ from .readers import read_if_present
 BUCKETS = 64
 # Changed rows up to which the touched buckets are rewritten where they are read.
 BROADCAST_CHANGES = 100_000
+# Rows of a part of a sorted table, and of a file, which holds several parts where these are smaller.
 ROWS_PER_PART = 100_000
+ROWS_PER_FILE = 100_000
+# A part's number is that of its file and, in the bits below, its place there.
+FILE_SHIFT = 32
 
 BUCKET_MANIFEST = "version bigint, key string, buckets int, schema string, folders map<int,string>"
 SORT_MANIFEST = "columns array<struct<name:string,descending:boolean>>, schema string"
@@ -134,25 +138,31 @@ class SortedTable:
     def page_after(self, last: tuple | None, size: int) -> DataFrame:
         """The ``size`` rows after the one with sort values ``last``, or the first ones; reads the parts they lie in."""
         parts = self.parts_after(last, size)
-        rows = self.spark.read.schema(f"{self.schema}, part int").parquet(f"{self.root}/rows")
-        rows = rows.filter(F.col("part").isin(parts)).drop("part")
+        rows = self.spark.read.schema(f"{self.schema}, part bigint, file int").parquet(f"{self.root}/rows")
+        files = sorted({part >> FILE_SHIFT for part in parts})
+        rows = rows.filter(F.col("file").isin(files) & F.col("part").isin(parts)).drop("part", "file")
         if last is None:
             return rows.orderBy(*listing.order_of(list(self.columns))).limit(size)
         return listing.page_after(rows, list(self.columns), last, size)
 
 
 def write_sorted(df: DataFrame, root: str, columns: list[tuple[str, bool]], rows_per_part: int = ROWS_PER_PART) -> SortedTable:
-    """Write a table in order, in parts of about ``rows_per_part`` rows.
+    """Write a table in order, in parts of ``rows_per_part`` rows.
 
-    Nulls lead where a column descends and are last where it ascends.
+    Nulls lead where a column descends and are last where it ascends. Files hold
+    about ``ROWS_PER_FILE`` rows, or one part if that is larger: small parts add
+    rows to the table of ranges, but no task, file or folder.
     """
     spark, order = df.sparkSession, listing.order_of(columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    parts = df.count() // rows_per_part + 1
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
-    ordered.write.partitionBy("part").parquet(f"{root}/rows")
-    rows = spark.read.schema(f"{schema}, _place bigint, part int").parquet(f"{root}/rows")
+    files = df.count() // max(rows_per_part, ROWS_PER_FILE) + 1
+    ordered = df.repartitionByRange(files, *order).withColumn("file", F.spark_partition_id()).sortWithinPartitions("file", *order)
+    ordered = ordered.withColumn("_place", F.monotonically_increasing_id())
+    # The lower 33 bits of that id count the rows of the partition.
+    within = F.floor(F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(rows_per_part)).cast("bigint")
+    ordered = ordered.withColumn("part", F.shiftleft(F.col("file").cast("bigint"), FILE_SHIFT) + within)
+    ordered.write.partitionBy("file").parquet(f"{root}/rows")
+    rows = spark.read.schema(f"{schema}, _place bigint, part bigint, file int").parquet(f"{root}/rows")
     last = F.max_by(F.struct(*[n for n, _ in columns]), "_place").alias("last")
     ranges = rows.groupBy("part").agg(F.count("*").alias("n"), last)
     ranges.coalesce(1).write.parquet(f"{root}/ranges")
