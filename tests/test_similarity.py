@@ -147,3 +147,41 @@ def test_idf_table(spark):
     rows = [(1, "satu dua"), (2, "satu"), (3, "tiga")]
     table = similarity.idf_table(vectors(spark, rows), 3, 2).collect()
     assert sorted((r.doc_freq, round(r.idf, 6)) for r in table) == [(1, 0.0), (1, 0.0), (2, 0.287682)]
+
+
+def test_chunks_are_bounded_by_terms():
+    import pyarrow as pa
+
+    def batch(start, sizes):
+        terms = pa.array([[{"bucket": b, "tf": 1} for b in range(n)] for n in sizes], pa.list_(pa.struct([("bucket", pa.int32()), ("tf", pa.int32())])))
+        return pa.RecordBatch.from_arrays([pa.array(range(start, start + len(sizes))), terms], names=["id", "terms"])
+
+    sizes = [[3, 0, 90, 2], [], [7, 1, 1, 200, 0, 5]]
+    batches = [batch(10 * i, s) for i, s in enumerate(sizes)]
+    got = list(similarity.chunks(iter(batches), 3, 50))
+    assert [i for c in got for i in c["id"].to_pylist()] == [0, 1, 2, 3, 20, 21, 22, 23, 24, 25]
+    assert [n for c in got for n in map(len, c["terms"].to_pylist())] == [n for s in sizes for n in s]
+    assert all(c.num_rows <= 3 and (c.num_rows == 1 or sum(map(len, c["terms"].to_pylist())) <= 50) for c in got)
+
+
+def test_a_task_holds_little_however_long_the_rows_are(tmp_path, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def rows(count, size):
+        pairs = pa.StructArray.from_arrays([np.tile(np.arange(size, dtype=np.int32), count), np.ones(count * size, np.int32)], ["bucket", "tf"])
+        return pa.ListArray.from_arrays(np.arange(0, count * size + 1, size, dtype=np.int32), pairs)
+
+    pq.write_table(pa.table({"id": np.arange(200), "terms": rows(200, 100)}), tmp_path / "part-0.parquet")
+    batch = pa.RecordBatch.from_arrays([np.arange(1000) % 200, np.arange(1000), rows(1000, 4000)], names=["id", "that_id", "terms"])
+    from ticketweave.operators import postings
+
+    for run in (postings._exact(str(tmp_path)), similarity._scorer(str(tmp_path), 200, 256, 16_384, 11, False, None, 20_000)):
+        tracemalloc.start()
+        found = sum(b.num_rows for b in run(iter([batch] * 4)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found in (4000, 2200) and peak < 120e6
