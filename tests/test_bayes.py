@@ -245,3 +245,44 @@ def test_a_model_keeps_its_stop_words(spark, tmp_path):
     own = triage.classify_tickets(tickets, model).first()
     given = triage.classify_tickets(tickets, model, stopwords=["yang"], drop_empty=False).first()
     assert own == given and own.prediction == "y"
+
+
+@pytest.mark.parametrize("dense", [0, 4, 10**6])
+def test_tables_and_pairs_score_alike(spark, small, dense, monkeypatch):
+    import numpy as np
+
+    from ticketweave.functions.sidetables import read_side
+
+    docs = documents(spark, small, "source").withColumn("fold", triage.fold_of())
+    vectors = with_terms(docs, "description").persist()
+    model = bayes.NaiveBayes(bayes.training_counts(bayes.class_counts(vectors, "assigned_to", "fold"), 3).persist())
+    paths = bayes.store(model)
+    monkeypatch.setattr(bayes, "DENSE", dense)
+    rows = vectors.select("fold", "terms").limit(40).collect()
+    offsets = np.cumsum([0] + [len(r.terms) for r in rows])
+    pairs = np.array([tuple(t) for r in rows for t in r.terms]).reshape(-1, 2)
+    used = np.array([r.fold for r in rows])
+    scored = bayes._Model(*paths, 1.0, 500, 1 << 28).scores(used, offsets, pairs[:, 0], pairs[:, 1].astype(float))
+    # The plain sum over the stored pairs.
+    stored = {}
+    for batch in read_side(paths[1], ["model", "bucket", "idf", "pairs"], 10**6):
+        for r in batch.to_pylist():
+            stored[r["model"], r["bucket"]] = (r["idf"], {p["class"]: p["mass"] for p in r["pairs"]})
+    classes = {(r["model"], r["class"]): r for b in read_side(paths[0], ["model", "class", "prior", "tail"], 10**6) for r in b.to_pylist()}
+    for i, row in enumerate(rows):
+        for c in range(scored.shape[1]):
+            if (row.fold, c) not in classes:
+                assert scored[i, c] == -np.inf
+                continue
+            want = classes[row.fold, c]["prior"]
+            for bucket, tf in row.terms:
+                idf, masses = stored.get((row.fold, bucket), (0.0, {}))
+                want += tf * idf * (classes[row.fold, c]["tail"] + (np.log1p(masses[c]) if c in masses else 0.0))
+            assert scored[i, c] == pytest.approx(want, rel=1e-9)
+
+
+def test_classes_that_share_their_words_are_kept_as_a_table(spark):
+    rows = [(i, "alpha beta gamma" if i % 2 else "beta gamma delta", f"c{i % 40:02d}") for i in range(80)]
+    model = triage.train(spark.createDataFrame(rows, "id bigint, description string, assigned_to string"), clean_corpus=False)
+    kept = bayes._Model(*bayes.store(model), 1.0, 1, bayes.CACHE_BYTES).kept
+    assert len(kept) == 1 and kept[0].dense is not None and kept[0].dense.shape[1] == 40

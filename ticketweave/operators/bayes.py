@@ -40,8 +40,11 @@ DOCUMENT = -1
 # Buckets that a task reads at once, and the bytes of the model it keeps between batches; the rest is read again.
 PART_BUCKETS = 1024
 CACHE_BYTES = 256 << 20
-# Scores, and additions to them, that a task holds at once.
+# Scores, additions to them, and terms of rows that a task holds at once.
 CELLS = 1 << 21
+TERMS = 1 << 20
+# Cells a pair may take at most for a part to be kept as a table of all classes.
+DENSE = 4
 
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
@@ -150,22 +153,41 @@ class NaiveBayes:
 
 
 class _Part:
-    """What the pairs of some buckets add, by (model, bucket)."""
+    """What the pairs of some buckets add, by (model, bucket): a row of all classes where most have a pair, else the pairs."""
 
-    def __init__(self, batch: pa.RecordBatch, smoothing: float):
+    def __init__(self, batch: pa.RecordBatch, smoothing: float, width: int):
         keys = _keys(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("model", "bucket")))
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.idf = batch.column("idf").to_numpy(zero_copy_only=False)[order]
+        self._place(keys)
+        self.idf = batch.column("idf").to_numpy(zero_copy_only=False)
         pairs = batch.column("pairs")
         offsets = pairs.offsets.to_numpy().astype(np.int64)
-        self.first, self.number = (offsets[:-1] - offsets[0])[order], np.diff(offsets)[order]
+        self.first, self.number = offsets[:-1] - offsets[0], np.diff(offsets)
         self.classes, mass = (a.to_numpy(zero_copy_only=False) for a in pairs.flatten().flatten())
         # What a pair adds beyond what its absence would.
         self.gains = np.log(mass + smoothing) - np.log(smoothing)
+        self.dense = None
+        if len(keys) * width <= DENSE * len(self.classes):
+            self.dense = np.zeros((len(keys), width))
+            self.dense[np.repeat(np.arange(len(keys)), self.number), self.classes] = self.gains
+            self.first = self.number = self.classes = self.gains = np.zeros(0, np.int64)
+
+    def _place(self, keys: np.ndarray) -> None:
+        self.row = np.argsort(keys)
+        self.keys = keys[self.row]
 
     def size(self) -> int:
-        return sum(a.nbytes for a in (self.keys, self.idf, self.first, self.number, self.classes, self.gains))
+        arrays = (self.keys, self.row, self.idf, self.first, self.number, self.classes, self.gains, self.dense)
+        return sum(a.nbytes for a in arrays if a is not None)
+
+    @classmethod
+    def joined(cls, parts: list[_Part]) -> _Part:
+        """Dense parts as one."""
+        one = cls.__new__(cls)
+        # In the order of each part's rows, which its sorted keys give.
+        one._place(np.concatenate([p.keys[np.argsort(p.row)] for p in parts]))
+        one.idf, one.dense = np.concatenate([p.idf for p in parts]), np.concatenate([p.dense for p in parts])
+        one.first = one.number = one.classes = one.gains = np.zeros(0, np.int64)
+        return one
 
 
 def _keys(model: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -177,9 +199,7 @@ class _Model:
 
     def __init__(self, class_path: str, pair_path: str, smoothing: float, part_buckets: int, cache_bytes: int):
         self.pair_path, self.smoothing = pair_path, smoothing
-        self.part_buckets, self.room = part_buckets, cache_bytes
-        self.kept: list[_Part] = []
-        self.all_kept = False
+        self.part_buckets = part_buckets
         batches = list(read_side(class_path, ["model", "class", "label", "prior", "tail"], CELLS))
         # By model and, as classes are numbered, by label: equal scores go to the smaller one.
         table = pa.Table.from_batches(batches).sort_by([("model", "ascending"), ("class", "ascending")])
@@ -190,20 +210,31 @@ class _Model:
             self.classes[key] = (own["label"].to_pylist(), own["prior"].to_numpy(), own["tail"].to_numpy())
         self.most = max(len(labels) for labels, _, _ in self.classes.values())
 
+        # What fits is read now, so that every row is scored by the same parts; dense ones are joined.
+        self.kept: list[_Part] = []
+        self.beyond = 0
+        for part in self._read(0):
+            if part.size() > cache_bytes:
+                break
+            cache_bytes -= part.size()
+            self.kept.append(part)
+            self.beyond += 1
+        else:
+            self.beyond = None
+        dense = [p for p in self.kept if p.dense is not None]
+        if len(dense) > 1:
+            self.kept = [p for p in self.kept if p.dense is None] + [_Part.joined(dense)]
+
+    def _read(self, start: int):
+        """The stored parts from number ``start``."""
+        for number, batch in enumerate(read_side(self.pair_path, ["model", "bucket", "idf", "pairs"], self.part_buckets)):
+            if number >= start:
+                yield _Part(batch, self.smoothing, self.most)
+
     def parts(self):
         yield from self.kept
-        if self.all_kept:
-            return
-        number = -1
-        for number, batch in enumerate(read_side(self.pair_path, ["model", "bucket", "idf", "pairs"], self.part_buckets)):
-            if number < len(self.kept):
-                continue
-            part = _Part(batch, self.smoothing)
-            if number == len(self.kept) and part.size() <= self.room:
-                self.room -= part.size()
-                self.kept.append(part)
-            yield part
-        self.all_kept = len(self.kept) == number + 1
+        if self.beyond is not None:
+            yield from self._read(self.beyond)
 
     def scores(self, used: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Rows x classes: each row scored by the model it uses; what is no class of that is -inf."""
@@ -211,13 +242,16 @@ class _Model:
         owner = np.repeat(np.arange(rows), np.diff(offsets))
         keys = _keys(used[owner], buckets)
         out, weight = np.zeros(rows * width), np.zeros(rows)
-        # Part by part and term by term, so sums do not depend on how rows are cut.
+        # Part by part and row by row, so sums do not depend on how rows are cut.
         for part in self.parts():
             place = np.searchsorted(part.keys, keys)
             met = np.flatnonzero(part.keys[np.minimum(place, len(part.keys) - 1)] == keys)
-            place, row = place[met], owner[met]
+            place, row = part.row[place[met]], owner[met]
             x = counts[met] * part.idf[place]
-            np.add.at(weight, row, x)
+            weight += np.bincount(row, weights=x, minlength=rows)
+            if part.dense is not None:
+                self._add_dense(out.reshape(rows, width), part, row, place, x)
+                continue
             number = part.number[place]
             ends = np.cumsum(number)
             at = 0
@@ -235,6 +269,25 @@ class _Model:
         out[~np.isin(used, list(self.classes))] = -np.inf
         return out
 
+    def _add_dense(self, out: np.ndarray, part: _Part, row: np.ndarray, place: np.ndarray, x: np.ndarray) -> None:
+        """A row's terms times the table's rows, one row after the other."""
+        step = max(1, CELLS // out.shape[1])
+        bounds = np.searchsorted(row, np.arange(len(out) + 1)).tolist()
+        for i, (first, last) in enumerate(zip(bounds, bounds[1:])):
+            for start in range(first, last, step):
+                some = slice(start, min(start + step, last))
+                out[i] += x[some] @ part.dense[place[some]]
+
+
+def _pieces(offsets: np.ndarray, rows: int, terms: int):
+    """(start, number) of pieces of at most ``rows`` rows and ``terms`` terms, one row at least."""
+    start = 0
+    while start < len(offsets) - 1:
+        fit = int(np.searchsorted(offsets, offsets[start] + terms, side="right")) - 1 - start
+        number = min(max(1, fit), rows, len(offsets) - 1 - start)
+        yield start, number
+        start += number
+
 
 def _scorer(class_path: str, pair_path: str, smoothing: float, part_buckets: int, cache_bytes: int, schema: T.StructType, constant, key_column):
     """A ``mapInArrow`` function adding the best class and its score to each row."""
@@ -244,9 +297,9 @@ def _scorer(class_path: str, pair_path: str, smoothing: float, part_buckets: int
         model = None
         for whole in batches:
             model = model or _Model(class_path, pair_path, smoothing, part_buckets, cache_bytes)
-            step = max(1, CELLS // model.most)
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
+            starts = whole.column("terms").offsets.to_numpy().astype(np.int64)
+            for start, number in _pieces(starts, max(1, CELLS // model.most), TERMS):
+                batch = whole.slice(start, number)
                 offsets, buckets, counts = kernels.csr_parts(batch.column("terms"))
                 used = np.full(batch.num_rows, constant)
                 if key_column is not None:
