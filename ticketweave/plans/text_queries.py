@@ -277,7 +277,8 @@ def build_model(spark, sf):
 
 @query("ml_pipeline", f"WITH {oracle.bayes('lang')} SELECT id, prediction AS prediction_label FROM scored")
 def ml_pipeline(spark, sf):
-    training = ml.bucket_words(labeled(spark, sf), stopwords=STOPWORDS)
+    # Fitted stage by stage: the text is read once, its words by every stage.
+    training = materialize(ml.bucket_words(labeled(spark, sf), stopwords=STOPWORDS), "words")
     model = ml.classifier(training, own_buckets=True).fit(training)
     return model.transform(training.drop("assigned_to")).select("id", "prediction_label")
 
