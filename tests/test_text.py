@@ -1,9 +1,10 @@
 """Hand-written cases for cleaning and tokenizing."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ticketweave.functions import text, vectors, wordlists
+from ticketweave.functions import text, vectors, wordcounts, wordlists
 
 LISTED = ["br", "bdg", "yang", "di"]
 
@@ -131,3 +132,27 @@ def test_cleaning_equals_sql_on_random_texts(spark):
     got = apply(spark, text.clean_text("t", oracle.STOPWORDS), texts)
     differ = [(t, g, w) for t, g, (_, w) in zip(texts, got, want) if g != w]
     assert differ == []
+
+
+ODD = [
+    None, "", " ", "a", " a ", "a b c d e", " a b  c d  e f g ", "yang di", "Jl A b C jl jln bpk sy sy ya", "ma  af ma af maaf",
+    "x1y 2 z3 4 a", 'm<br" />n <BR /> "a"b"', "\u0130 \u212a \u00c9t\u00e9 \u65e5\u672c \U0001f600x", "\x00\x7f\ttab\nline\x85end", "<br", "/>", "rusak " * 50,
+]
+
+
+@pytest.mark.parametrize("drop_empty, num_features", [(True, 20_000), (False, 97)])
+def test_kernel_counts_what_the_expressions_say(spark, drop_empty, num_features):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD * 3)], "id int, description string").coalesce(2)
+    found = vectors.with_terms(rows, "description", True, LISTED, drop_empty, num_features)
+    assert "RegExpReplace" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = vectors._terms_by_expressions(rows, "description", True, LISTED, drop_empty, num_features)
+    assert sorted(found.collect()) == sorted(expected.collect())
+
+
+@pytest.mark.parametrize("piece_bytes", [1, 40, 1 << 20])
+def test_pieces_change_no_vector(piece_bytes, monkeypatch):
+    monkeypatch.setattr(wordcounts, "KNOWN_WORDS", 2)
+    texts = pa.array([(t or "").lower().encode() for t in ODD], pa.binary())
+    whole = pa.concat_arrays([wordcounts.counter(LISTED, True, 1000)(texts[i : i + 1]) for i in range(len(ODD))])
+    assert wordcounts.counter(LISTED, True, 1000, piece_bytes)(texts).equals(whole)
+    assert len(wordcounts.counter(LISTED, True, 1000)(texts[:0])) == 0

@@ -1,8 +1,9 @@
-"""Hashed term vectors, built row by row inside the JVM.
+"""Hashed term vectors, built without a shuffle.
 
-A vector is ``terms: array<struct<bucket int, tf int>>`` sorted by bucket. It
-needs no shuffle: each row's tokens are hashed, sorted and run-length counted
-within the row. The long form ``(id, bucket, tf)`` is one ``inline_outer`` away.
+A vector is ``terms: array<struct<bucket int, tf int>>`` sorted by bucket.
+Texts that are cleaned go through an Arrow kernel, batch by batch; texts taken
+as stored are tokenized, hashed, sorted and run-length counted by column
+expressions. The long form ``(id, bucket, tf)`` is one ``inline_outer`` away.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import words_of
+from .wordcounts import counter
 
 NUM_FEATURES = 20_000
 
@@ -32,6 +34,17 @@ def with_terms(
     num_features: int = NUM_FEATURES,
 ) -> DataFrame:
     """Replace column ``text`` by its term vector in a column ``terms``."""
+    if not clean:
+        return _terms_by_expressions(df, text, clean, stopwords, drop_empty, num_features)
+    count = F.arrow_udf(counter(stopwords, drop_empty, num_features), "array<struct<bucket:int,tf:int>>")
+    lowered = F.lower(F.coalesce(F.col(text), F.lit(""))).cast("binary")
+    return df.select(*[c for c in df.columns if c != text], count(lowered).alias("terms"))
+
+
+def _terms_by_expressions(
+    df: DataFrame, text: str, clean: bool, stopwords: Iterable[str], drop_empty: bool, num_features: int
+) -> DataFrame:
+    """The vectors as column expressions, of cleaned texts too."""
     words = words_of(text, clean, stopwords, drop_empty)
     keep = [c for c in df.columns if c != text]
     # Each step is a projection of its own that later steps use more than once,
